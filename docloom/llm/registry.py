@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .mixing import op6_low_discrepancy_mix
 from .sharding import op8_kd_tree_shards
+from .vptree import op1_vp_tree_search
 
 QUERIES = {
+    "op1_vp_tree_search": op1_vp_tree_search,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op8_kd_tree_shards": op8_kd_tree_shards,
 }
