@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .mixing import op6_low_discrepancy_mix
 from .sharding import op8_kd_tree_shards
+from .toxicity import op4_multiple_instance_toxicity
 from .vptree import op1_vp_tree_search
 
 QUERIES = {
     "op1_vp_tree_search": op1_vp_tree_search,
+    "op4_multiple_instance_toxicity": op4_multiple_instance_toxicity,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op8_kd_tree_shards": op8_kd_tree_shards,
 }
