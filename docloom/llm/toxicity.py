@@ -91,8 +91,7 @@ def train(sample: pd.DataFrame, epochs: int = EPOCHS) -> tuple[dict[str, float],
             n_sent += 1
     word, sent, doc_of = np.array(word, int), np.array(sent, int), np.array(doc_of, int)
     has = np.bincount(doc_of, minlength=len(labels)) > 0 if n_sent else np.zeros(len(labels), bool)
-    share = labels.mean()
-    cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) * has / max(has.sum(), 1)
+    cost = has / max(has.sum(), 1)
     w, b = np.zeros(len(keep)), -3.0
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     for t in range(1, epochs + 1):
