@@ -7,8 +7,10 @@ distance: a vector gets one more component, ``sqrt(M^2 - |x|^2)`` with ``M`` the
 A subtree is visited unless ``factor`` times its lower bound from the triangle inequality exceeds the
 distance of the k-th best so far; ``factor`` 1 never loses a neighbour.
 
-Trees and blocks of query vectors are binary rows of bounded size; every query block meets every
-shard (a stated query set against all rows, in blocks), and the best of all shards are merged.
+Trees and blocks of query vectors are binary rows of bounded size. Every query block meets every
+shard (a stated query set against all rows, in blocks): a task takes a block through a group of
+shards one after the other, so that what it has found bounds what it still looks at, and the best of
+all groups are merged.
 Scores are computed once more in double precision on the original vectors.
 """
 
@@ -27,6 +29,8 @@ from . import common as C
 LEAF = 64
 SHARD_ROWS = 2048
 QUERY_BLOCK = 512
+GROUP = 32
+TASKS = 64
 FACTOR = 1.02
 
 
@@ -67,9 +71,15 @@ class Tree:
         self.nodes[k] = (a, z, int(own[0]), inner, outer, float(d[half - 1]) if half else 0.0, float(d[half]))
         return k
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and squared distances of the k nearest of each query, padded with -1 and infinity."""
+    def search(self, q: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and squared distances of the k nearest of each query, padded with -1 and infinity.
+
+        ``floor``: inner products below which a query wants no rows, as it has k better ones already.
+        """
         best_d = np.full((len(q), k), np.inf)
+        if floor is not None:
+            reach = (q * q).sum(axis=1) + self.top - 2 * floor
+            best_d[:] = (np.maximum(reach, 0.0) * (1 + 1e-9) + 1e-9)[:, None]
         best_i = np.full((len(q), k), -1)
         if self.root < 0:
             return best_i, best_d
@@ -156,27 +166,47 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FAC
     blocks = C.materialise(blocks.groupBy("dim", "block").applyInPandas(pack, "dim int, block long, qx binary, q binary"), "vp-blocks")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, own = None, None
+        """Rows of one query block come in a row; their best so far bounds the search of the next tree."""
+        trees: dict[int, Tree] = {}
+        own, best = None, None
         for part in parts:
             for r in part.itertuples(index=False):
-                if own != (r.dim, r.shard):
-                    tree, own = Tree(np.frombuffer(r.x).reshape(-1, r.dim)), (r.dim, r.shard)
-                    x = np.frombuffer(r.x).reshape(-1, r.dim)
-                    ids, at = np.frombuffer(r.ids, np.int64), np.frombuffer(r.at, np.int64)
-                q, qid = np.frombuffer(r.qx).reshape(-1, r.dim), np.frombuffer(r.q, np.int64)
-                found, _ = tree.search(q, min(k + 1, len(x)), factor)
+                if own != (r.dim, r.block):
+                    if best is not None:
+                        yield best
+                    if own is None or own[0] != r.dim:
+                        trees.clear()
+                    own, best = (r.dim, r.block), None
+                    q, qid = np.frombuffer(r.qx).reshape(-1, r.dim), np.frombuffer(r.q, np.int64)
+                    floor = np.full(len(q), -np.inf)
+                if r.shard not in trees:
+                    if len(trees) >= GROUP:
+                        trees.clear()
+                    trees[r.shard] = Tree(np.frombuffer(r.x).reshape(-1, r.dim))
+                x, ids, at = np.frombuffer(r.x).reshape(-1, r.dim), np.frombuffer(r.ids, np.int64), np.frombuffer(r.at, np.int64)
+                found, _ = trees[r.shard].search(q, min(k + 1, len(x)), factor, floor if np.isfinite(floor).all() else None)
                 qi, col = np.nonzero(found >= 0)
                 row = found[qi, col]
                 score = (q[qi] * x[row]).sum(axis=1)
                 n_ids = at[row + 1] - at[row]
                 rep = np.repeat(np.arange(len(row)), n_ids)
                 inside = np.arange(len(rep)) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids)
-                out = pd.DataFrame({"q": qid[qi[rep]], "vec_id": ids[at[row[rep]] + inside], "score": score[rep]})
-                out = out.sort_values(["q", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-                yield out[out.groupby("q").cumcount() <= k]
-
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).join(index, ["dim", "shard"])
-    hits = pairs.mapInPandas(run, "q long, vec_id long, score double")
+                new = pd.DataFrame({"q": qid[qi[rep]], "vec_id": ids[at[row[rep]] + inside], "score": score[rep]})
+                new = new if best is None else pd.concat([best, new])
+                new = new.sort_values(["q", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+                best = new[new.groupby("q").cumcount() <= k]
+                last = best.groupby("q")["score"].agg(["min", "size"])
+                full = last["min"].where(last["size"] > k, -np.inf).reindex(qid, fill_value=-np.inf)
+                floor = full.to_numpy()
+        if best is not None:
+            yield best
+
+    # A task takes some query blocks through a group of trees. With few groups, blocks are dealt out too.
+    groups = C.buckets(shards, GROUP)
+    deal = max(1, min(n_blocks, -(-TASKS // groups)))
+    left = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("deal", F.pmod("block", F.lit(deal)).cast("int"))
+    right = index.withColumn("group", F.floor(F.col("shard") / GROUP).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    hits = left.join(right.hint("merge"), ["dim", "group", "deal"]).mapInPandas(run, "q long, vec_id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1).drop("_n")
     # Copies of a query vector share its result; each leaves itself out.
