@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op9_crf_language_id
 from .mixing import op6_low_discrepancy_mix
 from .sharding import op8_kd_tree_shards
 from .toxicity import op4_multiple_instance_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_multiple_instance_toxicity": op4_multiple_instance_toxicity,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op8_kd_tree_shards": op8_kd_tree_shards,
+    "op9_crf_language_id": op9_crf_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
