@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_bm25_wand_decontamination
 from .langid import op9_crf_language_id
 from .mixing import op6_low_discrepancy_mix
 from .sharding import op8_kd_tree_shards
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_crf_language_id": op9_crf_language_id,
+    "op10_bm25_wand_decontamination": op10_bm25_wand_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
