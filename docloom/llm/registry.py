@@ -7,11 +7,13 @@ from .langid import op9_crf_language_id
 from .mixing import op6_low_discrepancy_mix
 from .sharding import op8_kd_tree_shards
 from .toxicity import op4_multiple_instance_toxicity
+from .triejoin import op5_prefix_tree_join
 from .vptree import op1_vp_tree_search
 
 QUERIES = {
     "op1_vp_tree_search": op1_vp_tree_search,
     "op4_multiple_instance_toxicity": op4_multiple_instance_toxicity,
+    "op5_prefix_tree_join": op5_prefix_tree_join,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_crf_language_id": op9_crf_language_id,
