@@ -6,6 +6,7 @@ from .decontaminate import op10_bm25_wand_decontamination
 from .langid import op9_crf_language_id
 from .mixing import op6_low_discrepancy_mix
 from .sharding import op8_kd_tree_shards
+from .suffixdedup import op7_deep_shallow_dedup
 from .toxicity import op4_multiple_instance_toxicity
 from .triejoin import op5_prefix_tree_join
 from .vptree import op1_vp_tree_search
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_multiple_instance_toxicity": op4_multiple_instance_toxicity,
     "op5_prefix_tree_join": op5_prefix_tree_join,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
+    "op7_deep_shallow_dedup": op7_deep_shallow_dedup,
     "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_crf_language_id": op9_crf_language_id,
     "op10_bm25_wand_decontamination": op10_bm25_wand_decontamination,
