@@ -14,7 +14,6 @@ so a share of the training chains is spliced from sentences of two languages: it
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +43,40 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-case word; a very long word counts by its first and last 32 letters."""
-    if len(word) > 64:
-        word = word[:32] + word[-32:]
-    w = f"<{word}>"
-    parts = [f"w{w}", *(f"p{w[: n + 1]}" for n in (1, 2, 3)), *(f"s{w[-n - 1 :]}" for n in (1, 2, 3))]
-    parts += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    return [zlib.crc32(p.encode()) % HASHED for p in parts]
+def _hash(*codes: np.ndarray, salt: int) -> np.ndarray:
+    h = np.full(len(codes[0]), salt, np.uint64)
+    for c in codes:
+        h = (h + c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.int64) % HASHED
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of lower-case words and the word that each belongs to, in the order of the words.
+
+    A very long word counts by its first and last 32 letters.
+    """
+    marked = [f"<{w}>" if len(w) <= 64 else f"<{w[:32]}{w[-32:]}>" for w in words]
+    size = np.array([len(m) for m in marked])
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    end = np.cumsum(size)
+    start = end - size
+    owner = np.repeat(np.arange(len(words)), size)
+    left = end[owner] - np.arange(len(code))  # letters from here to the word's end
+    two, three = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
+    at = np.arange(len(code)) - start[owner]
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(70, 0x100000001B3, np.uint64)]))
+    whole = np.add.reduceat(code * power[at], start)
+    parts = [(_hash(whole, salt=1), np.arange(len(words)))]
+    for n in (2, 3, 4):
+        has = np.flatnonzero(size >= n)
+        parts.append((_hash(*[code[start[has] + i] for i in range(n)], salt=10 + n), has))
+        parts.append((_hash(*[code[end[has] - 1 - i] for i in range(n)], salt=20 + n), has))
+    parts.append((_hash(code[two], code[two + 1], salt=2), owner[two]))
+    parts.append((_hash(code[three], code[three + 1], code[three + 2], salt=3), owner[three]))
+    found, whose = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(whose, kind="stable")
+    return found[order], whose[order]
 
 
 class Model:
@@ -124,9 +149,7 @@ def train(sample: pd.DataFrame, rounds: int = ROUNDS) -> Model | None:
     for k, (w, y) in enumerate(data):
         ids[k, : len(w)] = [vocab.setdefault(x, len(vocab)) for x in w]
         gold[k, : len(w)] = y
-    feats = [features(x) for x in vocab]
-    flat = np.concatenate(feats).astype(np.int64)
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    flat, owner = features(list(vocab))
     n_lang, on = len(langs), ids >= 0
     total = on.sum()
     observed = np.zeros((len(vocab), n_lang))
@@ -165,25 +188,32 @@ class Words(dict):
     def reset(self) -> None:
         self.clear()
         self.update(dict.fromkeys(_ENDS, 0))
-        self.rows = np.ones((1024, len(self.model.langs)), np.float32)
+        self.rows = np.ones((2, len(self.model.langs)), np.float32)
+        self.new: list[str] = []
         self.n = 2
 
     def __missing__(self, word: str) -> int:
         if not any(map(str.isalpha, word)):
             self[word] = 1
             return 1
-        if self.n == len(self.rows):
-            self.rows = np.vstack([self.rows, np.ones_like(self.rows)])
-        s = self.model.w[features(word)].sum(axis=0)
-        self.rows[self.n] = np.exp(np.maximum(s - s.max(), -40))
+        self.new.append(word)
         self[word] = self.n
         self.n += 1
         return self.n - 1
 
+    def score(self) -> None:
+        """Fill ``rows`` up for the words that came up since the last time."""
+        if self.new:
+            flat, owner = features(self.new)
+            s = np.add.reduceat(self.model.w[flat], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
+            self.rows = np.vstack([self.rows, np.exp(np.maximum(s - s.max(axis=1, keepdims=True), -40))])
+            self.new = []
+
 
 def label_words(ids: np.ndarray, doc: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Word posteriors of a batch: ``ids`` and ``doc`` of all tokens in order. Returns those of real words and their documents."""
     model = words.model
+    words.score()
     real = ids > 1
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] == 0) | (ids[:-1] == 0) | (doc[1:] != doc[:-1])
