@@ -9,10 +9,13 @@
    distinct leader, whatever number of shingles they share with it: any two that can link meet at
    the leader of a shingle that they share. Groups beyond ``GROUP_SHINGLES`` are cut into chunks by hash and
    every pair of chunks is a task of its own.
-4. There the sets, from the frequent end, form a compressed trie. A set walks down the trie with the
+4. Before sets are sent, parity bitmaps of about one bit a shingle stand in for them: the bits that differ
+   never outnumber the shingles that do, so pairs further apart than a link allows are ruled out,
+   and so are pairs that meet at a smaller leader as well. Members without a possible partner go.
+5. In a group the sets, from the frequent end, form a compressed trie. A set walks down the trie with the
    overlap so far, shared by all sets below, and leaves a subtree when the shingles left on either
    side can no longer reach the wanted overlap, or when it is already connected to all of it.
-5. The links kept are a spanning forest of each group; connected components of all of them are classes.
+6. The links kept are a spanning forest of each group; connected components of all of them are classes.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql.window import Window
 from . import common as C
 from .graph import components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 SKETCH_PARTS = 16
 GROUP_SHINGLES = 1_000_000
 
@@ -65,6 +68,62 @@ def global_order(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, sketch[(s & np.uint64(len(sketch) - 1)).astype(np.int64)]))]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 2^k buckets, k the least that gives a bucket to each shingle, 64 at least."""
+    size = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible(part: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows of a group (cls, n, side, bits, leaders; all with the same ``leader``) may link to another one here."""
+    n = part["n"].to_numpy(np.int64)
+    side = part["side"].to_numpy()
+    two = bool((side == 1).any())
+    leader = int(part["leader"].iloc[0])
+    smaller: dict[int, int] = {}
+    lists = [set(x.tolist() if hasattr(x, "tolist") else x) for x in part["leaders"]]
+    for own in lists:
+        for x in own:
+            if x < leader:
+                smaller[x] = smaller.get(x, 0) + 1
+    # Pairs whose both ends meet at this smaller leader too are decided there.
+    best = max(smaller, key=lambda x: (smaller[x], -x), default=None)
+    there = np.array([best in own for own in lists]) if best is not None else np.zeros(len(n), bool)
+    raw = [np.frombuffer(b, np.uint64) for b in part["bits"]]
+    width = np.array([len(r) for r in raw])
+    alive = np.zeros(len(n), bool)
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        wide = np.flatnonzero(width == 2 * w)
+        others = np.concatenate([own, wide])
+        bits = np.stack([raw[i] for i in own] + [raw[i][:w] ^ raw[i][w:] for i in wide])
+        start = np.argsort(n[others], kind="stable")
+        others, bits = others[start], bits[start]
+        sizes = n[others]
+        for k in range(len(others)):
+            i = others[k]
+            # Partners that are no smaller, as far as the sizes allow.
+            end = int(np.searchsorted(sizes, 100 * n[i] // percent, side="right"))
+            j = others[k + 1 : end]
+            if not len(j):
+                continue
+            ok = (width[i] == w) | (width[j] == w)
+            ok &= ~(there[i] & there[j])
+            if two:
+                ok &= side[j] != side[i]
+            if not ok.any():
+                continue
+            far = np.bitwise_count(bits[k + 1 : end] ^ bits[k]).sum(axis=1)
+            total = n[i] + n[j]
+            most = total - 2 * -(-percent * total // (100 + percent))
+            hit = ok & (far <= most)
+            if hit.any():
+                alive[i] = True
+                alive[j[hit]] = True
+    return alive
+
+
 class Trie:
     """A compressed trie over distinct ascending integer sequences, sorted; a node covers a range of them."""
 
@@ -179,14 +238,15 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, group_shingl
             for text in part["text"]:
                 s = shingle_set(text, n, words)
                 np.add.at(sketch, (s & np.uint64(len(sketch) - 1)).astype(np.int64), 1)
-                got.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
+                got.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bitmap(s)))
             out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [g[0] for g in got], "fp": [g[1] for g in got]})
-            yield out.assign(part=-1)
+            yield out.assign(bits=[g[2] for g in got], part=-1)
         for k, piece in enumerate(np.split(sketch, SKETCH_PARTS)):
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "fp": [piece.tobytes()], "part": [k]})
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "fp": [piece.tobytes()], "bits": [b""], "part": [k]})
 
-    first = C.materialise(docs.mapInPandas(scan, "doc_id long, n long, fp binary, part int"), "trie-sets")
+    first = C.materialise(docs.mapInPandas(scan, "doc_id long, n long, fp binary, bits binary, part int"), "trie-sets")
     rows = first.filter("part < 0").drop("part")
+    bits = rows.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("cls"), "bits").dropDuplicates(["cls"])
 
     def add(key, part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
@@ -196,7 +256,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, group_shingl
 
     pieces = first.filter("part >= 0").select("part", "fp").groupBy("part").applyInPandas(add, "part int, fp binary").collect()
     sketch = np.concatenate([np.frombuffer(r["fp"], np.uint32) for r in sorted(pieces)]) if pieces else np.zeros(1 << SKETCH_BITS, np.uint32)
-    shared = spark.sparkContext.broadcast(sketch)  # 1 MB whatever the corpus
+    shared = spark.sparkContext.broadcast(sketch)  # 4 MB whatever the corpus
 
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
     rows = C.materialise(rows.join(classes, ["fp", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "trie-classes")
@@ -225,9 +285,17 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, group_shingl
     chunks = members.groupBy("leader").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("c"))
     at = members.join(chunks, "leader").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int"))
     at = at.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    at = at.select("cls", F.struct("leader", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side")).alias("at"))
+    at = at.select("cls", "leader", "n", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side"))
     # A class has at most as many leaders as it has prefix shingles.
-    at = at.groupBy("cls").agg(F.collect_list("at").alias("at"))
+    lists = members.groupBy("cls").agg(F.collect_set("leader").alias("leaders"))
+    stand_in = at.join(lists.join(bits, "cls"), "cls")
+
+    def sift(part: pd.DataFrame) -> pd.DataFrame:
+        return part.loc[possible(part, percent), ["leader", "i", "j", "side", "cls"]]
+
+    at = stand_in.groupBy("leader", "i", "j").applyInPandas(sift, "leader long, i int, j int, side int, cls long")
+    at = at.groupBy("cls").agg(F.collect_list(F.struct("leader", "i", "j", "side")).alias("at"))
+    at = C.materialise(at, "trie-partners")
 
     def ship(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
