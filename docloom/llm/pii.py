@@ -30,7 +30,6 @@ KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 ROUNDS = 25
 BEFORE, AFTER = 40, 8
-SPAN_BLOCK = 64
 
 # The base patterns, in linear-time form.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -68,24 +67,15 @@ def _spans(text: Column, pattern: str, hint: str) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["piece"], F.lit(BEFORE)).alias("before"), F.left(x["next"], F.lit(AFTER)).alias("after"))
+        piece, hit, after = x.getField("0"), x.getField("1"), x.getField("2")
+        start = acc["at"] + F.length(piece)
+        end = start + F.length(hit)
+        one = F.struct(start.alias("start"), end.alias("end"), hit.alias("hit"), F.right(piece, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    def rows(p: Column, h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.struct(F.get(p, i).alias("piece"), x.alias("hit"), F.get(p, i + 1).alias("next")))
-
-    # Arrays grow by copying: blocks of them keep a text with very many matches near linear time.
-    every = rows(pieces, hits)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(hits) / SPAN_BLOCK).cast("int")), lambda b: F.slice(every, b * SPAN_BLOCK + 1, SPAN_BLOCK))
-    nested = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,hit:string,before:string,after:string>>>").alias("out"))
-
-    def block(acc: Column, rows: Column) -> Column:
-        inner = F.aggregate(rows, F.struct(acc["at"].alias("at"), zero["out"].alias("out")), step)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
-
-    found = F.aggregate(blocks, nested, block, lambda acc: F.flatten(acc["out"]))
+    # Zipped first: what a lambda function refers to from outside is evaluated anew for each element.
+    zipped = F.filter(F.arrays_zip(pieces, hits, F.slice(F.concat(pieces, F.array(F.lit(""))), 2, 1 << 30)), lambda x: x.getField("1").isNotNull())
+    found = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
     return F.when(text.rlike(hint), found).otherwise(zero["out"])
 
 
