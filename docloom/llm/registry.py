@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_bm25_wand_decontamination
 from .langid import op9_crf_language_id
 from .mixing import op6_low_discrepancy_mix
+from .packing import op3_best_fit_packing
 from .pii import op2_weak_supervision_pii
 from .sharding import op8_kd_tree_shards
 from .suffixdedup import op7_deep_shallow_dedup
@@ -15,6 +16,7 @@ from .vptree import op1_vp_tree_search
 QUERIES = {
     "op1_vp_tree_search": op1_vp_tree_search,
     "op2_weak_supervision_pii": op2_weak_supervision_pii,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_multiple_instance_toxicity": op4_multiple_instance_toxicity,
     "op5_prefix_tree_join": op5_prefix_tree_join,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
