@@ -257,5 +257,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP)
     return out
 
 
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs`` that hold no item; nothing is shuffled. Null and empty texts stay."""
+    spark = docs.sparkSession
+    for index in _indexes(benchmark, overlap):
+        shared = spark.sparkContext.broadcast(index)  # at most MAX_ITEMS items and MAX_WORDS words
+
+        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for part in parts:
+                for a in range(0, len(part), 256):
+                    piece = part.iloc[a : a + 256]
+                    hit = {k for k, *_ in index.leaks(piece["text"].tolist())}
+                    yield piece[[k not in hit for k in range(len(piece))]]
+
+        docs = docs.mapInPandas(run, docs.schema)
+    return docs
+
+
 def op10_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
