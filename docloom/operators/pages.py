@@ -1,0 +1,39 @@
+"""Page algebra: a document is rows (doc, page, ...), pages numbered from 1 in order."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def select_pages(pages: DataFrame, chosen: list[int]) -> DataFrame:
+    """The chosen pages of every document, in the given order, numbered anew; those a document lacks are skipped."""
+    spec = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(k).alias("at")) for k, p in enumerate(chosen)])
+    kept = pages.withColumn("_hit", F.explode(F.filter(spec, lambda s: s["page"] == F.col("page"))))
+    order = Window.partitionBy("doc").orderBy("_hit.at")
+    return kept.withColumn("new_page", F.row_number().over(order)).drop("_hit")
+
+
+def delete_pages(pages: DataFrame, gone: list[int]) -> DataFrame:
+    kept = pages.filter(~F.col("page").isin(*gone))
+    return kept.withColumn("new_page", F.row_number().over(Window.partitionBy("doc").orderBy("page")))
+
+
+def merge(parts: list[DataFrame]) -> DataFrame:
+    """Documents concatenated part after part: part, doc, page and ``new_page`` by document, from a running sum of page counts."""
+    every = None
+    for k, p in enumerate(parts):
+        p = p.withColumn("part", F.lit(k))
+        every = p if every is None else every.unionByName(p)
+    counts = every.groupBy("doc", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("doc", "part").orderBy("page"))
+    return every.withColumn("_k", inside).join(counts, ["doc", "part"]).withColumn("new_page", F.col("offset") + F.col("_k")).drop("_k", "offset")
+
+
+def number_pages(pages: DataFrame) -> DataFrame:
+    of = F.count("*").over(Window.partitionBy("doc"))
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("page"))
+    return pages.withColumn("label", F.format_string("Page %d of %d", at, of))
