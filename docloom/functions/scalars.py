@@ -91,7 +91,7 @@ def rotation(degrees: Column) -> Column:
 
 def page_list(spec: Column) -> Column:
     """Distinct zero-based pages of a spec such as ``1-3,5``, in order of first mention; blank is null (all)."""
-    parts = F.transform(F.split(spec, ","), F.trim)
+    parts = F.transform(F.split(spec, ","), lambda p: F.trim(p))
     ranges = F.transform(parts, lambda p: F.sequence(F.split(p, "-")[0].cast("int") - 1, F.element_at(F.split(p, "-"), -1).cast("int") - 1))
     return F.when(F.trim(spec) != "", F.array_distinct(F.flatten(ranges)))
 

@@ -32,3 +32,14 @@ def greedy_fill(sizes: Column, capacity: float, gap: float = 0.0) -> Column:
         return F.struct(F.when(fresh, v).otherwise(acc["used"] + gap + v).alias("used"), at.alias("bin"), F.concat(acc["out"], F.array(at)).alias("out"))
 
     return F.aggregate(F.transform(sizes, lambda s: s.cast("double")), zero, step, lambda acc: acc["out"])
+
+
+def greedy_bins(sizes: Column, capacity: float, gap: float = 0.0) -> Column:
+    """How many bins ``greedy_fill`` opens; keeps no list, so that arrays can be long."""
+    zero = F.struct(F.lit(None).cast("double").alias("used"), F.lit(0).cast("long").alias("bins"))
+
+    def step(acc: Column, v: Column) -> Column:
+        fresh = acc["used"].isNull() | (acc["used"] + gap + v > capacity)
+        return F.struct(F.when(fresh, v).otherwise(acc["used"] + gap + v).alias("used"), (acc["bins"] + fresh.cast("long")).alias("bins"))
+
+    return F.aggregate(F.transform(sizes, lambda s: s.cast("double")), zero, step, lambda acc: acc["bins"])

@@ -1,10 +1,21 @@
-"""Reading the supplied tables."""
+"""Reading the supplied tables, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a temporary folder where it is unset (as in tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")

@@ -29,7 +29,7 @@ def lifecycle_stream(spark: SparkSession, path: str, shared: str) -> DataFrame:
     """Runs ``lifecycle`` as a stream over the files at ``path`` until all are read, and returns its last result."""
     schema = spark.read.parquet(path).schema
     out = f"{shared}/jobs-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path + "*")  # a pattern, as a table can be one file or a folder
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/result")
