@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 #: Elements without content, and those that a following sibling of the set closes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "div": {"p"}, "ul": {"p"}, "h1": {"p"}, "h2": {"p"}}
-SCHEMA = "page_id long, node_id int, parent_id int, depth int, child_ix int, tag string, id string, classes array<string>, href string, text string, last_id int"
+SCHEMA = "page_id long, node_id int, parent_id int, depth int, child_ix int, tag string, id string, classes array<string>, href string, text string, ancestors array<int>, hidden boolean, last_id int"
 
 
 class _Nodes(HTMLParser):
-    """Pre-order rows; ``last_id`` is the last descendant, so that a subtree is a range of node ids."""
+    """Pre-order rows; ``last_id`` is the last descendant, so that a subtree is a range of node ids. Script and style text is hidden."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -28,7 +28,7 @@ class _Nodes(HTMLParser):
         k, parent = len(self.rows), self.open[-1] if self.open else -1
         ix = self.children.get(parent, 0)
         self.children[parent] = ix + 1
-        self.rows.append([k, parent, len(self.open), ix, tag, attrs.get("id"), (attrs.get("class") or "").split(), attrs.get("href"), text, k])
+        self.rows.append([k, parent, len(self.open), ix, tag, attrs.get("id"), (attrs.get("class") or "").split(), attrs.get("href"), text, list(self.open), bool(self.open) and self.rows[self.open[-1]][4] in ("script", "style"), k])
         return k
 
     def _close(self, upto: int) -> None:
@@ -72,17 +72,14 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 def text_content(tree: DataFrame) -> DataFrame:
     """page_id, node_id, tag, text: the text of each element's subtree in document order, script and style left out."""
-    skip = tree.filter(F.col("tag").isin("script", "style")).select("page_id", F.col("node_id").alias("s"), F.col("last_id").alias("e"))
-    words = tree.filter("tag = ''").select("page_id", F.col("node_id").alias("t"), F.col("text").alias("piece"))
-    words = words.join(skip, (words.page_id == skip.page_id) & F.col("t").between(F.col("s"), F.col("e")), "left_anti")
-    own = tree.filter("tag <> ''").select("page_id", "node_id", "last_id", "tag")
-    joined = own.join(words, "page_id").filter(F.col("t").between(F.col("node_id"), F.col("last_id")))
+    words = tree.filter("tag = '' and not hidden").select("page_id", F.col("node_id").alias("t"), F.col("text").alias("piece"), F.explode("ancestors").alias("node_id"))
     pieces = F.array_sort(F.collect_list(F.struct("t", "piece")))
-    return joined.groupBy("page_id", "node_id", "tag").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
+    text = words.groupBy("page_id", "node_id").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
+    return text.join(tree.filter("tag <> ''").select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "node_id", "tag", "text")
 
 
 def select_child(tree: DataFrame, ancestor: str, tag: str) -> DataFrame:
     """Nodes of ``tag`` with an ``ancestor`` above them (the selector ``ancestor tag``), with the nearest one."""
-    up = tree.filter(F.col("tag") == ancestor).select("page_id", F.col("node_id").alias("a"), F.col("last_id").alias("z"))
-    hit = tree.filter(F.col("tag") == tag).join(up, "page_id").filter((F.col("node_id") > F.col("a")) & (F.col("node_id") <= F.col("z")))
-    return hit.groupBy("page_id", "node_id").agg(F.max("a").alias("ancestor_id"))
+    up = tree.filter(F.col("tag") == ancestor).select("page_id", F.col("node_id").alias("a"))
+    hit = tree.filter(F.col("tag") == tag).select("page_id", "node_id", F.explode("ancestors").alias("a"))
+    return hit.join(up, ["page_id", "a"]).groupBy("page_id", "node_id").agg(F.max("a").alias("ancestor_id"))
