@@ -4,7 +4,9 @@ A word's score for a language is a sum over hashed features: the word itself (le
 last letters (affixes) and its letter bigrams and trigrams. Transitions between the languages of
 neighbouring words are learned too, so that forward-backward labels each word of code-switched text.
 A chain is a sentence; one of more than ``CHAIN`` words goes on as a new chain. A document's language
-is the one with the largest mean posterior over its words, and that mean is its score.
+is the one with the largest mean posterior over its words, and that mean is its score. Posteriors sum
+to one for any text, so whether a text is in a learned language at all is told by two other measures:
+the share of its letters in letter trigrams seen in training, and the share of letters in what is not space.
 
 Training draws at most ``PER_LANG`` documents of each language (first in hashed order, at most
 ``TRAIN_BYTES`` each) outside the held-out fold. Only documents are labelled, each with one language,
@@ -32,6 +34,7 @@ ROUNDS = 40
 RATE = 0.15
 RIDGE = 1e-4
 FOLDS, HELD_OUT = 3, 1
+SURE, SLACK, COMMON = 0.9, 2 / 3, 0.02
 UNKNOWN = "und"
 BATCH_WORDS = 200_000
 
@@ -79,11 +82,45 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found[order], whose[order]
 
 
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter trigrams of ``<word>``, 21 bits a letter, and the word that each belongs to. Every word has one at least."""
+    size = np.array([len(w) + 2 for w in words])
+    code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.flatnonzero(np.cumsum(size)[owner] - np.arange(len(code)) >= 3)
+    return (code[at] << np.uint64(42)) | (code[at + 1] << np.uint64(21)) | code[at + 2], owner[at]
+
+
+def _common(texts: list[list[str]]) -> np.ndarray:
+    """Trigrams in two of the texts at least and in ``COMMON`` of them, so that a stray text does not make itself known."""
+    if not texts:
+        return np.zeros(0, np.uint64)
+    code, n = np.unique(np.concatenate([np.unique(trigrams(t)[0]) for t in texts]), return_counts=True)
+    return code[n >= max(min(2, len(texts)), COMMON * len(texts))]
+
+
 class Model:
-    """Languages, feature weights (HASHED x L), transition weights (L x L) and start weights (L)."""
+    """Languages, feature weights (HASHED x L), transition weights (L x L) and start weights (L).
 
-    def __init__(self, langs: list[str], w: np.ndarray, trans: np.ndarray, start: np.ndarray):
-        self.langs, self.w, self.trans, self.start = langs, w, trans, start
+    ``grams`` are the trigrams of the training words in order; ``seen`` tells in which languages (N x L).
+    """
+
+    def __init__(self, langs: list[str], w: np.ndarray, trans: np.ndarray, start: np.ndarray, grams: np.ndarray, seen: np.ndarray):
+        self.langs, self.w, self.trans, self.start, self.grams, self.seen = langs, w, trans, start, grams, seen
+
+    def without(self, lang: str) -> Model:
+        on = [y for y, x in enumerate(self.langs) if x != lang]
+        return Model([self.langs[y] for y in on], self.w[:, on], self.trans[np.ix_(on, on)], self.start[on], self.grams, self.seen[:, on])
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Share of each word's trigrams seen in each language (n x L)."""
+        code, owner = trigrams(words)
+        if not len(self.grams):
+            return np.zeros((len(words), len(self.langs)), np.float32)
+        at = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+        hit = np.where((self.grams[at] == code)[:, None], self.seen[at], False).astype(np.float32)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        return np.add.reduceat(hit, first, axis=0) / np.bincount(owner)[:, None].astype(np.float32)
 
 
 def posteriors(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -127,8 +164,10 @@ def chains_of(text: str) -> list[list[str]]:
 def train(sample: pd.DataFrame, rounds: int = ROUNDS) -> Model | None:
     """A model from columns text and lang; None without labelled words."""
     langs = sorted(sample["lang"].unique())
-    own = []
+    own, grams = [], []
     for y, lang in enumerate(langs):
+        texts = [chains_of(text) for text in sample.loc[sample["lang"] == lang, "text"].unique()]
+        grams.append(_common([list({w for c in t for w in c}) for t in texts if t]))
         found = [c for text in sample.loc[sample["lang"] == lang, "text"] for c in chains_of(text)]
         keep = np.unique(np.linspace(0, len(found) - 1, min(len(found), TRAIN_CHAINS)).astype(int)) if found else []
         own.append([(found[i], [y] * len(found[i])) for i in keep])
@@ -174,11 +213,16 @@ def train(sample: pd.DataFrame, rounds: int = ROUNDS) -> Model | None:
             v[i] = 0.99 * v[i] + 0.01 * d * d
             params[i] = params[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
     w, tr, st = params
-    return Model(langs, w.astype(np.float32), np.exp(tr).astype(np.float32), np.exp(st).astype(np.float32))
+    every = np.unique(np.concatenate(grams))
+    seen = np.stack([np.isin(every, g) for g in grams], axis=1)
+    return Model(langs, w.astype(np.float32), np.exp(tr).astype(np.float32), np.exp(st).astype(np.float32), every, seen)
 
 
 class Words(dict):
-    """Word numbers, and their exponentiated scores in ``rows``: 0 ends a sentence, 1 is no word. Starts anew when full."""
+    """Word numbers, and their exponentiated scores in ``rows``: 0 ends a sentence, 1 is no word. Starts anew when full.
+
+    ``known`` and ``letters`` have the share of seen trigrams by language and the length.
+    """
 
     def __init__(self, model: Model, limit: int = 300_000):
         super().__init__()
@@ -189,6 +233,8 @@ class Words(dict):
         self.clear()
         self.update(dict.fromkeys(_ENDS, 0))
         self.rows = np.ones((2, len(self.model.langs)), np.float32)
+        self.known = np.zeros((2, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(2, np.int64)
         self.new: list[str] = []
         self.n = 2
 
@@ -207,6 +253,8 @@ class Words(dict):
             flat, owner = features(self.new)
             s = np.add.reduceat(self.model.w[flat], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
             self.rows = np.vstack([self.rows, np.exp(np.maximum(s - s.max(axis=1, keepdims=True), -40))])
+            self.known = np.vstack([self.known, self.model.known(self.new)])
+            self.letters = np.concatenate([self.letters, [len(w) for w in self.new]])
             self.new = []
 
 
@@ -239,27 +287,43 @@ def label_words(ids: np.ndarray, doc: np.ndarray, words: Words) -> tuple[np.ndar
     return g / g.sum(axis=1, keepdims=True), doc
 
 
-def predict(texts: list[str | None], words: Words) -> list[tuple[str, float]]:
-    """(language, score) of each text, in batches of about BATCH_WORDS words."""
+def predict(texts: list[str | None], words: Words) -> list[tuple[str, float, float, float]]:
+    """(language, score, known, letters) of each text, in batches of about BATCH_WORDS words.
+
+    ``known`` is the share of its letters in trigrams seen in the languages that its words are labelled
+    with, ``letters`` their share in all characters but spaces.
+    """
     n_lang = len(words.model.langs)
-    out: list[tuple[str, float]] = []
+    out: list[tuple[str, float, float, float]] = []
     ids: list[np.ndarray] = []
+    wide: list[int] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
         if not ids:
             return
-        g, doc = label_words(np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids]), words)
+        flat = np.concatenate(ids)
+        g, doc = label_words(flat, np.repeat(np.arange(len(ids)), [len(x) for x in ids]), words)
+        flat = flat[flat > 1]
+        long = words.letters[flat]
+        letters = np.bincount(doc, long, minlength=len(ids))
+        known = np.bincount(doc, long * (g * words.known[flat]).sum(axis=1), minlength=len(ids)) / np.maximum(letters, 1)
+        letters = np.minimum(letters / np.maximum(wide, 1), 1)
         n = np.bincount(doc, minlength=len(ids))
         mean = np.stack([np.bincount(doc, g[:, y], minlength=len(ids)) for y in range(n_lang)], axis=1) / np.maximum(n, 1)[:, None]
         best = mean.argmax(axis=1)
-        out.extend((words.model.langs[b], float(min(max(mean[k, b], 0.0), 1.0))) if n[k] else (UNKNOWN, 0.0) for k, b in enumerate(best))
+        out.extend(
+            (words.model.langs[b], float(min(max(mean[k, b], 0.0), 1.0)), float(known[k]), float(letters[k])) if n[k] else (UNKNOWN, 0.0, 0.0, 0.0)
+            for k, b in enumerate(best)
+        )
         ids.clear()
+        wide.clear()
         size = 0
 
     for text in texts:
         ids.append(np.array(list(map(words.__getitem__, _TOKEN.findall(text.lower()))) if text else [], dtype=np.int64))
+        wide.append(sum(map(len, text.split())) if text else 0)
         size += len(ids[-1])
         if size >= BATCH_WORDS or words.n >= words.limit:
             flush()
@@ -269,10 +333,10 @@ def predict(texts: list[str | None], words: Words) -> list[tuple[str, float]]:
     return out
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES) -> Model | None:
-    """Train on the bounded sample. Documents without id, text or language are left out of it."""
+def _sample(docs: DataFrame, fold: F.Column, per_lang: int, train_bytes: int) -> pd.DataFrame | None:
+    """The bounded sample of a fold. Documents without id, text or language are left out of it."""
     narrow = docs.select("doc_id", "lang", F.octet_length("text").alias("n"))
-    narrow = narrow.filter(F.col("n").between(1, train_bytes) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    narrow = narrow.filter(F.col("n").between(1, train_bytes) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & fold)
     langs = [r[0] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
     drawn = None
     for lang in langs:
@@ -282,23 +346,50 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTE
         return None
     drawn = F.broadcast(drawn.distinct())  # at most 64 languages * per_lang rows
     sample = docs.select("doc_id", "text", "lang").join(drawn, ["doc_id", "lang"]).filter(F.octet_length("text").between(1, train_bytes))
-    return train(sample.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True))
+    return sample.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES) -> Model | None:
+    """Train on the bounded sample outside the held-out fold."""
+    sample = _sample(docs, ~held_out(F.col("doc_id")), per_lang, train_bytes)
+    return None if sample is None else train(sample)
+
+
+def floors(docs: DataFrame, model: Model, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES) -> tuple[float, float]:
+    """Least ``known`` and ``letters`` of a text in a learned language, from a bounded sample of the held-out fold.
+
+    ``known`` is cut a quarter of the way from what ``SURE`` of these documents stay below when their own
+    language is left out of the model to what as many reach with it, but at ``SLACK`` of the latter at most;
+    ``letters`` at a third of what ``SURE`` of them reach. Without held-out documents they are 0.5 and 0.25.
+    """
+    sample = _sample(docs, held_out(F.col("doc_id")), per_lang, train_bytes)
+    sample = None if sample is None else sample[sample["lang"].isin(model.langs)]
+    own = [] if sample is None else [p for p in predict(sample["text"].tolist(), Words(model)) if p[0] != UNKNOWN]
+    if not own:
+        return 0.5, 0.25
+    known, letters = (float(np.quantile([p[k] for p in own], 1 - SURE)) for k in (2, 3))
+    foreign = [0.0]
+    if len(model.langs) > 1:
+        for lang, texts in sample.groupby("lang")["text"]:
+            foreign += [p[2] for p in predict(texts.tolist(), Words(model.without(lang))) if p[0] != UNKNOWN]
+    return min(0.25 * known + 0.75 * float(np.quantile(foreign, SURE)), SLACK * known), letters / 3
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text, lang, source, n_chars as far as there) with lang_pred and score."""
+    """The columns of ``docs`` (doc_id, text, lang, source, n_chars as far as there) with lang_pred, score, known and letters."""
     cols = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(model) if model else None
         for part in parts:
-            got = predict(part["text"].tolist(), words) if words else [(UNKNOWN, 0.0)] * len(part)
-            part["lang_pred"], part["score"] = [g[0] for g in got], [g[1] for g in got]
+            got = predict(part["text"].tolist(), words) if words else [(UNKNOWN, 0.0, 0.0, 0.0)] * len(part)
+            for k, name in enumerate(("lang_pred", "score", "known", "letters")):
+                part[name] = [g[k] for g in got]
             yield part
 
     rows = docs.select(*cols)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, fields + ", lang_pred string, score double")
+    return rows.mapInPandas(run, fields + ", lang_pred string, score double, known double, letters double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
