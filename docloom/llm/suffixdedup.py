@@ -10,11 +10,13 @@ an anchor with ``LEFT`` bytes before and ``LENGTH`` bytes from it on holds every
 2. The anchors that remain with differing surroundings are sorted twice, by the bytes from them on and by those
    before them read backwards: multikey quicksort on eight-byte words down to ``SHALLOW`` bytes, then
    blind tries for groups whose common prefix is deeper.
+   An anchor with more than ``HOT_KINDS`` differing surroundings is not sorted in one task: the strings around its
+   occurrences are dealt by 128 bits of hash over their bytes, and all but the earliest of a hash are repeats.
 3. The common prefixes of neighbours in both orders give the classes of equal strings at every
    offset, and in each class all but the earliest string are repeats.
 4. Repeats are joined to their documents and their bytes removed.
 
-No step compares all pairs of a group; hashes of step 1 only choose what is sorted together.
+No step compares all pairs of a group. Step 1 still takes all occurrences of an anchor, 24 bytes each, into one task.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ GRAM = 32
 LEFT = LENGTH - GRAM
 SHALLOW = 48
 PART_BYTES = 12_000_000
+HOT_KINDS = 10_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -85,6 +88,18 @@ def _around(b: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return h
 
 
+def string_hashes(b: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the LENGTH bytes from each start on."""
+    raw = np.lib.stride_tricks.sliding_window_view(b, 8)
+    words = np.ascontiguousarray(raw).view("<u8")[:, 0]
+    one, two = np.full(len(start), _ODD[2]), np.full(len(start), _ODD[3])
+    for i in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        w = words[start + i]
+        one = C.mix64(one * _ODD[0] + w)
+        two = C.mix64(two * _ODD[1] ^ w)
+    return one, two
+
+
 # --- deep-shallow sorting ---------------------------------------------------------------------
 
 
@@ -241,7 +256,7 @@ def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     Null and empty texts have no bytes. Rows with a null doc_id have no place in the order of
@@ -284,7 +299,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         kinds = np.bincount(np.cumsum(new_h) - 1, weights=new_a)[np.cumsum(new_h) - 1]
         sort = new_a & (kinds > 1)
         both = np.concatenate([x[again], x[sort]])
-        code = np.concatenate([x["pos"][again].astype(np.int64) * 2, x["pos"][sort].astype(np.int64) * 2 + 1])
+        kind = np.concatenate([np.zeros(again.sum(), np.int64), np.where(kinds[sort] > hot_kinds, 2, 1)])
+        code = both["pos"].astype(np.int64) * 3 + kind  # 0 is a repeat, 1 is to be sorted, 2 is around a hot anchor
         return pd.DataFrame({"doc_id": both["doc"], "code": code})
 
     codes = named.mapInPandas(find, "part long, rows binary").groupBy("part").applyInPandas(compare, "doc_id long, code long")
@@ -296,7 +312,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for doc, text, own in zip(batch["doc_id"], batch["text"], batch["codes"], strict=True):
                 b = _bytes(text)
                 pos = np.unique(np.asarray(own, np.int64))
-                pos = pos[pos % 2 == 1] // 2
+                pos = pos[pos % 3 == 1] // 3
                 pos = pos[pos + GRAM <= len(b)]
                 rows = np.zeros(len(pos), _AROUND)
                 rows["doc"], rows["pos"], rows["size"], rows["s"] = doc, pos, len(b), surroundings(b, pos)
@@ -318,10 +334,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         got = repeats(x["s"], x["doc"], x["pos"].astype(np.int64), x["size"].astype(np.int64))
         return pd.DataFrame({"doc_id": x["doc"][got[:, 0]], "start": got[:, 1], "end": got[:, 2]})
 
-    unsorted = codes.filter(F.exists("codes", lambda c: c % 2 == 1))
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, held = [], 0
+            for doc, text, own in zip(batch["doc_id"], batch["text"], batch["codes"], strict=True):
+                b = _bytes(text)
+                pos = np.unique(np.asarray(own, np.int64))
+                pos = pos[pos % 3 == 2] // 3
+                start = np.unique((pos[:, None] - np.arange(LEFT + 1)).ravel())
+                start = start[(start >= 0) & (start + LENGTH <= len(b))]
+                if len(start):
+                    one, two = string_hashes(b, start)
+                    out.append(np.stack([one.view(np.int64), two.view(np.int64), np.full(len(start), doc), start], axis=1))
+                    held += len(start)
+                if held > 200_000:
+                    yield pd.DataFrame(np.concatenate(out), columns=["one", "two", "doc_id", "start"])
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["one", "two", "doc_id", "start"])
+
+    unsorted = codes.filter(F.exists("codes", lambda c: c % 3 == 1))
     found = named.join(unsorted, "doc_id").mapInPandas(extract, "part long, rows binary").groupBy("part").applyInPandas(sort, "doc_id long, start long, end long")
+    hot = codes.filter(F.exists("codes", lambda c: c % 3 == 2))
+    hot = C.materialise(named.join(hot, "doc_id").mapInPandas(strings, "one long, two long, doc_id long, start long"), "suffix-hot")
+    least = hot.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.max(F.struct("doc_id", "start")).alias("tail"))
+    least = least.filter("head != tail").select("one", "two", "head")
+    again = hot.join(least, ["one", "two"]).filter(F.struct("doc_id", "start") != F.col("head"))
+    found = found.unionByName(again.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    marks = codes.select("doc_id", F.filter("codes", lambda c: c % 2 == 0).alias("codes")).join(found, "doc_id", "full")
+    marks = codes.select("doc_id", F.filter("codes", lambda c: c % 3 == 0).alias("codes")).join(found, "doc_id", "full")
     marks = C.materialise(marks, "suffix-marks")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,7 +372,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 b = _bytes(text)
                 steps = np.zeros(len(b) + 1, np.int64)
                 if own is not None and len(own):
-                    pos = np.asarray(own, np.int64) // 2
+                    pos = np.asarray(own, np.int64) // 3
                     a, z = np.maximum(pos - LEFT, 0), np.minimum(pos + LENGTH, len(b))
                     far = z - a >= LENGTH
                     np.add.at(steps, a[far], 1)

@@ -266,6 +266,28 @@ def test_suffix_dedup(docs, empty):
     assert suffixdedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_hot_anchors(spark, docs):
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, "".join(rng.choice("klmnopq ") for _ in range(60)) + ("XY" if i % 5 else "same ") * 8 + line + rng.choice(["tail" * 9, str(i) * 40]) + "z" * (i % 4)) for i in range(80)]
+    shared = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def result(df, **options):
+        return sorted(tuple(r) for r in suffixdedup.remove_repeats(df.filter("doc_id is not null"), **options).drop("kept").collect())
+
+    for df in (docs, shared):
+        assert result(df, hot_kinds=1) == result(df)
+    seen, want = set(), {}
+    for i, t in rows:
+        gone = set()
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone.update(range(k, k + 100))
+            seen.add(t[k : k + 100])
+        want[i] = len(gone)
+    assert {r[0]: r[2] for r in result(shared, hot_kinds=5)} == want and max(want.values()) > 100
+
+
 def test_deep_shallow_sort_orders_rows():
     rng = np.random.default_rng(6)
     rows = rng.integers(97, 99, size=(400, 100)).astype(np.uint8)
