@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Words are maximal runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from docloom.session import shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["WORD", "buckets", "by_group", "identified", "materialise", "mix64", "numbered", "shared_dir", "table"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Words are maximal runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +48,50 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], spread: Colum
     return df.join(totals, on).select(*kept, (F.col("_r") + F.col("_o")).alias(out))
 
 
+def identified(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a long ``uid`` that no two rows share, and whether it is doc_id itself.
+
+    Where ids are null or repeat, rows are written once with numbers of their own, in the order of doc_id.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("uid", F.col("doc_id")), True
+    # Numbers that increase over sorted ranges of doc_id increase with doc_id; hashes spread what repeats.
+    spread = F.xxhash64(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    ranged = docs.repartitionByRange(buckets(n), F.col("doc_id").asc_nulls_last(), spread).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), spread)
+    return materialise(ranged.withColumn("uid", F.monotonically_increasing_id()), name), False
+
+
+def by_group(df: DataFrame, keys: list[str], f: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str, partitions: int) -> DataFrame:
+    """``f`` over the rows of each group, as arrays by column; for many small groups, several of which share an Arrow batch."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for part in parts:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            cols = {c: part[c].to_numpy() for c in part.columns}
+            new = np.zeros(len(part), bool)
+            for k in keys:
+                new[1:] |= cols[k][1:] != cols[k][:-1]
+            cuts = np.flatnonzero(new)
+            rest = part.iloc[cuts[-1] :] if len(cuts) else part
+            yield of(cols, cuts)
+        if rest is not None and len(rest):
+            yield of({c: rest[c].to_numpy() for c in rest.columns}, np.array([len(rest)]))
+
+    def of(cols: dict[str, np.ndarray], cuts: np.ndarray) -> pd.DataFrame:
+        out: list[tuple] = []
+        start = 0
+        for end in cuts.tolist():
+            out += f({c: v[start:end] for c, v in cols.items()})
+            start = end
+        return pd.DataFrame(out, columns=names)
+
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def buckets(n_rows: int, rows_each: int = 20_000) -> int:
     """How many buckets keep each near ``rows_each`` rows; grows with the table, without a ceiling."""
     return max(1, -(-n_rows // rows_each))

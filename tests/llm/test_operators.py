@@ -219,6 +219,31 @@ def test_prefix_tree_join(docs, empty, n, percent, cut):
     assert triejoin.near_duplicates(empty).count() == 0
 
 
+def test_prefix_tree_join_between_chunks(spark):
+    """A cluster of many chunks, a second one that touches it at the edge, and rows that repeat an id or have none."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+
+    def edited(*places):
+        return " ".join("e%d" % rng.randrange(10**6) if k in places else w for k, w in enumerate(base))
+
+    rows = [(i, edited(i % 60)) for i in range(3, 43)] + [(100 + i, edited(0, 1, 2, 58 - i % 2, 59)) for i in range(12)]
+    rows += [(2, edited(5)), (2, "other words of a repeated id"), (1, "other words of a repeated id"), (None, edited(30)), (None, "nothing like it at all")]
+    rows += [(500 + i, " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(20)]
+    for cut in (10**6, 300):
+        got = triejoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80, group_shingles=cut).collect()
+        sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for _, t in rows for w in [t.split()]]
+        comp = list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                    comp = [comp[a] if c == comp[b] else c for c in comp]
+        least = {c: min((rows[k][0] for k in range(len(rows)) if comp[k] == c and rows[k][0] is not None), default=None) for c in comp}
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((rows[k][0], len(sets[k]), least[comp[k]]) for k in range(len(rows)))
+    kept = triejoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)), 4, 80)
+    assert kept.columns == ["doc_id", "text", "n"] and kept.count() == len(set(comp))
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs, block=16).collect()
     assert len(rows) == len(ROWS)
