@@ -5,9 +5,10 @@ result, since ties go to the smaller id. Points are dealt into shards of about `
 A shard holds one vantage-point tree in the space where the largest inner product is the smallest
 distance: a vector gets one more component, ``sqrt(M^2 - |x|^2)`` with ``M`` the shard's largest norm.
 A subtree is visited unless ``factor`` times its lower bound from the triangle inequality exceeds the
-distance of the k-th best so far; ``factor`` 1 never loses a neighbour.
+distance of the k-th best so far; ``factor`` 1 never loses a neighbour. Rows are ranked by inner
+product, and all that tie with the k-th are kept until ids decide.
 
-Trees and blocks of query vectors are binary rows of bounded size. Every query block meets every
+Built trees and blocks of query vectors are stored as binary rows of bounded size. Every query block meets every
 shard (a stated query set against all rows, in blocks): a task takes a block through a group of
 shards one after the other, so that what it has found bounds what it still looks at, and the best of
 all groups are merged.
@@ -41,27 +42,30 @@ def usable(vec: Column) -> Column:
 
 
 class Tree:
-    """Nodes as arrays; points reordered so that a node is a range of rows."""
+    """Nodes as arrays over the rows of ``x``; ``order`` lists the rows so that a node is a range of them."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
+        self.x = x
         norm2 = (x * x).sum(axis=1)
         self.top = float(norm2.max()) if len(x) else 0.0
-        self.x = np.hstack([x, np.sqrt(np.maximum(self.top - norm2, 0.0))[:, None]])
         self.order = np.arange(len(x))
+        self._lifted = np.hstack([x, np.sqrt(np.maximum(self.top - norm2, 0.0))[:, None]])
         self.nodes: list[tuple] = []  # start, end, vantage row or -1, inner child, outer child, inner radius, outer radius
-        self.root = self._build(0, len(x), leaf) if len(x) else -1
+        if len(x):
+            self._build(0, len(x), leaf)
+        del self._lifted
 
     def _build(self, a: int, z: int, leaf: int) -> int:
         k = len(self.nodes)
         self.nodes.append((a, z, -1, -1, -1, 0.0, 0.0))
         if z - a <= leaf:
             return k
-        own = self.order[a:z]
+        own, x = self.order[a:z], self._lifted
         # The point farthest from the middle spreads distances most.
-        mid = self.x[own].mean(axis=0)
-        v = int(np.argmax(((self.x[own] - mid) ** 2).sum(axis=1)))
+        mid = x[own].mean(axis=0)
+        v = int(np.argmax(((x[own] - mid) ** 2).sum(axis=1)))
         own[0], own[v] = own[v], own[0]
-        d = np.sqrt(((self.x[own[1:]] - self.x[own[0]]) ** 2).sum(axis=1))
+        d = np.sqrt(((x[own[1:]] - x[own[0]]) ** 2).sum(axis=1))
         rank = np.argsort(d, kind="stable")
         own[1:] = own[1:][rank]
         d = d[rank]
@@ -71,53 +75,70 @@ class Tree:
         self.nodes[k] = (a, z, int(own[0]), inner, outer, float(d[half - 1]) if half else 0.0, float(d[half]))
         return k
 
+    def dumps(self) -> bytes:
+        """Largest squared norm, number of nodes, nodes and order, as doubles."""
+        return np.concatenate([[self.top, len(self.nodes)], np.array(self.nodes, float).ravel(), self.order.astype(float)]).tobytes()
+
+    @classmethod
+    def loads(cls, data: bytes, x: np.ndarray) -> Tree:
+        self, flat = cls.__new__(cls), np.frombuffer(data)
+        n = int(flat[1])
+        self.x, self.top, self.order = x, float(flat[0]), flat[2 + 7 * n :].astype(np.int64)
+        self.nodes = [(*map(int, r[:5]), *r[5:]) for r in flat[2 : 2 + 7 * n].reshape(n, 7).tolist()]
+        return self
+
     def search(self, q: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and squared distances of the k nearest of each query, padded with -1 and infinity.
+        """(query, row) of the k largest inner products of each query, with all rows that tie with the last of them.
 
         ``floor``: inner products below which a query wants no rows, as it has k better ones already.
         """
-        best_d = np.full((len(q), k), np.inf)
+        best = np.full((len(q), k), -np.inf)
         if floor is not None:
-            reach = (q * q).sum(axis=1) + self.top - 2 * floor
-            best_d[:] = (np.maximum(reach, 0.0) * (1 + 1e-9) + 1e-9)[:, None]
-        best_i = np.full((len(q), k), -1)
-        if self.root < 0:
-            return best_i, best_d
-        q = np.hstack([q, np.zeros((len(q), 1))])
-        q2 = (q * q).sum(axis=1)
-        x2 = (self.x * self.x).sum(axis=1)
-
-        def offer(who: np.ndarray, rows: np.ndarray) -> None:
-            d = np.maximum(q2[who][:, None] + x2[rows][None, :] - 2 * (q[who] @ self.x[rows].T), 0.0)
-            near = d.min(axis=1) <= best_d[who].max(axis=1)
-            who, d = who[near], d[near]
-            if len(who):
-                all_d = np.hstack([best_d[who], d])
-                all_i = np.hstack([best_i[who], np.broadcast_to(rows, d.shape)])
-                keep = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-                best_d[who] = np.take_along_axis(all_d, keep, 1)
-                best_i[who] = np.take_along_axis(all_i, keep, 1)
+            best[:] = floor[:, None]
+        if not self.nodes or not len(q):
+            return np.zeros(0, int), np.zeros(0, int)
+        x = self.x
+        reach = (q * q).sum(axis=1) + self.top  # all lifted points have the squared norm ``top``
+        close = 1e-12 * reach  # sums in another order may differ by rounding
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def offer(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            s = q[who] @ x[rows].T
+            least = best[who].min(axis=1) - close[who]
+            near = s.max(axis=1) >= least
+            if near.any():
+                on, own = who[near], s[near]
+                i, j = np.nonzero(own >= least[near][:, None])
+                hits.append((on[i], rows[j], own[i, j]))
+                best[on] = np.partition(np.hstack([best[on], own]), -k, axis=1)[:, -k:]
+            return s
 
         def visit(n: int, who: np.ndarray) -> None:
             a, z, v, inner, outer, r_in, r_out = self.nodes[n]
             if v < 0:
                 offer(who, self.order[a:z])
                 return
-            offer(who, np.array([v]))
-            d = np.sqrt(np.maximum(q2[who] + x2[v] - 2 * (q[who] @ self.x[v]), 0.0))
+            d = np.sqrt(np.maximum(reach[who] - 2 * offer(who, np.array([v]))[:, 0], 0.0))
             first_in = d <= (r_in + r_out) / 2
-            for near, child, other in ((first_in, inner, outer), (~first_in, outer, inner)):
+            for near, child in ((first_in, inner), (~first_in, outer)):
                 if near.any():
                     visit(child, who[near])
             for near, child in ((first_in, outer), (~first_in, inner)):
-                low = (r_out - d if child == outer else d - r_in)[near]
-                tau = np.sqrt(best_d[who[near]].max(axis=1))
-                far = who[near][factor * low <= tau]
+                if not near.any():
+                    continue
+                own = who[near]
+                low = r_out - d[near] if child == outer else d[near] - r_in
+                tau = np.sqrt(np.maximum(reach[own] - 2 * best[own].min(axis=1), 0.0) + 4 * close[own])
+                far = own[factor * low <= tau + 1e-9 * np.sqrt(reach[own])]
                 if len(far):
                     visit(child, far)
 
-        visit(self.root, np.arange(len(q)))
-        return best_i, best_d
+        visit(0, np.arange(len(q)))
+        if not hits:
+            return np.zeros(0, int), np.zeros(0, int)
+        i, j, s = (np.concatenate(h) for h in zip(*hits, strict=True))
+        on = s >= best[i].min(axis=1) - close[i]
+        return i[on], j[on]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -129,13 +150,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FAC
 
     Columns used: vec_id, embedding. Rows whose vector is null, empty, zero or has null or non-finite
     components take no part, nor do rows without id; only vectors of the same length are compared.
-    Equal scores rank by the smaller vec_id. Rows that repeat an id and vector count once; a query has
-    fewer than k rows where there are fewer candidates, and an empty table gives none.
+    Equal scores rank by the smaller vec_id. Rows that repeat an id count once, with the least of their
+    vectors in the order of arrays; a query has fewer than k rows where there are fewer candidates, and an
+    empty table gives none.
     """
     spark = vectors.sparkSession
     vec = F.col("embedding")
     rows = vectors.withColumn("_q", F.coalesce(queries, F.lit(False))).filter(usable(vec) & F.col("vec_id").isNotNull())
-    rows = rows.select("vec_id", "_q", F.transform(vec, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))).alias("v")).distinct()
+    plain = F.transform(vec, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))  # no negative zeros
+    rows = rows.groupBy("vec_id").agg(F.max("_q").alias("_q"), F.min(plain).alias("v"))
     # row_number() with a limit keeps k + 1 rows of each vector before anything is shuffled.
     lowest = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("_n", F.row_number().over(lowest)).filter(F.col("_n") <= k + 1)
@@ -150,10 +173,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FAC
         x = np.array(part["v"].to_list(), dtype=np.float64).reshape(len(part), int(key[0]))
         ids = part["ids"].to_list()
         at = np.cumsum([0, *map(len, ids)])
-        return pd.DataFrame({"dim": [int(key[0])], "shard": [int(key[1])], "x": [_pack(x)], "ids": [_pack(np.concatenate(ids).astype(np.int64))], "at": [_pack(at.astype(np.int64))]})
+        return pd.DataFrame({"dim": [int(key[0])], "shard": [int(key[1])], "x": [_pack(x)], "tree": [Tree(x).dumps()], "ids": [_pack(np.concatenate(ids).astype(np.int64))], "at": [_pack(at.astype(np.int64))]})
 
     index = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).withColumn("head", F.col("ids")[0])
-    index = C.materialise(index.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, x binary, ids binary, at binary"), "vp-index")
+    index = C.materialise(index.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, x binary, tree binary, ids binary, at binary"), "vp-index")
 
     unique = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
     n_blocks = C.buckets(unique.count(), block)
@@ -182,11 +205,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FAC
                 if r.shard not in trees:
                     if len(trees) >= GROUP:
                         trees.clear()
-                    trees[r.shard] = Tree(np.frombuffer(r.x).reshape(-1, r.dim))
+                    trees[r.shard] = Tree.loads(r.tree, np.frombuffer(r.x).reshape(-1, r.dim))
                 x, ids, at = np.frombuffer(r.x).reshape(-1, r.dim), np.frombuffer(r.ids, np.int64), np.frombuffer(r.at, np.int64)
-                found, _ = trees[r.shard].search(q, min(k + 1, len(x)), factor, floor if np.isfinite(floor).all() else None)
-                qi, col = np.nonzero(found >= 0)
-                row = found[qi, col]
+                qi, row = trees[r.shard].search(q, k + 1, factor, floor)
                 score = (q[qi] * x[row]).sum(axis=1)
                 n_ids = at[row + 1] - at[row]
                 rep = np.repeat(np.arange(len(row)), n_ids)
