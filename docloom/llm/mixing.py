@@ -75,21 +75,23 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def segments(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, targets, parts): rows are documents with ``uid``; parts are (uid, slot, epoch, from_word, words).
+    """(rows, targets, parts): rows are documents with place and nth; parts are (place, nth, slot, epoch, from_word, words).
 
-    ``uid`` tells repeated rows apart: it is the document's place in its source's stream.
+    ``place`` is the source's and ``nth`` the document's in its source's stream, which tells repeated rows apart.
+    A hash of the text orders rows that agree in id and size.
     """
     rows = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text").alias("of_text"), *[c for c in ("uid",) if c in docs.columns],
     )
     rows = C.materialise(rows, "mix-sizes")
     targets = C.materialise(source_targets(rows, weights, max_repeats), "mix-targets")
     rows = rows.join(targets.select(F.col("source").alias("_s"), "place", "source_size", "target", "goal"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     n_buckets = C.buckets(rows.count())
-    h = F.xxhash64("doc_id", F.lit("mix"))
+    h = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("of_text")), F.lit("mix"))
     spread = F.floor(F.shiftrightunsigned(h, 32).cast("double") / F.lit(float(1 << 32)) * n_buckets)
-    order = [h, F.col("doc_id"), F.col("size")]
+    order = [h, F.col("doc_id"), F.col("size"), F.col("of_text")]
     rows = C.numbered(rows, ["place"], order, spread, "start", F.col("size"))
     rows = C.numbered(rows, ["place"], order, spread, "nth")
     rows = C.materialise(rows, "mix-rows")
@@ -118,5 +120,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     )
 
 
+def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, to the nearest whole time; texts without words and rows never taken go.
+
+    Columns: those of ``docs``. Rows without id and rows that repeat one are taken like any other.
+    """
+    keyed, _ = C.identified(docs, "mix-keyed")
+    rows, _, parts = segments(keyed.select("uid", "doc_id", "source", "text"), weights, block, max_repeats)
+    taken = parts.groupBy("place", "nth").agg(F.sum("words").alias("taken"))
+    copies = rows.join(taken, ["place", "nth"]).select("uid", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    copies = copies.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("uid")
+    return keyed.join(copies, "uid").select(*docs.columns)
+
+
 def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(C.table(spark, sf_dir, "documents")).drop("source")
