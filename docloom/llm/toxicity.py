@@ -5,6 +5,9 @@ noisy-or of its sentences, ``1 - prod(1 - p)``. Only documents have labels, so t
 through the noisy-or: its gradient goes to the sentences that explain the label. The trained weights
 then score every sentence of every document, which locates the offending ones.
 
+A sentence of a document of n sentences starts from odds n times smaller: sentences without evidence add up to
+the same, however many there are, so that clean texts do not become toxic by being long.
+
 Training uses at most ``PER_CLASS`` labelled documents of each label, the first in hashed order, of
 at most ``TRAIN_BYTES`` each; labels are matched to all documents before the sample is taken.
 Scoring covers every document and its whole text.
@@ -67,8 +70,7 @@ def train(sample: pd.DataFrame, epochs: int = EPOCHS) -> tuple[dict[str, float],
     vocab: dict[str, int] = {}
     bags, seen = [], {}
     for n, text in enumerate(sample["text"]):
-        low = text.lower()
-        bag = [{vocab.setdefault(f, len(vocab)) for w in set(_TOKEN.findall(low[a:z])) for f in features(w)} for a, z in sentences(low)]
+        bag = [{vocab.setdefault(f, len(vocab)) for w in set(_TOKEN.findall(text[a:z].lower())) for f in features(w)} for a, z in sentences(text)]
         bags.append([b for b in bag if b])
         for w in set().union(*bags[-1]):
             seen.setdefault(w, []).append(n)
@@ -92,10 +94,11 @@ def train(sample: pd.DataFrame, epochs: int = EPOCHS) -> tuple[dict[str, float],
     word, sent, doc_of = np.array(word, int), np.array(sent, int), np.array(doc_of, int)
     has = np.bincount(doc_of, minlength=len(labels)) > 0 if n_sent else np.zeros(len(labels), bool)
     cost = has / max(has.sum(), 1)
+    prior = -np.log(np.bincount(doc_of, minlength=len(labels)))[doc_of]
     w, b = np.zeros(len(keep)), -3.0
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     for t in range(1, epochs + 1):
-        z = b + np.bincount(sent, w[word], minlength=n_sent)
+        z = b + prior + np.bincount(sent, w[word], minlength=n_sent)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         log_none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(labels))
         doc_p = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-9)
@@ -129,18 +132,21 @@ class _Weights(dict):
 def sentence_scores(text: str | None, weights: _Weights, bias: float) -> tuple[list[tuple[int, int]], np.ndarray]:
     if not text:
         return [], np.zeros(0)
-    low = text.lower() if len(text.lower()) == len(text) else text  # spans must fit the text
-    spans = sentences(low)
-    z = np.array([bias + sum({f: weights[f] for f in _TOKEN.findall(low[a:e])}.values()) for a, e in spans])
+    spans = [(a, e) for a, e in sentences(text) if _TOKEN.search(text, a, e)]
+    z = np.array([sum({f: weights[f] for f in _TOKEN.findall(text[a:e].lower())}.values()) for a, e in spans])
+    z = z + bias - np.log(max(len(spans), 1))
     return spans, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES) -> tuple[dict[str, float], float]:
-    """Train on documents outside the held-out fold. Conflicting or null labels of a document: the larger one, nulls ignored."""
+    """Train on documents outside the held-out fold. Conflicting or null labels of a document: the larger one, nulls ignored.
+
+    Of texts that share an id the one with the least hash is learned from.
+    """
     gold = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     gold = gold.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     # Which documents are drawn is decided on narrow rows; texts are read for those alone.
-    narrow = docs.select("doc_id", F.octet_length("text").alias("n")).filter(F.col("n").between(1, train_bytes)).distinct()
+    narrow = docs.select("doc_id", F.octet_length("text").alias("n")).filter(F.col("n").between(1, train_bytes)).select("doc_id").distinct()
     gold = narrow.join(gold, "doc_id")
     drawn = None
     for label in (0, 1):
@@ -148,8 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, train_by
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = F.broadcast(drawn.select("doc_id", "toxic"))  # at most 2 * per_class rows
     sample = docs.select("doc_id", "text").join(drawn, "doc_id").filter(F.octet_length("text").between(1, train_bytes))
-    rows = sample.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    return train(rows)
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("one"))
+    return train(sample.select("doc_id", "one.text", "one.toxic").toPandas().sort_values("doc_id", ignore_index=True))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -201,6 +201,17 @@ def test_toxicity(spark, docs, empty):
     assert np.mean([out[i]["predicted"] == gold[i][1] for i in held]) > 0.97
     text = dict(rows)
     assert all(re.search("grubble|snarfit", text[i][out[i]["start"] : out[i]["end"]]) for i in held if out[i]["predicted"] and gold[i][1])
+    # Against a plain noisy-or, over sentences that have a word.
+    weights, bias = toxicity.fit(df, lab)
+    for i in list(text)[:40]:
+        parts = [w for w in (re.findall(r"\w+", x.lower()) for x in re.split(r"[.!?\n]+", text[i])) if w]
+        p = [1 / (1 + math.exp(-(bias - math.log(len(parts)) + sum(weights.get(f, 0.0) for w in set(own) for f in toxicity.features(w))))) for own in parts]
+        assert math.isclose(out[i]["score"], 1 - math.prod(1 - x for x in p), abs_tol=1e-9)
+    clean = [text[i] for i, bad in gold if not bad]
+    long = [(0, ".\n".join(clean)), (1, ".\n".join(clean * 5)), (2, ". ".join(clean[:40]) + ". İ GRUBBLE SNARFIT GRUBBLE"), (3, "İ the road. GRUBBLE goes on"), (3, None)]
+    found = {(r["doc_id"], r["score"] > 0): r for r in toxicity.score(spark.createDataFrame(long, "doc_id long, text string").unionByName(df.filter("doc_id > 3")), lab).collect()}
+    assert not found[0, True]["predicted"] and not found[1, True]["predicted"] and found[3, True]["predicted"] and found[2, True]["predicted"]
+    assert "GRUBBLE" in long[3][1][found[3, True]["start"] : found[3, True]["end"]]
     odd = toxicity.score(docs, lab.filter("doc_id < 0"))
     assert odd.count() == len(ROWS) and odd.filter("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score(empty, lab).count() == 0
