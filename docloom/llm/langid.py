@@ -9,8 +9,10 @@ to one for any text, so whether a text is in a learned language at all is told b
 the share of its letters in letter trigrams seen in training, and the share of letters in what is not space.
 
 Training draws at most ``PER_LANG`` documents of each language (first in hashed order, at most
-``TRAIN_BYTES`` each) outside the held-out fold. Only documents are labelled, each with one language,
-so a share of the training chains is spliced from sentences of two languages: it teaches switching.
+``TRAIN_BYTES`` each) outside the held-out fold and, of these, at most ``TRAIN_CHAINS`` sentences of each
+language, evenly spread. Only documents are labelled, each with one language, so a share of the training
+chains is spliced from sentences of two languages: it teaches switching. Every language that has a row
+outside the held-out fold is learned; more than ``MAX_LANGUAGES`` are an error, as the weights are held whole.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -37,9 +40,12 @@ FOLDS, HELD_OUT = 3, 1
 SURE, SLACK, COMMON = 0.9, 2 / 3, 0.02
 UNKNOWN = "und"
 BATCH_WORDS = 200_000
+PIECE = 1 << 20
+MAX_LANGUAGES = 500
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _ENDS = (".", "!", "?", "\n")
+_SPACE = re.compile(r"\s")
 
 
 def held_out(doc_id) -> F.Column:
@@ -55,11 +61,8 @@ def _hash(*codes: np.ndarray, salt: int) -> np.ndarray:
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of lower-case words and the word that each belongs to, in the order of the words.
-
-    A very long word counts by its first and last 32 letters.
-    """
-    marked = [f"<{w}>" if len(w) <= 64 else f"<{w[:32]}{w[-32:]}>" for w in words]
+    """Hashed features of lower-case words and the word that each belongs to, in the order of the words."""
+    marked = [f"<{w}>" for w in words]
     size = np.array([len(m) for m in marked])
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     end = np.cumsum(size)
@@ -68,7 +71,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     left = end[owner] - np.arange(len(code))  # letters from here to the word's end
     two, three = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
     at = np.arange(len(code)) - start[owner]
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(70, 0x100000001B3, np.uint64)]))
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max(initial=1)) - 1, 0x100000001B3, np.uint64)]))
     whole = np.add.reduceat(code * power[at], start)
     parts = [(_hash(whole, salt=1), np.arange(len(words)))]
     for n in (2, 3, 4):
@@ -287,71 +290,106 @@ def label_words(ids: np.ndarray, doc: np.ndarray, words: Words) -> tuple[np.ndar
     return g / g.sum(axis=1, keepdims=True), doc
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text cut before white space, which no word holds."""
+    a = 0
+    while len(text) - a > PIECE:
+        m = _SPACE.search(text, a + PIECE)
+        if m is None:
+            break
+        yield text[a : m.start()]
+        a = m.start()
+    yield text[a:]
+
+
+def _word_ids(text: str | None, words: Words) -> np.ndarray:
+    if not text:
+        return np.zeros(0, np.int64)
+    return np.concatenate([np.array(list(map(words.__getitem__, _TOKEN.findall(p.lower()))), dtype=np.int64) for p in _pieces(text)])
+
+
+def _cuts(ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of at most BATCH_WORDS tokens that start where a chain does, so that cutting changes no label."""
+    a = 0
+    while len(ids) - a > BATCH_WORDS:
+        own = ids[a : a + BATCH_WORDS]
+        ends, real = np.flatnonzero(own == 0), np.flatnonzero(own > 1)
+        full = len(real) // CHAIN * CHAIN
+        z = a + (int(ends[-1]) + 1 if len(ends) else int(real[full - 1]) + 1 if full else BATCH_WORDS)
+        yield ids[a:z]
+        a = z
+    yield ids[a:]
+
+
 def predict(texts: list[str | None], words: Words) -> list[tuple[str, float, float, float]]:
-    """(language, score, known, letters) of each text, in batches of about BATCH_WORDS words.
+    """(language, score, known, letters) of each text, in batches of about BATCH_WORDS words, inside long texts too.
 
     ``known`` is the share of its letters in trigrams seen in the languages that its words are labelled
     with, ``letters`` their share in all characters but spaces.
     """
     n_lang = len(words.model.langs)
-    out: list[tuple[str, float, float, float]] = []
+    total = np.zeros((len(texts), n_lang))
+    n, letters, known = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     ids: list[np.ndarray] = []
-    wide: list[int] = []
+    of: list[int] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
-        if not ids:
-            return
-        flat = np.concatenate(ids)
-        g, doc = label_words(flat, np.repeat(np.arange(len(ids)), [len(x) for x in ids]), words)
-        flat = flat[flat > 1]
-        long = words.letters[flat]
-        letters = np.bincount(doc, long, minlength=len(ids))
-        known = np.bincount(doc, long * (g * words.known[flat]).sum(axis=1), minlength=len(ids)) / np.maximum(letters, 1)
-        letters = np.minimum(letters / np.maximum(wide, 1), 1)
-        n = np.bincount(doc, minlength=len(ids))
-        mean = np.stack([np.bincount(doc, g[:, y], minlength=len(ids)) for y in range(n_lang)], axis=1) / np.maximum(n, 1)[:, None]
-        best = mean.argmax(axis=1)
-        out.extend(
-            (words.model.langs[b], float(min(max(mean[k, b], 0.0), 1.0)), float(known[k]), float(letters[k])) if n[k] else (UNKNOWN, 0.0, 0.0, 0.0)
-            for k, b in enumerate(best)
-        )
+        if ids:
+            flat = np.concatenate(ids)
+            g, doc = label_words(flat, np.repeat(of, [len(x) for x in ids]), words)
+            flat = flat[flat > 1]
+            long = words.letters[flat]
+            n[:] += np.bincount(doc, minlength=len(texts))
+            letters[:] += np.bincount(doc, long, minlength=len(texts))
+            known[:] += np.bincount(doc, long * (g * words.known[flat]).sum(axis=1), minlength=len(texts))
+            for y in range(n_lang):
+                total[:, y] += np.bincount(doc, g[:, y], minlength=len(texts))
         ids.clear()
-        wide.clear()
+        of.clear()
         size = 0
 
-    for text in texts:
-        ids.append(np.array(list(map(words.__getitem__, _TOKEN.findall(text.lower()))) if text else [], dtype=np.int64))
-        wide.append(sum(map(len, text.split())) if text else 0)
-        size += len(ids[-1])
-        if size >= BATCH_WORDS or words.n >= words.limit:
+    for k, text in enumerate(texts):
+        for part in _cuts(_word_ids(text, words)):
+            ids.append(part)
+            of.append(k)
+            size += len(part)
+            if size >= BATCH_WORDS:
+                flush()
+        if words.n >= words.limit:
             flush()
-            if words.n >= words.limit:
-                words.reset()
+            words.reset()
     flush()
-    return out
+    wide = np.array([sum(map(len, text.split())) if text else 0 for text in texts])
+    mean = total / np.maximum(n, 1)[:, None]
+    known, letters = known / np.maximum(letters, 1), np.minimum(letters / np.maximum(wide, 1), 1)
+    return [
+        (words.model.langs[b], float(min(max(mean[k, b], 0.0), 1.0)), float(known[k]), float(letters[k])) if n[k] else (UNKNOWN, 0.0, 0.0, 0.0)
+        for k, b in enumerate(mean.argmax(axis=1))
+    ]
 
 
-def _sample(docs: DataFrame, fold: F.Column, per_lang: int, train_bytes: int) -> pd.DataFrame | None:
-    """The bounded sample of a fold. Documents without id, text or language are left out of it."""
+def _sample(docs: DataFrame, fold: F.Column, per_lang: int, train_bytes: int, max_languages: int) -> pd.DataFrame | None:
+    """The bounded sample of a fold. Documents without id, text or language are left out of it; of texts that share an id and language the one with the least hash counts."""
     narrow = docs.select("doc_id", "lang", F.octet_length("text").alias("n"))
     narrow = narrow.filter(F.col("n").between(1, train_bytes) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & fold)
-    langs = [r[0] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    drawn = None
-    for lang in langs:
-        part = narrow.filter(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    if drawn is None:
+    # row_number() with a limit keeps per_lang rows of each language before anything is shuffled.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = narrow.select("doc_id", "lang").withColumn("k", first).filter(F.col("k") <= per_lang).select("doc_id", "lang").distinct()
+    n = narrow.select("lang").distinct().limit(max_languages + 1).count()
+    if n > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not n:
         return None
-    drawn = F.broadcast(drawn.distinct())  # at most 64 languages * per_lang rows
-    sample = docs.select("doc_id", "text", "lang").join(drawn, ["doc_id", "lang"]).filter(F.octet_length("text").between(1, train_bytes))
-    return sample.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
+    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(drawn), ["doc_id", "lang"]).filter(F.octet_length("text").between(1, train_bytes))  # at most max_languages * per_lang rows
+    sample = sample.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return sample.select("doc_id", "lang", "one.text").toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """Train on the bounded sample outside the held-out fold."""
-    sample = _sample(docs, ~held_out(F.col("doc_id")), per_lang, train_bytes)
+    sample = _sample(docs, ~held_out(F.col("doc_id")), per_lang, train_bytes, max_languages)
     return None if sample is None else train(sample)
 
 
@@ -362,7 +400,7 @@ def floors(docs: DataFrame, model: Model, per_lang: int = PER_LANG, train_bytes:
     language is left out of the model to what as many reach with it, but at ``SLACK`` of the latter at most;
     ``letters`` at a third of what ``SURE`` of them reach. Without held-out documents they are 0.5 and 0.25.
     """
-    sample = _sample(docs, held_out(F.col("doc_id")), per_lang, train_bytes)
+    sample = _sample(docs, held_out(F.col("doc_id")), per_lang, train_bytes, MAX_LANGUAGES)
     sample = None if sample is None else sample[sample["lang"].isin(model.langs)]
     own = [] if sample is None else [p for p in predict(sample["text"].tolist(), Words(model)) if p[0] != UNKNOWN]
     if not own:
@@ -392,6 +430,38 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInPandas(run, fields + ", lang_pred string, score double, known double, letters double")
 
 
+def label_runs(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Code-switched text: one row per run of words of one language: doc_id, start, end (code points, end exclusive), lang, n_words, score.
+
+    Every word of every whole text is in one run; ``score`` is the mean posterior of its words. A run ends where the
+    language changes and, in texts of more than BATCH_WORDS words, where a batch does. Texts without letters have none.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(model) if model else None
+        for part in parts:
+            for doc, text in zip(part["doc_id"], part["text"], strict=True):
+                found = list(_TOKEN.finditer(text)) if text and words else []
+                ids = np.array([words[m.group().lower()] for m in found], dtype=np.int64)
+                at, out = 0, []
+                for own in _cuts(ids):
+                    g, _ = label_words(own, np.zeros(len(own), np.int64), words) if words else (np.zeros((0, 1)), None)
+                    real = [m for m, i in zip(found[at : at + len(own)], own, strict=True) if i > 1]
+                    at += len(own)
+                    lang = g.argmax(axis=1)
+                    for s in np.split(np.arange(len(lang)), np.flatnonzero(np.diff(lang)) + 1):
+                        if len(s):
+                            y = lang[s[0]]
+                            out.append((doc, real[s[0]].start(), real[s[-1]].end(), model.langs[y], len(s), float(g[s, y].mean())))
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "start", "end", "lang", "n_words", "score"])
+                if words and words.n >= words.limit:
+                    words.reset()
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start int, end int, lang string, n_words int, score double")
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 

@@ -382,12 +382,34 @@ def test_language_id(spark, docs, empty):
     ids = np.array([w[x] for x in ["shall", "know", "thinger", "withera", "zukra", "vlika", "drzoer", "kvat"]])
     g, _ = langid.label_words(ids, np.zeros(8, int), w)
     assert [model.langs[k] for k in g.argmax(axis=1)] == ["en"] * 4 + ["xx"] * 4
+    mixed = "Shall know thinger withera zukra vlika drzoer kvat. Knower thing."
+    runs = langid.label_runs(spark.createDataFrame([(1, mixed), (2, None), (3, "12 ..")], "doc_id long, text string"), model).orderBy("start").collect()
+    assert [(mixed[r["start"] : r["end"]], r["lang"], r["n_words"]) for r in runs] == [("Shall know thinger withera", "en", 4), ("zukra vlika drzoer kvat", "xx", 4), ("Knower thing", "en", 2)]
     odd = langid.language_id(docs).collect()
     assert len(odd) == len(ROWS)
     assert all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", dict((i, t) for i, t, *_ in ROWS)[r["doc_id"]] or "")) for r in odd if r["doc_id"] is not None)
     assert langid.language_id(empty).count() == 0
 
 
+def test_every_language_and_every_letter_counts(spark, monkeypatch):
+    rng = random.Random(2)
+    langs = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(70)}
+    df = spark.createDataFrame([(i, " ".join(rng.choice(langs[la]) for _ in range(8)), la) for i in range(700) for la in [f"l{i % 70:02d}"]], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.langs) == 70
+    with pytest.raises(ValueError, match="more than 69 languages"):
+        langid.fit(df, max_languages=69)
+    a, b = langid.features(["x" * 60 + "middle" + "y" * 60])[0], langid.features(["x" * 60 + "muddle" + "y" * 60])[0]
+    assert sorted(a) != sorted(b)
+    # Long texts are labelled in parts that change nothing.
+    text = " ".join(rng.choice(langs["l03"] + langs["l04"]) + rng.choice(["", "", ".", " 7"]) for _ in range(3000))
+    whole = langid.predict([text, None, text + " end"], langid.Words(model))
+    monkeypatch.setattr(langid, "BATCH_WORDS", 200)
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    cut = langid.predict([text, None, text + " end"], langid.Words(model))
+    assert [w[0] for w in whole] == [c[0] for c in cut] and np.allclose([w[1:] for w in whole], [c[1:] for c in cut], atol=1e-5)
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(9)
     e, trans, start = rng.random((1, 4, 3)), rng.random((3, 3)), rng.random(3)
