@@ -5,18 +5,21 @@ are the least in some stretch of ``LENGTH - GRAM + 1`` positions. So only suffix
 an anchor with ``LEFT`` bytes before and ``LENGTH`` bytes from it on holds every string around it.
 
 1. Anchors of all documents are dealt by hash. One that occurs once is dropped. Of those with equal
-   surroundings (64 bits over all bytes and the lengths at the document's ends) the earliest remains
-   and the strings around the others all start earlier.
+   surroundings (128 bits of hash over all bytes and the lengths at the document's ends; their bytes are not
+   compared) the earliest remains and the strings around the others all start earlier. Batches combine
+   equal surroundings before they are sent. An anchor that a batch of ``BATCH_ANCHORS`` has with more than
+   ``HOT_ROWS`` differing surroundings is dealt by these instead, so that no task has to hold it.
 2. The anchors that remain with differing surroundings are sorted twice, by the bytes from them on and by those
    before them read backwards: multikey quicksort on eight-byte words down to ``SHALLOW`` bytes, then
    blind tries for groups whose common prefix is deeper.
-   An anchor with more than ``HOT_KINDS`` differing surroundings is not sorted in one task: the strings around its
-   occurrences are dealt by 128 bits of hash over their bytes, and all but the earliest of a hash are repeats.
+   An anchor with more than ``HOT_KINDS`` differing surroundings, or dealt by them, is not sorted in one task: the
+   strings around its occurrences are dealt by 128 bits of hash over their bytes, and all but the earliest of a hash are repeats.
 3. The common prefixes of neighbours in both orders give the classes of equal strings at every
    offset, and in each class all but the earliest string are repeats.
 4. Repeats are joined to their documents and their bytes removed.
 
-No step compares all pairs of a group. Step 1 still takes all occurrences of an anchor, 24 bytes each, into one task.
+No step compares all pairs of a group. A task of step 1 holds at most ``HOT_ROWS`` rows of 33 bytes of an anchor for
+each batch.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ LEFT = LENGTH - GRAM
 SHALLOW = 48
 PART_BYTES = 12_000_000
 HOT_KINDS = 10_000
+BATCH_ANCHORS = 200_000
+HOT_ROWS = 32
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -224,8 +229,9 @@ def repeats(around: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarr
 
 # --- jobs -------------------------------------------------------------------------------------
 
-#: The low half of an anchor's hash; the high half has dealt it out.
-_ANCHOR = np.dtype([("h", "<u4"), ("a", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
+#: ``k`` is one of these.
+PLAIN, KNOWN_REPEAT, HOT, HOT_MARK = range(4)
+_ANCHOR = np.dtype([("h", "<u8"), ("a", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("k", "u1")])
 _AROUND = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("size", "<u4"), ("s", "u1", (LEFT + LENGTH,))])
 
 
@@ -256,60 +262,120 @@ def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, hot_kinds: int = HOT_KINDS) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def _combined(x: np.ndarray, parts: int, hot_rows: int) -> pd.DataFrame:
+    """The anchors of a batch, dealt: repeats inside it are marked, and hot anchors dealt by their surroundings."""
+    x = x[np.lexsort((x["pos"], x["doc"], x["a"], x["h"]))]
+    new_h = np.ones(len(x), bool)
+    new_h[1:] = x["h"][1:] != x["h"][:-1]
+    new_a = new_h.copy()
+    new_a[1:] |= x["a"][1:] != x["a"][:-1]
+    h_of = np.cumsum(new_h) - 1
+    hot = np.bincount(h_of, weights=new_a)[h_of] > hot_rows
+    x["k"][hot] = HOT
+    x["k"][~new_a] = KNOWN_REPEAT
+    mark = x[hot & new_h].copy()
+    mark["k"] = HOT_MARK
+    x = np.concatenate([x, mark])
+    key = np.where(x["k"] == HOT, C.mix64(x["h"] * _ODD[0] + x["a"]), np.where(x["k"] == KNOWN_REPEAT, C.mix64(x["doc"].astype(np.uint64)), x["h"] >> np.uint64(32)))
+    return _dealt(x, key % np.uint64(parts))
+
+
+def _compared(x: np.ndarray, hot_kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and codes, position * 3 + kind, of the anchors of a part: 0 is a repeat, 1 is to be sorted, 2 is around a hot anchor."""
+    known, marked = x[x["k"] == KNOWN_REPEAT], np.unique(x["h"][x["k"] == HOT_MARK])
+    x = x[(x["k"] == PLAIN) | (x["k"] == HOT)]
+    x = x[np.lexsort((x["pos"], x["doc"], x["a"], x["h"]))]
+    new_h = np.ones(len(x), bool)
+    new_h[1:] = x["h"][1:] != x["h"][:-1]
+    new_a = new_h.copy()
+    new_a[1:] |= x["a"][1:] != x["a"][:-1]
+    kinds = np.bincount(np.cumsum(new_h) - 1, weights=new_a)[np.cumsum(new_h) - 1] if len(x) else np.zeros(0)
+    hot = (kinds > hot_kinds) | (x["k"] == HOT) | np.isin(x["h"], marked)
+    sort = new_a & ((kinds > 1) | hot)
+    both = np.concatenate([known, x[~new_a], x[sort]])
+    kind = np.concatenate([np.zeros(len(known) + (~new_a).sum(), np.int64), np.where(hot[sort], 2, 1)])
+    return both["doc"], both["pos"].astype(np.int64) * 3 + kind
+
+
+def remove_repeats(docs: DataFrame, hot_kinds: int = HOT_KINDS, hot_rows: int = HOT_ROWS, with_bytes: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_bytes``, kept (the remaining bytes).
 
     Null and empty texts have no bytes. Rows with a null doc_id have no place in the order of
     documents: they lose nothing and cause no loss. Rows that repeat a doc_id and its text are one
-    document and get the same result. An empty table gives no rows; extra columns are ignored.
+    document and get the same result; texts that share an id are documents of their own, in the order
+    of a hash. An empty table gives no rows; extra columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.filter("doc_id is not null")
+    keyed, unique = C.identified(docs.select("doc_id", "text"), "suffix-keyed")
+    if unique:
+        named, rows = keyed.select("uid", "text"), keyed
+    else:
+        first = keyed.filter("doc_id is not null").groupBy("doc_id", "text").agg(F.min("uid").alias("first"))
+        first = C.materialise(first.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t"), "first"), "suffix-first")
+        named = first.select(F.col("first").alias("uid"), F.col("_t").alias("text"))
+        rows = keyed.join(first, (F.col("doc_id") == F.col("_d")) & F.col("text").eqNullSafe(F.col("_t")), "left").select(F.col("first").alias("uid"), "doc_id", "text")
+    marks = _marks(named, hot_kinds, hot_rows)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, own, ranges in zip(batch["text"], batch["codes"], batch["found"], strict=True):
+                b = _bytes(text)
+                steps = np.zeros(len(b) + 1, np.int64)
+                if own is not None and len(own):
+                    pos = np.asarray(own, np.int64) // 3
+                    a, z = np.maximum(pos - LEFT, 0), np.minimum(pos + LENGTH, len(b))
+                    far = z - a >= LENGTH
+                    np.add.at(steps, a[far], 1)
+                    np.add.at(steps, z[far], -1)
+                if ranges is not None and len(ranges):
+                    np.add.at(steps, np.minimum([r["start"] for r in ranges], len(b)), 1)
+                    np.add.at(steps, np.minimum([r["end"] for r in ranges], len(b)), -1)
+                gone = np.cumsum(steps[:-1]) > 0
+                spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
+                kept = b[~gone].tobytes()
+                out.append((len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *((kept,) if with_bytes else ())))
+            got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept",) if with_bytes else ())])
+            got.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            yield got
+
+    rows = rows.join(marks, "uid", "left").select("doc_id", "text", "codes", "found")
+    return rows.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+
+
+def _marks(named: DataFrame, hot_kinds: int, hot_rows: int) -> DataFrame:
+    """What goes of each document (uid, text; earlier ones have smaller numbers): uid, codes of repeated anchors, found (ranges)."""
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART_BYTES))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, keys, held = [], [], 0
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            out, held = [], 0
+            for doc, text in zip(batch["uid"], batch["text"], strict=True):
                 b = _bytes(text)
                 pos, h = anchors(b)
                 if not len(pos):
                     continue
                 rows = np.zeros(len(pos), _ANCHOR)
-                rows["h"], rows["a"], rows["doc"], rows["pos"] = h & np.uint64(0xFFFFFFFF), _around(b, pos), doc, pos
+                rows["h"], rows["a"], rows["doc"], rows["pos"] = h, _around(b, pos), doc, pos
                 out.append(rows)
-                keys.append((h >> np.uint64(32)) % np.uint64(parts))
                 held += len(rows)
-                if held > 200_000:
-                    yield _dealt(np.concatenate(out), np.concatenate(keys))
-                    out, keys, held = [], [], 0
+                if held > BATCH_ANCHORS:
+                    yield _combined(np.concatenate(out), parts, hot_rows)
+                    out, held = [], 0
             if out:
-                yield _dealt(np.concatenate(out), np.concatenate(keys))
+                yield _combined(np.concatenate(out), parts, hot_rows)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([_unpacked(b, _ANCHOR) for b in part["rows"]])
-        x = x[np.lexsort((x["pos"], x["doc"], x["a"], x["h"]))]
-        new_h = np.ones(len(x), bool)
-        new_h[1:] = x["h"][1:] != x["h"][:-1]
-        new_a = new_h.copy()
-        new_a[1:] |= x["a"][1:] != x["a"][:-1]
-        head = x[np.maximum.accumulate(np.where(new_a, np.arange(len(x)), 0))]
-        again = (x["doc"] != head["doc"]) | (x["pos"] != head["pos"])
-        kinds = np.bincount(np.cumsum(new_h) - 1, weights=new_a)[np.cumsum(new_h) - 1]
-        sort = new_a & (kinds > 1)
-        both = np.concatenate([x[again], x[sort]])
-        kind = np.concatenate([np.zeros(again.sum(), np.int64), np.where(kinds[sort] > hot_kinds, 2, 1)])
-        code = both["pos"].astype(np.int64) * 3 + kind  # 0 is a repeat, 1 is to be sorted, 2 is around a hot anchor
-        return pd.DataFrame({"doc_id": both["doc"], "code": code})
-
-    codes = named.mapInPandas(find, "part long, rows binary").groupBy("part").applyInPandas(compare, "doc_id long, code long")
-    codes = C.materialise(codes.groupBy("doc_id").agg(F.collect_list("code").alias("codes")), "suffix-anchors")
+        doc, code = _compared(np.concatenate([_unpacked(b, _ANCHOR) for b in part["rows"]]), hot_kinds)
+        return pd.DataFrame({"uid": doc, "code": code})
+
+    codes = named.mapInPandas(find, "part long, rows binary").groupBy("part").applyInPandas(compare, "uid long, code long")
+    codes = C.materialise(codes.groupBy("uid").agg(F.collect_list("code").alias("codes")), "suffix-anchors")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, keys, held = [], [], 0
-            for doc, text, own in zip(batch["doc_id"], batch["text"], batch["codes"], strict=True):
+            for doc, text, own in zip(batch["uid"], batch["text"], batch["codes"], strict=True):
                 b = _bytes(text)
                 pos = np.unique(np.asarray(own, np.int64))
                 pos = pos[pos % 3 == 1] // 3
@@ -332,12 +398,12 @@ def remove_repeats(docs: DataFrame, hot_kinds: int = HOT_KINDS) -> DataFrame:
     def sort(part: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([_unpacked(b, _AROUND) for b in part["rows"]])
         got = repeats(x["s"], x["doc"], x["pos"].astype(np.int64), x["size"].astype(np.int64))
-        return pd.DataFrame({"doc_id": x["doc"][got[:, 0]], "start": got[:, 1], "end": got[:, 2]})
+        return pd.DataFrame({"uid": x["doc"][got[:, 0]], "start": got[:, 1], "end": got[:, 2]})
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, held = [], 0
-            for doc, text, own in zip(batch["doc_id"], batch["text"], batch["codes"], strict=True):
+            for doc, text, own in zip(batch["uid"], batch["text"], batch["codes"], strict=True):
                 b = _bytes(text)
                 pos = np.unique(np.asarray(own, np.int64))
                 pos = pos[pos % 3 == 2] // 3
@@ -348,49 +414,23 @@ def remove_repeats(docs: DataFrame, hot_kinds: int = HOT_KINDS) -> DataFrame:
                     out.append(np.stack([one.view(np.int64), two.view(np.int64), np.full(len(start), doc), start], axis=1))
                     held += len(start)
                 if held > 200_000:
-                    yield pd.DataFrame(np.concatenate(out), columns=["one", "two", "doc_id", "start"])
+                    yield pd.DataFrame(np.concatenate(out), columns=["one", "two", "uid", "start"])
                     out, held = [], 0
             if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["one", "two", "doc_id", "start"])
+                yield pd.DataFrame(np.concatenate(out), columns=["one", "two", "uid", "start"])
 
     unsorted = codes.filter(F.exists("codes", lambda c: c % 3 == 1))
-    found = named.join(unsorted, "doc_id").mapInPandas(extract, "part long, rows binary").groupBy("part").applyInPandas(sort, "doc_id long, start long, end long")
+    found = named.join(unsorted, "uid").mapInPandas(extract, "part long, rows binary").groupBy("part").applyInPandas(sort, "uid long, start long, end long")
     hot = codes.filter(F.exists("codes", lambda c: c % 3 == 2))
-    hot = C.materialise(named.join(hot, "doc_id").mapInPandas(strings, "one long, two long, doc_id long, start long"), "suffix-hot")
-    least = hot.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.max(F.struct("doc_id", "start")).alias("tail"))
-    least = least.filter("head != tail").select("one", "two", "head")
-    again = hot.join(least, ["one", "two"]).filter(F.struct("doc_id", "start") != F.col("head"))
-    found = found.unionByName(again.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    marks = codes.select("doc_id", F.filter("codes", lambda c: c % 3 == 0).alias("codes")).join(found, "doc_id", "full")
-    marks = C.materialise(marks, "suffix-marks")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, own, ranges in zip(batch["text"], batch["codes"], batch["found"], strict=True):
-                b = _bytes(text)
-                steps = np.zeros(len(b) + 1, np.int64)
-                if own is not None and len(own):
-                    pos = np.asarray(own, np.int64) // 3
-                    a, z = np.maximum(pos - LEFT, 0), np.minimum(pos + LENGTH, len(b))
-                    far = z - a >= LENGTH
-                    np.add.at(steps, a[far], 1)
-                    np.add.at(steps, z[far], -1)
-                if ranges is not None and len(ranges):
-                    np.add.at(steps, np.minimum([r["start"] for r in ranges], len(b)), 1)
-                    np.add.at(steps, np.minimum([r["end"] for r in ranges], len(b)), -1)
-                gone = np.cumsum(steps[:-1]) > 0
-                spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
-                kept = b[~gone].tobytes()
-                out.append((len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            got.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield got
-
-    rows = docs.join(marks, "doc_id", "left").select("doc_id", "text", "codes", "found")
-    return rows.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    hot = C.materialise(named.join(hot, "uid").mapInPandas(strings, "one long, two long, uid long, start long"), "suffix-hot")
+    least = hot.groupBy("one", "two").agg(F.min(F.struct("uid", "start")).alias("head"), F.max(F.struct("uid", "start")).alias("tail"))
+    least = C.materialise(least.filter("head != tail").select("one", "two", "head"), "suffix-least")  # written out, so that a hot string can be split
+    again = hot.join(least, ["one", "two"]).filter(F.struct("uid", "start") != F.col("head"))
+    found = found.unionByName(again.select("uid", "start", (F.col("start") + LENGTH).alias("end")))
+    found = found.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    marks = codes.select("uid", F.filter("codes", lambda c: c % 3 == 0).alias("codes")).join(found, "uid", "full")
+    return C.materialise(marks, "suffix-marks")
 
 
 def op7_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(C.table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(C.table(spark, sf_dir, "documents"), with_bytes=False)

@@ -321,7 +321,7 @@ def test_suffix_dedup(docs, empty):
     assert suffixdedup.remove_repeats(empty).count() == 0
 
 
-def test_suffix_dedup_of_hot_anchors(spark, docs):
+def test_suffix_dedup_of_hot_anchors(spark, docs, monkeypatch):
     rng = random.Random(3)
     line = "".join(rng.choice("abcdefgh ") for _ in range(90))
     rows = [(i, "".join(rng.choice("klmnopq ") for _ in range(60)) + ("XY" if i % 5 else "same ") * 8 + line + rng.choice(["tail" * 9, str(i) * 40]) + "z" * (i % 4)) for i in range(80)]
@@ -331,7 +331,7 @@ def test_suffix_dedup_of_hot_anchors(spark, docs):
         return sorted(tuple(r) for r in suffixdedup.remove_repeats(df.filter("doc_id is not null"), **options).drop("kept").collect())
 
     for df in (docs, shared):
-        assert result(df, hot_kinds=1) == result(df)
+        assert result(df, hot_kinds=1) == result(df) == result(df, hot_rows=1) == result(df, hot_rows=4)
     seen, want = set(), {}
     for i, t in rows:
         gone = set()
@@ -341,6 +341,17 @@ def test_suffix_dedup_of_hot_anchors(spark, docs):
             seen.add(t[k : k + 100])
         want[i] = len(gone)
     assert {r[0]: r[2] for r in result(shared, hot_kinds=5)} == want and max(want.values()) > 100
+    # Some batches have few of a hot anchor and others many.
+    monkeypatch.setattr(suffixdedup, "BATCH_ANCHORS", 60)
+    assert {r[0]: r[2] for r in result(shared, hot_rows=3)} == want
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    rng = random.Random(7)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(349)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + c), (None, c), (2, None)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 349, 0), (2, 349, 349), (2, 349, 0), (2, 349, 0), (3, 698, 349), (None, 349, 0), (2, 0, 0)])
 
 
 def test_deep_shallow_sort_orders_rows():
