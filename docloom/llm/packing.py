@@ -6,21 +6,25 @@ packed best-fit decreasing: longest first, each into the open row with the least
 it. A segment tree over room sizes, 0 to ``length``, finds that row in logarithmic time.
 
 Rows are packed inside a task, from buffers of at most ``BUFFER_TOKENS`` tokens, so that token ids never
-cross the network; only the last rows of a task's buffer stay partly empty.
+cross the network; only the last rows of a task's buffer stay partly empty (``fill_rate`` tells how much).
+
+``write_matrices`` writes packed rows as binary: blocks of a row-major int32 matrix of ids, the rows'
+cumulative segment lengths and the positions, which restart with each segment.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
@@ -31,14 +35,12 @@ BUFFER_TOKENS = 4_000_000
 
 #: Fixed value: how the vocabulary's texts are cut before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A white space after a blank: only there a cut before the blank could change the tokens.
-_RUN = re.compile(r" \s| $")
 
 
 class Tokenizer:
-    """Token ids of whole texts. Pieces that start with a blank repeat often, so their ids are kept."""
+    """Token ids of whole texts."""
 
-    def __init__(self, path: str = VOCABULARY, limit: int = 300_000):
+    def __init__(self, path: str = VOCABULARY):
         import tiktoken
 
         ranks = {}
@@ -46,30 +48,20 @@ class Tokenizer:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
         self.encoding = tiktoken.Encoding("docloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.limit = limit
-        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if _RUN.search(text):
-            return np.array(self.encoding.encode_ordinary(text), np.int32)
-        first, *rest = text.split(" ")
-        out = list(self.encoding.encode_ordinary(first))
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for piece in rest:
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = self.encoding.encode_ordinary(" " + piece)
-            out += ids
-        return np.array(out, np.int32)
+        return np.array(self.encoding.encode_ordinary(text) if text else [], np.int32)
 
     def decode(self, ids) -> str:
         return self.encoding.decode([int(i) for i in ids])
 
 
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> Tokenizer:
+    """One for each Python worker: the vocabulary is read once, not by each task."""
+    return Tokenizer(path)
+
+
 class RoomTree:
     """Open rows by free room; ``take`` finds the least room that is large enough."""
 
@@ -130,10 +122,11 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, bu
     null; repeated rows are packed each; an empty table gives no rows; extra columns are ignored.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    ids_type = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"input_ids array<int>, n_tokens int, cu_seqlens array<int>, position_ids array<int>, doc_ids array<{kind}>, starts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(vocabulary)
+        tokenizer = tokenizer_of(vocabulary)
         positions = np.arange(length, dtype=np.int32)
         pieces: list[tuple] = []
         held = 0
@@ -152,11 +145,11 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, bu
                 ends.append(at)
             cuts = pa.array(np.arange(0, (len(rows) + 1) * length, length, dtype=np.int32))
             arrays = [
-                pa.ListArray.from_arrays(cuts, pa.array(ids.reshape(-1))),
+                pa.ListArray.from_arrays(cuts, pa.array(ids.reshape(-1), pa.int32())),
                 pa.array([at[-1] for at in ends], pa.int32()),
                 pa.array(ends, pa.list_(pa.int32())),
-                pa.ListArray.from_arrays(cuts, pa.array(pos.reshape(-1))),
-                pa.array([[d for d, _, _ in row] for row in rows]),
+                pa.ListArray.from_arrays(cuts, pa.array(pos.reshape(-1), pa.int32())),
+                pa.array([[d for d, _, _ in row] for row in rows], pa.list_(ids_type)),
                 pa.array([[s for _, s, _ in row] for row in rows], pa.list_(pa.int64())),
             ]
             return pa.RecordBatch.from_arrays(arrays, ["input_ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "starts"])
@@ -182,9 +175,71 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, bu
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def write_token_rows(packed: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet, one file per task."""
-    packed.write.option("compression", "zstd").parquet(path)
+def fill_rate(packed: DataFrame) -> float | None:
+    """Tokens by places of the packed rows; None without rows."""
+    return packed.agg((F.sum("n_tokens") / F.sum(F.size("input_ids"))).alias("r")).first()["r"]
+
+
+_LE = np.dtype("<i4")
+
+
+def write_matrices(packed: DataFrame, path: str, block_rows: int = 512) -> None:
+    """Write packed rows as Parquet of binary blocks, one file per task, by Spark so that any file system works.
+
+    Of a block: n_rows, length, input_ids and position_ids (n_rows x length little-endian int32, row after row), cu_seqlens
+    (int32, the rows' lists one after the other), segments (int32, how many each row has), and doc_ids and starts by segment.
+    """
+    kind = dict(packed.dtypes)["doc_ids"]
+    schema = f"n_rows int, length int, input_ids binary, position_ids binary, cu_seqlens binary, segments binary, doc_ids {kind}, starts array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, block_rows):
+                b = whole.slice(at, block_rows)
+                flat = lambda c, b=b: b.column(c).flatten()
+                plain = lambda c, flat=flat: flat(c).to_numpy(zero_copy_only=False).astype(_LE).tobytes()
+                sizes = b.column("doc_ids").value_lengths().to_numpy(zero_copy_only=False).astype(_LE)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b.num_rows], pa.int32()), pa.array([len(flat("input_ids")) // b.num_rows], pa.int32()),
+                        pa.array([plain("input_ids")], pa.binary()), pa.array([plain("position_ids")], pa.binary()),
+                        pa.array([plain("cu_seqlens")], pa.binary()), pa.array([sizes.tobytes()], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, len(flat("doc_ids"))], pa.int32()), flat("doc_ids")),
+                        pa.ListArray.from_arrays(pa.array([0, len(flat("starts"))], pa.int32()), flat("starts")),
+                    ],
+                    ["n_rows", "length", "input_ids", "position_ids", "cu_seqlens", "segments", "doc_ids", "starts"],
+                )
+
+    packed.select("input_ids", "position_ids", "cu_seqlens", "doc_ids", "starts").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """What ``pack`` gave, from ``write_matrices``."""
+    blocks = spark.read.parquet(path)
+    kind = dict(blocks.dtypes)["doc_ids"]
+    ids_type = to_arrow_type(blocks.schema["doc_ids"].dataType)
+    schema = f"input_ids array<int>, n_tokens int, cu_seqlens array<int>, position_ids array<int>, doc_ids {kind}, starts array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                n, length = b.column("n_rows")[r].as_py(), b.column("length")[r].as_py()
+                ints = lambda c, b=b, r=r: np.frombuffer(b.column(c)[r].as_py(), _LE)
+                per_row = lambda flat, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+                sizes, cu = ints("segments"), ints("cu_seqlens")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        per_row(pa.array(ints("input_ids"), pa.int32()), np.full(n, length)),
+                        pa.array(cu[np.cumsum(sizes + 1) - 1], pa.int32()),
+                        per_row(pa.array(cu, pa.int32()), sizes + 1),
+                        per_row(pa.array(ints("position_ids"), pa.int32()), np.full(n, length)),
+                        per_row(b.column("doc_ids")[r].values.cast(ids_type.value_type), sizes),
+                        per_row(b.column("starts")[r].values, sizes),
+                    ],
+                    ["input_ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "starts"],
+                )
+
+    return blocks.mapInArrow(run, schema)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
