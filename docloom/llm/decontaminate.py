@@ -11,8 +11,9 @@ add never exceeds ``SLACK``, so a passage whose essential sum stays below ``1 -
 item has no pivot. The others go through block-max WAND one by one. What it returns is confirmed on
 five-word shingles: at least ``OVERLAP`` of all of them, and some of the question and of the answer.
 
-The index holds at most ``MAX_ITEMS`` items of at most ``MAX_WORDS`` words in all; more items make
-more indexes, one after the other.
+The index holds at most ``MAX_ITEMS`` items of at most ``MAX_WORDS`` words in all (or one longer item); more
+items make more indexes, one after the other. Items of different magnitude, by factors of ``SPREAD``, have indexes of
+their own in the same scan, so that a long item does not widen the passages that short ones are searched in.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ PART = 0.3
 SLACK = 0.3
 BLOCK = 16
 MIN_STRIDE = 64
+SPREAD = 8
 MAX_ITEMS = 20_000
 MAX_WORDS = 2_000_000
 
@@ -216,39 +218,58 @@ class Index:
         return [(k, i, s, w, q, a) for (k, i), (w, q, a, s) in best.items()]
 
 
-def _indexes(benchmark: DataFrame, overlap: float) -> Iterator[Index]:
-    """Indexes of bounded size over all items: rows are dealt by hash into as many as are needed."""
-    rows = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+class Suite:
+    """Some of the items, in an index for each magnitude; ``names`` are their ids."""
+
+    def __init__(self, items: list[tuple], overlap: float = OVERLAP):
+        self.names = [i for i, _ in items]
+        by_size: dict[int, list[tuple[int, str]]] = {}
+        for k, (_, text) in enumerate(items):
+            size, most = len(words_of(text)), MIN_STRIDE
+            while size > most:
+                most *= SPREAD
+            by_size.setdefault(most, []).append((k, text))
+        self.indexes = [Index(own, overlap) for _, own in sorted(by_size.items())]
+
+    def leaks(self, texts: list[str | None]) -> list[tuple]:
+        """(place in texts, item_id, score, overlap, question overlap, answer overlap)."""
+        return [(k, self.names[index.ids[i]], *rest) for index in self.indexes for k, i, *rest in index.leaks(texts)]
+
+
+def _suites(benchmark: DataFrame, overlap: float) -> Iterator[Suite]:
+    """Suites of bounded size over all items, each distinct id and text being one: rows are dealt by hash into as many as are needed."""
+    rows = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
     shards = max(1, -(-n // MAX_ITEMS), -(-size // MAX_WORDS))
     for k in range(shards):
-        part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).distinct().collect()
-        yield Index(sorted({r["item_id"]: r["text"] for r in sorted(part)}.items()), overlap)
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).distinct().collect()
+        part = sorted(((r["item_id"], r["text"]) for r in part), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1]))
+        yield Suite(part, overlap)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, overlap, q_overlap, a_overlap.
 
     ``score`` is BM25 relative to the item's threshold. Null and empty texts hold nothing; items without
-    words, text or id are left out, and of items that share an id the last text counts. Repeated
-    documents give repeated rows; a null doc_id is kept. Extra columns are ignored.
+    words or text are left out. Items with a null id and texts that share an id are items of their own.
+    Repeated documents give repeated rows; a null doc_id is kept. Extra columns are ignored.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id long, score double, overlap double, q_overlap double, a_overlap double"
+    schema = f"doc_id {kind}, item_id {dict(benchmark.dtypes)['item_id']}, score double, overlap double, q_overlap double, a_overlap double"
     out = None
-    for index in _indexes(benchmark, overlap):
-        shared = spark.sparkContext.broadcast(index)  # at most MAX_ITEMS items and MAX_WORDS words
+    for suite in _suites(benchmark, overlap):
+        shared = spark.sparkContext.broadcast(suite)  # at most MAX_ITEMS items and MAX_WORDS words
 
         def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+            suite = shared.value
             for part in parts:
                 for a in range(0, len(part), 256):
                     piece = part.iloc[a : a + 256]
-                    got = index.leaks(piece["text"].tolist())
+                    got = suite.leaks(piece["text"].tolist())
                     ids = piece["doc_id"].tolist()
                     yield pd.DataFrame(
-                        [(ids[k], index.ids[i], s, w, q, x) for k, i, s, w, q, x in got],
+                        [(ids[k], *rest) for k, *rest in got],
                         columns=["doc_id", "item_id", "score", "overlap", "q_overlap", "a_overlap"],
                     )
 
@@ -260,15 +281,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP)
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` that hold no item; nothing is shuffled. Null and empty texts stay."""
     spark = docs.sparkSession
-    for index in _indexes(benchmark, overlap):
-        shared = spark.sparkContext.broadcast(index)  # at most MAX_ITEMS items and MAX_WORDS words
+    for suite in _suites(benchmark, overlap):
+        shared = spark.sparkContext.broadcast(suite)  # at most MAX_ITEMS items and MAX_WORDS words
 
         def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+            suite = shared.value
             for part in parts:
                 for a in range(0, len(part), 256):
                     piece = part.iloc[a : a + 256]
-                    hit = {k for k, *_ in index.leaks(piece["text"].tolist())}
+                    hit = {k for k, *_ in suite.leaks(piece["text"].tolist())}
                     yield piece[[k not in hit for k in range(len(piece))]]
 
         docs = docs.mapInPandas(run, docs.schema)

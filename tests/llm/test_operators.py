@@ -449,17 +449,19 @@ def test_forward_backward_against_enumeration():
 
 
 def test_decontamination(spark, docs, empty):
-    items = [(0, PASSAGE + "."), (1, "Which stone is it? The one that lies on the river bank near town."), (2, None), (3, ""), (None, "x y z")]
+    items = [(0, PASSAGE + "."), (1, "Which stone is it? The one that lies on the river bank near town."), (2, None), (3, ""), (None, "x y z"), (0, "one two three"), (5, "a b " * 2000)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
     want = set()
     for i, t, *_ in ROWS:
         own = decontaminate.shingles(decontaminate.words_of(t))
-        for k, item in items[:2]:
+        for k, item in items[:2] + items[4:]:
             s = decontaminate.shingles(decontaminate.words_of(item))
             if len(s & own) / len(s) >= 0.8:
                 want.add((i, k))
-    assert got == want and len(want) >= 6
+    assert got == want and len(want) >= 8 and {k for _, k in want} >= {0, 5}
+    texts = decontaminate.find_leaks(docs, bench.withColumn("item_id", F.concat(F.lit("q"), "item_id"))).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in texts} == {(i, None if k is None else f"q{k}") for i, k in want}
     kept = decontaminate.remove_leaks(docs, bench)
     assert kept.count() == len(ROWS) - sum(i in {d for d, _ in want} for i, *_ in ROWS) and kept.columns == docs.columns
     assert decontaminate.find_leaks(empty, bench).count() == 0
