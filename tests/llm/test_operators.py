@@ -144,6 +144,59 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_added_personal_data(spark):
+    """Planted spans that no base pattern finds, and look-alikes that are none: precision and recall of each kind."""
+    rng = random.Random(12)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    good = {
+        "email": lambda: rng.choice(["anna (at) example (dot) com", "j.doe [at] mail7 [dot] example [dot] org", "info(at)firma.de"]),
+        "ip": lambda: ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)),
+        "phone": lambda: rng.choice([f"({rng.randrange(2, 10)}{num(2)}) {rng.randrange(2, 10)}{num(2)}-{num(4)}", f"{rng.randrange(2, 10)}{num(2)}-{rng.randrange(2, 10)}{num(2)}-{num(4)}"]),
+        "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+    }
+    before = {"email": "write to ", "ip": "host address ", "phone": "call ", "secret": 'token = "'}
+    rows, planted = [], []
+    for i in range(400):
+        kind = list(good)[i % 4]
+        hit, lead = good[kind](), "some words " * rng.randint(1, 5) + before[kind]
+        rows.append((i, f"{lead}{hit}" + ('"' if kind == "secret" else "") + " and more, as said."))
+        planted.append((i, kind, len(lead), len(lead) + len(hit)))
+    other = [lambda: f"order no. {num(16)} of today", lambda: f"version 1.{num(2)} at section {num(1)}", lambda: f"isbn {num(3)}-{num(3)}-{num(4)}x", lambda: "words at (a) dot in the (at) list", lambda: f"at 12:{num(2)} or {num(3)}", lambda: "token ring and the secret garden"]
+    rows += [(1000 + i, rng.choice(other)()) for i in range(300)]
+    rows += [(2000 + i, f"mail me: a{i}@b.example.com, host 10.0.0.{i % 256}") for i in range(100)]
+    out = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in good:
+        mine = [p for p in planted if p[1] == kind]
+        assert sum(f"{k}:{a}:{z}" in out[i]["spans"].split(",") for i, k, a, z in mine) >= 0.9 * len(mine), kind
+    assert sum(out[i]["n_added"] for i in out) <= 1.1 * len(planted) and sum(out[i]["n_added"] > 0 for i in out if i >= 1000) <= 9
+    assert sum(out[i]["n_secret"] for i in out) == 100
+    few = ["call me at (555) 223-4567 or 415-555-2671", "phone 212-555-0101, 646-555-0199", "mail john (at) example (dot) com"]
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_added"] for r in found] == [2, 2, 1]
+
+
+def test_reliabilities_against_plain_em(spark):
+    rng = random.Random(13)
+    n = pii.N_LABELERS
+    pats = {(k, tuple([rng.randint(0, 1), *(rng.randint(-1, 1) for _ in range(n - 1))])): rng.randint(1, 30) for k in (0, 3) for _ in range(40)}
+    df = spark.createDataFrame([(k, list(v), c) for (k, v), c in pats.items()], "kind int, v array<int>, n long")
+    got = {r["kind"]: r["w"] for r in pii.reliabilities(df).collect()}
+    for kind in (0, 3):
+        v = np.array([p for k, p in pats if k == kind], float)
+        c = np.array([x for (k, _), x in pats.items() if k == kind], float)
+        yes0 = np.array(pii.PRIOR_VOTES)
+        no0 = yes0[:, ::-1]
+        w, prior = np.log(yes0 / no0), np.zeros(2)
+        cast = np.stack([v == x for x in (-1, 0, 1)], axis=2).astype(float)  # pattern, labeler, vote
+        for _ in range(pii.ROUNDS):
+            q = c / (1 + np.exp(-((cast * w).sum((1, 2)) + prior[v[:, 0].astype(int)])))
+            yes = (np.einsum("pjx,p->jx", cast, q) + yes0) / (q.sum() + yes0.sum(1, keepdims=True))
+            no = (np.einsum("pjx,p->jx", cast, c - q) + no0) / ((c - q).sum() + no0.sum(1, keepdims=True))
+            share = np.array([(1 + q[v[:, 0] == b].sum()) / (2 + c[v[:, 0] == b].sum()) for b in (0, 1)])
+            w, prior = np.log(yes / no), np.log(share / (1 - share))
+        assert np.allclose(got[kind], [*w.ravel(), *prior])
+
+
 def test_packing_round_trip(spark, docs, empty):
     rows = packing.pack(docs, length=64).collect()
     tok = packing.Tokenizer()
