@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from docloom.session import shared_dir, table
 
-__all__ = ["WORD", "buckets", "by_group", "identified", "materialise", "mix64", "numbered", "shared_dir", "table"]
+__all__ = ["WORD", "buckets", "by_group", "drawn", "identified", "materialise", "mix64", "numbered", "shared_dir", "table"]
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,24 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], spread: Colum
     return df.join(totals, on).select(*kept, (F.col("_r") + F.col("_o")).alias(out))
 
 
+def drawn(rows: DataFrame, group: str, most: int, max_groups: int) -> DataFrame | None:
+    """At most ``most`` doc_ids of each group, the first in hashed order, with columns doc_id and ``group``; None without rows.
+
+    Rows of a large group are thinned by the same hash to about four times ``most`` first, so that what is sorted
+    does not grow with the table. More than ``max_groups`` groups are an error.
+    """
+    counts = rows.groupBy(group).count().limit(max_groups + 1).collect()
+    if len(counts) > max_groups:
+        raise ValueError(f"more than {max_groups} values of {group}")
+    if not counts:
+        return None
+    share = rows.sparkSession.createDataFrame([(r[group], min(1.0, 4 * most / r["count"])) for r in counts], rows.select(group).schema.add("_share", "double"))
+    h = F.xxhash64("doc_id")
+    thin = rows.join(F.broadcast(share), group).filter(F.shiftrightunsigned(h, 32) <= F.col("_share") * float(1 << 32))  # at most max_groups rows
+    first = F.row_number().over(Window.partitionBy(group).orderBy(h, "doc_id"))
+    return thin.select("doc_id", group).distinct().withColumn("_k", first).filter(F.col("_k") <= most).select("doc_id", group)
+
+
 def identified(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """``docs`` with a long ``uid`` that no two rows share, and whether it is doc_id itself.
 

@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -374,13 +373,8 @@ def _sample(docs: DataFrame, fold: F.Column, per_lang: int, train_bytes: int, ma
     """The bounded sample of a fold. Documents without id, text or language are left out of it; of texts that share an id and language the one with the least hash counts."""
     narrow = docs.select("doc_id", "lang", F.octet_length("text").alias("n"))
     narrow = narrow.filter(F.col("n").between(1, train_bytes) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & fold)
-    # row_number() with a limit keeps per_lang rows of each language before anything is shuffled.
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = narrow.select("doc_id", "lang").withColumn("k", first).filter(F.col("k") <= per_lang).select("doc_id", "lang").distinct()
-    n = narrow.select("lang").distinct().limit(max_languages + 1).count()
-    if n > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    if not n:
+    drawn = C.drawn(narrow, "lang", per_lang, max_languages)
+    if drawn is None:
         return None
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(drawn), ["doc_id", "lang"]).filter(F.octet_length("text").between(1, train_bytes))  # at most max_languages * per_lang rows
     sample = sample.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))

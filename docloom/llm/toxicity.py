@@ -148,11 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, train_by
     # Which documents are drawn is decided on narrow rows; texts are read for those alone.
     narrow = docs.select("doc_id", F.octet_length("text").alias("n")).filter(F.col("n").between(1, train_bytes)).select("doc_id").distinct()
     gold = narrow.join(gold, "doc_id")
-    drawn = None
-    for label in (0, 1):
-        part = gold.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    drawn = F.broadcast(drawn.select("doc_id", "toxic"))  # at most 2 * per_class rows
+    drawn = C.drawn(gold, "toxic", per_class, 2)
+    if drawn is None:
+        return train(pd.DataFrame({"text": [], "toxic": []}))
+    drawn = F.broadcast(drawn)  # at most 2 * per_class rows
     sample = docs.select("doc_id", "text").join(drawn, "doc_id").filter(F.octet_length("text").between(1, train_bytes))
     sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("one"))
     return train(sample.select("doc_id", "one.text", "one.toxic").toPandas().sort_values("doc_id", ignore_index=True))
