@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Elements without content, and those that a following sibling of the set closes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "div": {"p"}, "ul": {"p"}, "h1": {"p"}, "h2": {"p"}}
-SCHEMA = "page_id long, node_id int, parent_id int, depth int, child_ix int, tag string, id string, classes array<string>, href string, text string, ancestors array<int>, hidden boolean, last_id int"
+SCHEMA = "page_id long, node_id int, parent_id int, depth int, child_ix int, tag string, id string, classes array<string>, href string, text string, ancestors array<int>, path array<string>, attrs map<string,string>, hidden boolean, last_id int"
 
 
 class _Nodes(HTMLParser):
@@ -28,7 +28,7 @@ class _Nodes(HTMLParser):
         k, parent = len(self.rows), self.open[-1] if self.open else -1
         ix = self.children.get(parent, 0)
         self.children[parent] = ix + 1
-        self.rows.append([k, parent, len(self.open), ix, tag, attrs.get("id"), (attrs.get("class") or "").split(), attrs.get("href"), text, list(self.open), bool(self.open) and self.rows[self.open[-1]][4] in ("script", "style"), k])
+        self.rows.append([k, parent, len(self.open), ix, tag, attrs.get("id"), (attrs.get("class") or "").split(), attrs.get("href"), text, list(self.open), [self.rows[a][4] for a in self.open], {k: v or "" for k, v in attrs.items()}, bool(self.open) and self.rows[self.open[-1]][4] in ("script", "style"), k])
         return k
 
     def _close(self, upto: int) -> None:
@@ -58,7 +58,7 @@ def nodes(pages: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
+            out: list[list] = []
             for page, html in zip(part["page_id"], part["html"], strict=True):
                 parser = _Nodes()
                 parser.feed(html or "")
@@ -72,14 +72,20 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 def text_content(tree: DataFrame) -> DataFrame:
     """page_id, node_id, tag, text: the text of each element's subtree in document order, script and style left out."""
-    words = tree.filter("tag = '' and not hidden").select("page_id", F.col("node_id").alias("t"), F.col("text").alias("piece"), F.explode("ancestors").alias("node_id"))
+    above = F.explode(F.arrays_zip("ancestors", "path")).alias("a")
+    words = tree.filter("tag = '' and not hidden").select("page_id", F.col("node_id").alias("t"), F.col("text").alias("piece"), above)
     pieces = F.array_sort(F.collect_list(F.struct("t", "piece")))
-    text = words.groupBy("page_id", "node_id").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
-    return text.join(tree.filter("tag <> ''").select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "node_id", "tag", "text")
+    text = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
+    return words.groupBy("page_id", F.col("a.ancestors").alias("node_id"), F.col("a.path").alias("tag")).agg(text.alias("text"))
 
 
 def select_child(tree: DataFrame, ancestor: str, tag: str) -> DataFrame:
     """Nodes of ``tag`` with an ``ancestor`` above them (the selector ``ancestor tag``), with the nearest one."""
-    up = tree.filter(F.col("tag") == ancestor).select("page_id", F.col("node_id").alias("a"))
-    hit = tree.filter(F.col("tag") == tag).select("page_id", "node_id", F.explode("ancestors").alias("a"))
-    return hit.join(up, ["page_id", "a"]).groupBy("page_id", "node_id").agg(F.max("a").alias("ancestor_id"))
+    up = F.filter(F.arrays_zip("ancestors", "path"), lambda a: a["path"] == ancestor)
+    return tree.filter(F.col("tag") == tag).select("page_id", "node_id", F.element_at(F.transform(up, lambda a: a["ancestors"]), -1).alias("ancestor_id")).filter("ancestor_id is not null")
+
+
+def links(tree: DataFrame) -> DataFrame:
+    """page_id, seq (from 1), href of the links of each page, in any spelling that a parser reads."""
+    rows = tree.filter("tag = 'a' and href is not null").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "href"))).alias("l"))
+    return rows.select("page_id", F.posexplode("l").alias("seq", "x")).select("page_id", (F.col("seq") + 1).alias("seq"), "x.href")
