@@ -7,12 +7,31 @@ from pyspark.sql import functions as F
 
 
 def slug(text: Column) -> Column:
-    """Lower-case letters and digits; everything else becomes single hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "-"), "^-+|-+$", "")
+    """Lower-case letters and digits; blanks, hyphens and full stops become single hyphens, emphasis marks and all else go."""
+    plain = F.regexp_replace(F.lower(text), r"[*_`]|~~", "")
+    kept = F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{Nd} .-]", ""), r"[ .-]+", "-")
+    return F.regexp_replace(kept, "^-+|-+$", "")
+
+
+#: The entities that are resolved before escaping.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#34;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def unescape_html(text: Column) -> Column:
+    """The entities of ``ENTITIES``, ampersands last, so that nothing is resolved twice."""
+    for name, value in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(value))
+    return text
 
 
 def markdown_escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_\[\]#|])", r"\\$1")
+    return F.regexp_replace(unescape_html(text), r"([\\`*_\[\]#|])", r"\\$1")
+
+
+def xml_escape(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 def pdf_escape(text: Column) -> Column:
@@ -23,7 +42,7 @@ def pdf_escape(text: Column) -> Column:
 
 def capitalize(text: Column) -> Column:
     """Raises the first letter of each blank-separated word and keeps the rest."""
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20))), " ")
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
 def ean13_check_digit(digits: Column) -> Column:
@@ -90,10 +109,133 @@ def rotation(degrees: Column) -> Column:
 
 
 def page_list(spec: Column) -> Column:
-    """Distinct zero-based pages of a spec such as ``1-3,5``, in order of first mention; blank is null (all)."""
-    parts = F.transform(F.split(spec, ","), lambda p: F.trim(p))
-    ranges = F.transform(parts, lambda p: F.sequence(F.split(p, "-")[0].cast("int") - 1, F.element_at(F.split(p, "-"), -1).cast("int") - 1))
-    return F.when(F.trim(spec) != "", F.array_distinct(F.flatten(ranges)))
+    """Distinct zero-based pages of a spec such as ``1-3,5``, in order of first mention; blank is null (all). Check ``page_spec_valid`` first."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+    bound = lambda p, k: F.trim(F.element_at(F.split(p, "-", 2), k)).try_cast("int") - 1
+    ranges = F.transform(parts, lambda p: F.sequence(bound(p, 1), bound(p, -1)))
+    return F.when(page_spec_valid(spec) & (F.trim(spec) != ""), F.array_distinct(F.flatten(ranges)))
+
+
+def page_spec_valid(spec: Column) -> Column:
+    """Pages are whole numbers from 1 on and ranges do not run backwards; empty parts are skipped."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+
+    def good(p: Column) -> Column:
+        ends = F.split(p, "-", 2)
+        a, z = F.trim(ends[0]).try_cast("int"), F.trim(F.element_at(ends, -1)).try_cast("int")
+        return F.coalesce((a >= 1) & (z >= a), F.lit(False))
+
+    return F.forall(parts, good)
+
+
+def require_page_spec(spec: Column) -> Column:
+    """``page_list`` that fails on an invalid spec, as a bad request should."""
+    return F.when(page_spec_valid(spec), page_list(spec)).otherwise(F.raise_error(F.concat(F.lit("invalid page spec: "), spec)))
+
+
+#: File types by extension.
+IMAGE_TYPES = ("png", "jpg", "jpeg", "tif", "tiff", "webp", "gif")
+
+
+def merge_type(path: Column, kind: Column) -> Column:
+    """pdf or image, from the stated type or else the extension; null if neither is known."""
+    stated, ext = F.lower(F.trim(F.coalesce(kind, F.lit("")))), F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    found = F.when(ext == "pdf", "pdf").when(ext.isin(*IMAGE_TYPES), "image")
+    return F.when(stated.isin("", "auto"), found).when(stated.isin("pdf", "image"), stated)
+
+
+def glob_match(name: Column, patterns: list[str]) -> Column:
+    """Whether a name fits one of the patterns (* and ?, not across a slash), whatever its case."""
+    one = lambda p: "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if not c.isalnum() else c for c in p.lower()) + "$"
+    out = F.lit(False)
+    for p in patterns:
+        out = out | F.lower(name).rlike(one(p))
+    return out
+
+
+#: Canonical profile names, their other spellings and the families known by a prefix.
+PROFILES = {"pdfa-1b": ("pdf/a-1b", "pdfa1b", "pdf/a-1-b"), "pdfa-2b": ("pdf/a-2b", "pdfa2b", "pdf/a-2-b"), "pdfa-4": ("pdf/a-4", "pdfa4"), "pdfua-1": ("pdf/ua-1", "pdfua1"), "pdfua-2": ("pdf/ua-2", "pdfua2")}
+PROFILE_FAMILIES = {"pdfx": ("pdfx", "pdf/x"), "pdfe": ("pdfe", "pdf/e"), "pdfvt": ("pdfvt", "pdf/vt"), "pades": ("pades",)}
+
+
+def profile_name(text: Column) -> Column:
+    p = F.lower(F.trim(text))
+    out = p
+    for family, starts in reversed(PROFILE_FAMILIES.items()):
+        for start in starts:
+            out = F.when(p.startswith(start), family).otherwise(out)
+    for name, others in PROFILES.items():
+        out = F.when(p.isin(name, *others), name).otherwise(out)
+    return out
+
+
+def severity_rank(severity: Column) -> Column:
+    return F.when(severity == "error", 0).when(severity == "warning", 1).otherwise(2)
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """A reference against a base URL: absolute ones stay, // keeps the scheme, / the host, ? and # the page; dot segments are resolved."""
+    scheme, host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page, path = F.regexp_extract(base, r"^([^?#]*)", 1), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(ref, r"([?#].*)$", 1)
+    own = F.regexp_extract(ref, r"^([^?#]*)", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1)), own))
+    zero = F.array().cast("array<string>")
+    kept = F.aggregate(F.split(joined, "/"), zero, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    ends_open = joined.rlike(r"/\.{1,2}$")
+    flat = F.concat(F.array_join(kept, "/"), F.when(ends_open, "/").otherwise(""))
+    return (
+        F.when(ref == "", base).when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when((base == "") | (host == ""), ref).when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(ref.startswith("?"), F.concat(page, ref)).when(ref.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), ref)).otherwise(F.concat(host, flat, tail))
+    )
+
+
+def data_uri_bytes(uri: Column) -> Column:
+    """The bytes of data:[type][;base64],data; what is not valid base64 is null."""
+    rest = F.regexp_replace(uri, "^data:", "")
+    meta, data = F.substring_index(rest, ",", 1), F.regexp_extract(rest, r"(?s)^[^,]*,(.*)$", 1)
+    return F.when(~rest.contains(","), rest.cast("binary")).when(meta.contains(";base64"), F.try_to_binary(data, F.lit("base64"))).otherwise(data.cast("binary"))
+
+
+def import_url(line: Column) -> Column:
+    """Of an @import line of a style sheet, with or without url() and quotes."""
+    rest = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(line), "^@import", "")), ";$", ""))
+    inner = F.when(rest.startswith("url("), F.trim(F.regexp_replace(F.regexp_replace(rest, r"^url\(", ""), r"\)$", ""))).otherwise(rest)
+    return F.when(F.trim(line).startswith("@import"), F.regexp_replace(inner, "^[\"']+|[\"']+$", ""))
+
+
+def table_cells(line: Column) -> Column:
+    """Cells of a Markdown table row, outer pipes left out, escaped pipes kept; null if there is no pipe."""
+    t = F.trim(line)
+    inner = F.regexp_replace(F.regexp_replace(t, r"^\|", ""), r"\|$", "")
+    cells = F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: F.trim(F.regexp_replace(c, r"\\\|", "|")))
+    return F.when(t.contains("|"), cells)
+
+
+def table_aligns(line: Column) -> Column:
+    """Alignment of each column of a separator row, else null."""
+    cells = table_cells(line)
+    side = F.transform(cells, lambda c: F.when(c.startswith(":") & c.endswith(":"), "center").when(c.endswith(":"), "right").otherwise("left"))
+    return F.when((F.size(cells) >= 2) & F.forall(cells, lambda c: c.rlike("^[-:]{3,}$") & (F.length(F.replace(c, F.lit(":"), F.lit(""))) >= 3)), side)
+
+
+def auto_widths(fixed: Column, available: Column) -> Column:
+    """Column widths: positive ones are fixed, the others share what is left, nothing if none is."""
+    total = F.aggregate(fixed, F.lit(0.0), lambda a, w: a + F.greatest(w, F.lit(0.0)))
+    n = F.size(F.filter(fixed, lambda w: w <= 0))
+    share = F.greatest((available - total) / n, F.lit(0.0))
+    return F.transform(fixed, lambda w: F.when(w > 0, w).otherwise(share))
+
+
+def track_widths(tracks: Column, available: Column, gap: Column) -> Column:
+    """Grid tracks struct<size, fr, auto>: fixed sizes first, then fractions of the rest, of which auto tracks get a fifth."""
+    add = lambda f: F.aggregate(tracks, F.lit(0.0), lambda a, t: a + f(t))
+    is_fr, is_auto = (lambda t: (t["size"] <= 0) & (t["fr"] > 0)), (lambda t: (t["size"] <= 0) & (t["fr"] <= 0) & t["auto"])
+    rest = F.greatest(available - gap * (F.size(tracks) - 1) - add(lambda t: F.greatest(t["size"], F.lit(0.0))), F.lit(0.0))
+    fr, n_auto = add(lambda t: F.when(is_fr(t), t["fr"]).otherwise(0.0)), add(lambda t: F.when(is_auto(t), 1.0).otherwise(0.0))
+    share = F.when(fr == 0, rest / n_auto).otherwise(rest * 0.2 / n_auto)
+    for_fr = F.when(n_auto > 0, rest * 0.8).otherwise(rest)
+    return F.transform(tracks, lambda t: F.when(t["size"] > 0, t["size"]).when(is_fr(t), for_fr * t["fr"] / fr).when(is_auto(t), share).otherwise(0.0))
 
 
 def truthy(value: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CONTEXT = 40
 
@@ -14,15 +15,27 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, needle: str) -> DataFrame:
-    """Non-overlapping case-insensitive matches: doc_id, line_no, col (characters, from 1), context."""
-    found = lines(docs).filter(F.lower("line").contains(needle.lower()))
-    pieces = F.transform(F.split(F.lower("line"), "\\Q" + needle.lower() + "\\E", -1), F.length)
-    found = found.withColumn("sizes", pieces).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("sizes") - 1)))
-    col = F.aggregate(F.slice("sizes", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x) + (F.col("k") - 1) * len(needle) + 1
-    found = found.withColumn("col", col)
-    start = F.greatest(F.col("col") - CONTEXT, F.lit(1))
-    context = F.trim(F.substring(F.col("line"), start, F.col("col") - start + len(needle) + CONTEXT))
-    return found.select("doc_id", "line_no", "col", context.alias("context"))
+    """Non-overlapping matches, whatever their case: doc_id, source, line_no, col (bytes, from 1), context.
+
+    The line is cut at its matches once; where each starts is a running sum over the match rows of the line. A blank needle is an error.
+    """
+    if not needle.strip():
+        raise ValueError("a search needs something to look for")
+    pattern = "(?iu)\\Q" + needle + "\\E"
+    found = lines(docs).filter(F.col("line").rlike(pattern))
+    pieces, hits = F.split("line", pattern, -1), F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
+    after = F.slice(pieces, F.lit(2), F.size(pieces))
+    zipped = F.filter(F.arrays_zip(pieces.alias("p"), hits.alias("h"), after.alias("a")), lambda z: z["h"].isNotNull())
+    near = F.transform(zipped, lambda z: F.struct((F.octet_length(z["p"])).alias("gap"), F.octet_length(z["h"]).alias("size"), z["p"].alias("before"), z["h"].alias("hit"), z["a"].alias("after")))
+    rows = found.select("doc_id", "source", "line_no", F.posexplode(near).alias("k", "m")).select("doc_id", "source", "line_no", "k", "m.*")
+    order = Window.partitionBy("doc_id", "line_no").orderBy("k")
+    col = F.sum(F.col("gap") + F.col("size")).over(order) - F.col("size") + 1
+    # Context may reach over neighbouring matches: up to CONTEXT characters on either side, from a few pieces and matches.
+    wide = CONTEXT // max(len(needle), 1) + 1
+    left = F.array_join(F.collect_list(F.concat("before", "hit")).over(order.rowsBetween(-wide, -1)), "")
+    right = F.array_join(F.collect_list(F.concat("hit", "after")).over(order.rowsBetween(1, wide)), "")
+    context = F.concat(F.right(F.concat(left, "before"), F.lit(CONTEXT)), "hit", F.left(F.concat("after", right), F.lit(CONTEXT)))
+    return rows.select("doc_id", "source", "line_no", col.cast("int").alias("col"), F.trim(context).alias("context"))
 
 
 def redact(text: Column, needles: list[str]) -> Column:
@@ -51,3 +64,34 @@ def line_kind(line: Column) -> Column:
         F.when(t == "", "blank").when(t.rlike(r"^#{1,6}[ \t]"), "heading").when(t.rlike(r"^([-*+]|[0-9]+[.)])[ \t]"), "list")
         .when(t.rlike(r"^\|.*\|$"), "table").when(t.contains(" | "), "cells").when(t.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), "rule").otherwise("text")
     )
+
+
+def unique_slugs(rows: DataFrame, doc: str, order: str, base: str) -> DataFrame:
+    """Adds ``slug``: the first heading of a document with a slug keeps it, the others are numbered from 2; an empty one is "section".
+
+    A numbered slug that a heading has of its own is not looked for.
+    """
+    name = F.when(F.col(base) == "", "section").otherwise(F.col(base))
+    k = F.row_number().over(Window.partitionBy(doc, name).orderBy(order))
+    return rows.withColumn("slug", F.when(k == 1, name).otherwise(F.concat(name, F.lit("-"), k)))
+
+
+def front_matter(text: Column) -> Column:
+    """map of the keys (lower case) and values between two --- lines at the start; the last value of a key counts. Empty without a closing line."""
+    block = F.regexp_extract(text, r"\A[ \t]*---[ \t]*\n((?s).*?)(?:^|\n)[ \t]*---[ \t]*(?:\n|\z)", 1)
+    pairs = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
+    strip = lambda x: F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", "")
+    entry = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), strip(F.regexp_replace(x, "^[^:]*:", "")).alias("v"))
+    entries = F.transform(pairs, entry)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+    return F.map_from_entries(last)
+
+
+def definitions(text: Column) -> Column:
+    """struct of links (name, url, title) and notes (name, note) that lines define."""
+    lines_of = F.split(text, "\n")
+    link, note = r'^\s{0,3}\[([^\]^][^\]]*)\]:\s*(\S+)(?:\s+"([^"]*)")?\s*$', r"^\s{0,3}\[\^([^\]]+)\]:\s*(.*)$"
+    links = F.transform(F.filter(lines_of, lambda x: x.rlike(link)), lambda x: F.struct(
+        F.regexp_extract(x, link, 1).alias("name"), F.regexp_replace(F.regexp_extract(x, link, 2), "^[<>]+|[<>]+$", "").alias("url"), F.regexp_extract(x, link, 3).alias("title")))
+    notes = F.transform(F.filter(lines_of, lambda x: x.rlike(note)), lambda x: F.struct(F.regexp_extract(x, note, 1).alias("name"), F.trim(F.regexp_extract(x, note, 2)).alias("note")))
+    return F.struct(links.alias("links"), notes.alias("notes"))

@@ -27,20 +27,20 @@ hits AS (
   SELECT doc_id, source, line_no, line, unnest(range(1, len(p))) AS k, p FROM pieces),
 placed AS (
   SELECT doc_id, source, line_no, line,
-         CAST(list_sum([length(x) FOR x IN p[1:k]]) + (k - 1) * {len(NEEDLE)} + 1 AS INT) AS col FROM hits)"""
+         CAST(list_sum([length(x) FOR x IN p[1:k]]) + (k - 1) * {len(NEEDLE)} + 1 AS INT) AS pos,
+         CAST(list_sum([strlen(x) FOR x IN p[1:k]]) + (k - 1) * {len(NEEDLE)} + 1 AS INT) AS col FROM hits)"""
 
 
 @query(f"""WITH {_HITS} SELECT doc_id, CAST(line_no AS INT) AS line_no, col,
-trim(substring(line, greatest(col - {T.CONTEXT}, 1), col - greatest(col - {T.CONTEXT}, 1) + {len(NEEDLE) + T.CONTEXT})) AS context FROM placed""")
+trim(substring(line, greatest(pos - {T.CONTEXT}, 1), pos - greatest(pos - {T.CONTEXT}, 1) + {len(NEEDLE) + T.CONTEXT})) AS context FROM placed""")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.search(table(spark, sf_dir, "documents"), NEEDLE)
+    return T.search(table(spark, sf_dir, "documents"), NEEDLE).drop("source")
 
 
 @query(f"WITH {_HITS} SELECT source, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM placed GROUP BY source")
 def search_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = T.search(docs, NEEDLE).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return docs.select("doc_id", "source").join(found, "doc_id").groupBy("source").agg(F.sum("n").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
+    found = T.search(table(spark, sf_dir, "documents"), NEEDLE)
+    return found.groupBy("source").agg(F.count("*").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("SELECT doc_id, replace(replace(replace(text, 'token', '     '), 'the', '   '), 'ing', '   ') AS redacted FROM documents")
@@ -60,12 +60,12 @@ def text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no,
-regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM lines""")
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(line), '[*_`]|~~', '', 'g'), '[^\\p{{L}}\\p{{Nd}} .-]', '', 'g'), '[ .-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM lines""")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", S.slug(F.col("line")).alias("slug"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]#|])', '\\\1', 'g') AS escaped FROM documents")
+@query(r"SELECT doc_id, regexp_replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '([\\`*_\[\]#|])', '\\\1', 'g') AS escaped FROM documents")
 def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.markdown_escape(F.col("text")).alias("escaped"))
 

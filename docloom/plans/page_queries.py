@@ -106,8 +106,7 @@ generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) AS
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("seq", "href")).withColumn("seq", F.col("seq") + 1)
+    return dom.links(dom.nodes(table(spark, sf_dir, "pages")))
 
 
 @query(f"WITH {_LINKS} SELECT page_id, CAST(seq AS INT) AS seq, href FROM links")
