@@ -240,3 +240,79 @@ def track_widths(tracks: Column, available: Column, gap: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     return F.lower(F.trim(value)).isin("1", "true", "yes", "on", "checked", "y")
+
+
+def unit(x: Column) -> Column:
+    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+
+
+#: Luminance weights.
+LUMINANCE = (0.299, 0.587, 0.114)
+
+
+def rgb_to_gray(r: Column, g: Column, b: Column) -> Column:
+    return sum((w * unit(x) for w, x in zip(LUMINANCE[1:], (g, b), strict=True)), LUMINANCE[0] * unit(r))
+
+
+def rgb_to_cmyk(r: Column, g: Column, b: Column) -> list[Column]:
+    """Black takes what all inks share; pure black has no other ink."""
+    top = F.greatest(unit(r), unit(g), unit(b))
+    return [*(F.when(top <= 0, 0.0).otherwise((top - unit(x)) / top) for x in (r, g, b)), 1 - top]
+
+
+def hsl_to_rgb(h: Column, s: Column, lightness: Column) -> list[Column]:
+    """``h`` in degrees. Each channel is a trapezoid over the hue circle, a third of it apart."""
+    high = F.when(lightness < 0.5, lightness * (1 + s)).otherwise(lightness + s - lightness * s)
+    low = 2 * lightness - high
+
+    def channel(shift: int) -> Column:
+        sixth = F.pmod(h + shift, F.lit(360.0)) / 60
+        return low + (high - low) * unit(F.least(sixth, 4 - sixth))
+
+    return [F.when(s == 0, lightness).otherwise(channel(x)) for x in (120, 0, -120)]
+
+
+def gradient_color(stops: Column, at: Column) -> Column:
+    """Between the stops (struct of offset and value, in order) around a place, linearly; beyond the ends their values. Null without stops."""
+    before = F.element_at(F.filter(stops, lambda s: s["offset"] < at), -1)
+    after = F.get(F.filter(stops, lambda s: s["offset"] >= at), F.lit(0))
+    between = before["value"] + (at - before["offset"]) / (after["offset"] - before["offset"]) * (after["value"] - before["value"])
+    return F.when(F.size(F.filter(stops, lambda s: s["offset"] < at)) == 0, F.get(stops, F.lit(0))["value"]).when(after.isNull(), F.element_at(stops, -1)["value"]).otherwise(between)
+
+
+def box_sides(text: Column) -> Column:
+    """Top, right, bottom and left of a shorthand of one to four values; nothing is 0."""
+    parts = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
+    pick = lambda *places: F.array(*[F.get(parts, F.lit(p)) for p in places])
+    n = F.size(parts)
+    return F.when(n == 0, F.array(*[F.lit("0")] * 4)).when(n == 1, pick(0, 0, 0, 0)).when(n == 2, pick(0, 1, 0, 1)).when(n == 3, pick(0, 1, 2, 1)).otherwise(pick(0, 1, 2, 3))
+
+
+def collapse_whitespace(text: Column) -> Column:
+    return F.regexp_replace(text, "[ \t\n\r\f]+", " ")
+
+
+def css_variable(value: Column, variables: Column) -> Column:
+    """``var(--name)`` or ``var(--name, fallback)`` from a map of variables; other values stay."""
+    pattern = r"^\s*var\(\s*(--[A-Za-z0-9_-]+)\s*(?:,\s*(.*?)\s*)?\)\s*$"
+    fallback = F.regexp_extract(value, pattern, 2)
+    return F.when(value.rlike(pattern), F.coalesce(variables[F.regexp_extract(value, pattern, 1)], fallback)).otherwise(value)
+
+
+def map_changes(a: Column, b: Column) -> Column:
+    """Keys of either map whose values differ or that one of them lacks, in order."""
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    return F.filter(keys, lambda k: ~a[k].eqNullSafe(b[k]))
+
+
+#: Page sizes in points.
+PAGE_SIZES = {"a3": (841.89, 1190.55), "a4": (595.28, 841.89), "a5": (419.53, 595.28), "letter": (612.0, 792.0), "legal": (612.0, 1008.0)}
+
+
+def page_size(name: Column) -> tuple[Column, Column]:
+    """Width and height of a named page size; unknown names are A4."""
+    key = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    w, h = (F.lit(x) for x in PAGE_SIZES["a4"])
+    for k, (x, y) in PAGE_SIZES.items():
+        w, h = F.when(key == k, x).otherwise(w), F.when(key == k, y).otherwise(h)
+    return w, h
