@@ -316,3 +316,78 @@ def page_size(name: Column) -> tuple[Column, Column]:
     for k, (x, y) in PAGE_SIZES.items():
         w, h = F.when(key == k, x).otherwise(w), F.when(key == k, y).otherwise(h)
     return w, h
+
+
+# Font families by what a name contains, tested in this order; style suffixes, each stripped once.
+FAMILIES = (
+    ("helvetica|arial", "Helvetica, Arial, sans-serif"),
+    ("times", "'Times New Roman', Times, serif"),
+    ("courier|mono", "'Courier New', Courier, monospace"),
+    ("symbol", "Symbol, serif"),
+    ("zapf|dingbat", "ZapfDingbats, serif"),
+)
+STYLE_SUFFIXES = ("-Bold", "-Italic", "-BoldItalic", "-Oblique", "-BoldOblique", ",Bold", ",Italic", ",BoldItalic")
+IMAGE_ENDS = {"image/jpeg": ".jpg", "image/png": ".png"}
+
+
+def font_name(name: Column) -> Column:
+    """A font's name without a subset prefix of up to six signs."""
+    return F.regexp_replace(name, r"^[^+]{0,6}\+", "")
+
+
+def font_style(name: Column) -> tuple[Column, Column]:
+    """Whether a font is bold and whether it is italic, by its name."""
+    n = F.coalesce(F.lower(name), F.lit(""))
+    return n.rlike("bold|black|heavy"), n.rlike("italic|oblique")
+
+
+def font_family(name: Column) -> Column:
+    """A list of CSS families for a font; null stays null."""
+    own = font_name(F.regexp_replace(name, "^/", ""))
+    for end in STYLE_SUFFIXES:
+        own = F.regexp_replace(own, end + "$", "")
+    out = F.concat(F.lit("'"), own, F.lit("', sans-serif"))
+    for pattern, family in reversed(FAMILIES):
+        out = F.when(F.lower(name).rlike(pattern), family).otherwise(out)
+    return out
+
+
+def hex_bytes(text: Column) -> Column:
+    """Bytes of a hexadecimal string: other signs are skipped, a last single digit counts as the upper half."""
+    digits = F.regexp_replace(text, "[^0-9A-Fa-f]", "")
+    return F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
+
+
+def image_name(page: Column, index: Column, mime: Column) -> Column:
+    """File name of an extracted image from its page and place, both counted from 0."""
+    end = F.lit(".bin")
+    for kind, other in IMAGE_ENDS.items():
+        end = F.when(mime == kind, other).otherwise(end)
+    return F.format_string("page_%03d_image_%03d%s", page + 1, index + 1, end)
+
+
+def rgb_css(r: Column, g: Column, b: Column) -> Column:
+    """A colour of channels from 0 to 1 as CSS text."""
+    return F.format_string("rgb(%d,%d,%d)", *[F.least(F.greatest(F.round(c * 255).cast("int"), F.lit(0)), F.lit(255)) for c in (r, g, b)])
+
+
+def media_included(query: Column) -> Column:
+    """Whether rules of a media query count: it names print, screen or all."""
+    return F.coalesce(query.rlike("print|screen|all"), F.lit(False))
+
+
+def simple_calc(expr: Column) -> Column:
+    """A sum or difference of two lengths of one unit, or one of them without; empty for anything else, null for null.
+
+    Numbers are written without exponent between 0.001 and ten million.
+    """
+    out = F.lit("")
+    for sign, pattern in ((-1, r"^(.*?) - (.*)$"), (1, r"^(.*?) \+ (.*)$")):
+        sides = [F.trim(F.regexp_extract(expr, pattern, i)) for i in (1, 2)]
+        values = [F.coalesce(F.regexp_extract(s, r"^(-?[0-9.]+)", 1).try_cast("double"), F.lit(0.0)) for s in sides]
+        units = [F.regexp_extract(s, r"^-?[0-9.]+\s*([A-Za-z%]*)$", 1) for s in sides]
+        number = F.regexp_replace((values[0] + sign * values[1]).cast("string"), r"\.0$", "")
+        unit = F.when(units[0] == "", units[1]).otherwise(units[0])
+        fits = expr.rlike(pattern) & ((units[0] == units[1]) | (units[0] == "") | (units[1] == ""))
+        out = F.when(fits, F.concat(number, unit)).otherwise(out)
+    return F.when(expr.isNotNull(), out)
