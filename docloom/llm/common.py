@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.session import shared_dir, table
+from docloom.session import materialise, shared_dir, table
 
 __all__ = ["WORD", "buckets", "by_group", "drawn", "identified", "materialise", "mix64", "numbered", "shared_dir", "table"]
 
@@ -19,14 +18,6 @@ __all__ = ["WORD", "buckets", "by_group", "drawn", "identified", "materialise",
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, group: list[str], order: list[Column], spread: Column, out: str, weight: Column | None = None) -> DataFrame:
     """Gapless numbers from 0 in each group, or with ``weight`` the sum of the weights before the row.
 
