@@ -35,8 +35,8 @@ MAX_BYTES = 8_000_000
 SHARD_DOCS, SHARD_POSTINGS = 65_536, 2_000_000
 #: Longest block, and the run of postings that is cut at once.
 LONGEST, RUN = 64, 1024
-BLOCK_COST = 16
-FIRST_DOCS = 2048
+BLOCK_COST = 4
+FIRST_DOCS, GROWTH = 512, 16
 
 _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(128)) + bytes(range(128, 256))
 
@@ -153,7 +153,9 @@ class Shard:
         self.block_first = np.searchsorted(start, self.first)
         self.block_start, self.block_end = self.doc[start], self.doc[last]
         self.block_max = np.maximum.reduceat(self.share, start) if len(last) else self.share
+        self.list_max = np.maximum.reduceat(self.share, self.first[:-1]) if len(last) else self.share
         self.total = np.zeros(n_docs, np.int64)
+        self.read = 0  # postings that searches have looked at
 
     def runs(self, query: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, last, bound) of the runs of documents between block borders that some block meets."""
@@ -170,23 +172,48 @@ class Shard:
         some = np.flatnonzero(bound[:-1] > 0)
         return at[some], at[some + 1] - 1, bound[some]
 
-    def scored(self, query: list[tuple[int, int]], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of some runs with their scores; postings outside the runs are not read."""
+    def scored(self, lists: list[tuple[int, int, int]], first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of some runs that may reach ``least``, with their scores; ``lists`` (list, times, bound) by falling bound.
+
+        What is in no list but the last ones, whose bounds together stay below ``least``, is not a candidate. These lists are looked up
+        for candidates alone, and only where what is found, the block's bound and the bounds of the lists to come still reach it.
+        """
         order = np.argsort(first)
         first, last = first[order], last[order]
-        seen = []
-        for k, times in query:
+        new = np.concatenate([[True], first[1:] > last[:-1] + 1])
+        first, last = first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
+        rest = np.append(np.cumsum([bound for _, _, bound in lists][::-1])[::-1], 0).tolist()
+        for j, (k, times, _) in enumerate(lists):
+            if rest[j] < least:
+                break
             a, z = self.first[k], self.first[k + 1]
             own = self.doc[a:z]
             lo, hi = np.searchsorted(own, first), np.searchsorted(own, last, side="right")
             n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            docs = own[at]
-            self.total[docs] += self.share[a:z][at] * times
-            seen.append(docs)
-        docs = np.unique(np.concatenate(seen))
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(n) > 1 else slice(lo[0], hi[0])
+            self.total[own[at]] += self.share[a:z][at] * times
+            self.read += int(n.sum())
+        docs = np.flatnonzero(self.total)
         scores = self.total[docs]
         self.total[docs] = 0
+        for j, (k, times, _) in enumerate(lists):
+            if rest[j] >= least:
+                continue
+            open_ = scores + rest[j] >= least
+            docs, scores = docs[open_], scores[open_]
+            a, z = self.block_first[k], self.block_first[k + 1]
+            block = np.minimum(a + np.searchsorted(self.block_end[a:z], docs), z - 1)
+            top = np.where((self.block_start[block] <= docs) & (docs <= self.block_end[block]), self.block_max[block] * times, 0)
+            open_ = scores + top + rest[j + 1] >= least
+            docs, scores, top = docs[open_], scores[open_], top[open_]
+            if not len(docs):
+                break
+            inside = np.flatnonzero(top)
+            a, z = self.first[k], self.first[k + 1]
+            at = np.minimum(a + np.searchsorted(self.doc[a:z], docs[inside]), z - 1)
+            hit = self.doc[at] == docs[inside]
+            scores[inside[hit]] += self.share[at[hit]] * times
+            self.read += len(inside)
         return docs, scores
 
     def top(self, query: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,22 +222,23 @@ class Shard:
         docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not query:
             return docs, scores
+        lists = sorted(((t, times, int(self.list_max[t]) * times) for t, times in query), key=lambda x: -x[2])
         first, last, bound = self.runs(query)
         order = np.argsort(-bound, kind="stable")
         first, last, bound = first[order], last[order], bound[order]
         size = np.cumsum(last - first + 1)
         at, wanted = 0, FIRST_DOCS
         while at < len(bound):
-            least = scores[-1] if len(scores) == k else 1
+            least = int(scores[-1]) if len(scores) == k else 1
             upto = min(int(np.searchsorted(size, wanted)) + 1, int(np.searchsorted(-bound, -least, side="right")))
             if upto <= at:
                 break
-            d, s = self.scored(query, first[at:upto], last[at:upto])
+            d, s = self.scored(lists, first[at:upto], last[at:upto], least)
             good = s >= least
             docs, scores = np.concatenate([docs, d[good]]), np.concatenate([scores, s[good]])
             best = np.lexsort((docs, -scores))[:k]
             docs, scores = docs[best], scores[best]
-            at, wanted = upto, size[upto - 1] * 2
+            at, wanted = upto, size[upto - 1] * GROWTH
         return docs, scores
 
 

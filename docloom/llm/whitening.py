@@ -133,18 +133,18 @@ def fit(rows: DataFrame, d: int, components: int | None = COMPONENTS, vec: str =
     if not d:
         return None
     spark = rows.sparkSession
-    x = F.transform(vec, lambda c: F.floor(c.cast("double") * scale).cast("long") + shift)
+    x = F.transform(vec, lambda c: F.floor(c.cast("double") * scale).cast("long"))
     stats = rows.select(F.posexplode(x).alias("i", "x")).groupBy("i").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("s"), F.min("x").alias("a"), F.max("x").alias("z"))
     found = sorted(stats.collect())
     if not found:
         return None
     n = found[0]["n"]
-    if max(max(-r["a"], r["z"]) for r in found) >= 1 << 53:
+    if max(max(-r["a"], r["z"]) for r in found) + abs(shift) >= 1 << 53:
         raise ValueError("an entry is too large for a fixed-point number")
-    sums = [int(r["s"]) for r in found]
+    sums = [int(r["s"]) + n * shift for r in found]
     low = np.array([s // n for s in sums], dtype=np.int64)
     rest = np.array([s % n for s in sums], dtype=np.int64)
-    largest = max(max(m - r["a"], r["z"] - m) for r, m in zip(found, low.tolist(), strict=True))
+    largest = max(max(m - r["a"] - shift, r["z"] + shift - m) for r, m in zip(found, low.tolist(), strict=True))
     exact = n * largest * largest < 1 << 62
     whole = max(1, (1 << 53) // max(1, largest * largest))  # so many products add up without rounding
     low_sent = spark.sparkContext.broadcast(low)  # one number a dimension
