@@ -12,6 +12,9 @@ one), as often as the counts allow, and starts again until nothing can be fixed.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,8 +32,8 @@ from . import common as C
 
 LENGTH = 4096
 END = 1
-#: Encoded words that a Python worker keeps; it forgets all when there are more. Longer words are not kept.
-KEPT_WORDS, KEPT_BYTES = 500_000, 64
+#: Encoded parts of texts that a Python worker keeps; it forgets all when there are more. Longer parts are not kept.
+KEPT_WORDS, KEPT_SIGNS = 500_000, 64
 
 
 def vocabulary_path() -> str:
@@ -39,11 +42,21 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Texts of these signs alone are cut here: lower-casing and composing them is the same for every tool, and no special token is in them.
+_LETTERS, _NUMBERS, _SPACES = r"a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r \u00a0"
+_UNSURE = re.compile(r"[^\t-\r -~\u00a0-\u012f\u0131-\u0148\u014a-\u017e]|<\|").search
+_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+").findall
+#: How a vocabulary must cut texts for ``_PARTS`` to do the same.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class Words(dict):
-    """Ids (little-endian unsigned 32 bits) by word; a word is what stands between ASCII white space.
+    """Ids (little-endian unsigned 32 bits) by part of a text; parts are merged each on its own, so most of them are found here.
 
-    The vocabulary's own rules drop white space and never join over it, so a text's ids are those of its words, and every word
-    is encoded by the tokenizer itself.
+    Texts with other signs, or with what may be a special token, go to the tokenizer whole, and so do all with another kind of vocabulary.
     """
 
     def __init__(self, vocabulary: str):
@@ -51,17 +64,26 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= KEPT_BYTES:
+        spec = json.loads(vocabulary)
+        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        self.known = (spec["normalizer"] or {}).get("normalizers") == _NORMAL and cut[0].get("pattern") == {"Regex": _CUTS} and cut[0].get("behavior") == "Removed" and cut[1].get("type") == "ByteLevel" and len(cut) == 2
+        self.merged = self.tokenizer.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        ids = [t.id for t in self.merged(part if part.isascii() else "".join(map(_BYTE.__getitem__, part.encode())))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= KEPT_SIGNS:
             if len(self) >= KEPT_WORDS:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[part] = out
+        return out
 
-    def encode(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.known and not _UNSURE(text):
+            return b"".join(map(self.__getitem__, _PARTS(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _WORDS: dict[int, Words] = {}
@@ -89,7 +111,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = _words(sent.value), TaskContext.get().partitionId(), Counter()
         for b in batches:
-            texts = b.column("text").cast(pa.binary())
+            texts = b.column("text")
             for at in range(0, b.num_rows, 1000):
                 own: list[list] = [[] for _ in range(6)]
                 ids = []

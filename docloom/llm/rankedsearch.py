@@ -335,4 +335,4 @@ b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
 tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL),
 df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, g GROUP BY term, docs),
 s AS (SELECT q, item_id, r, k.doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score FROM w JOIN tf USING (term) JOIN df USING (term) JOIN k USING (r), g GROUP BY q, item_id, r, k.doc_id)
-SELECT item_id, CAST(row_number() OVER o AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {TOP} WINDOW o AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)"""
+SELECT item_id, CAST(row_number() OVER o AS INT) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW o AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= {TOP}"""
