@@ -87,10 +87,12 @@ def css_length_points(text: Column, parent: Column, root: Column) -> Column:
 
 
 def fit_image(w: Column, h: Column, box_w: Column, box_h: Column, fit: Column) -> tuple[Column, Column]:
-    """Drawn size for contain, cover, fill or none."""
-    small, large = F.least(box_w / w, box_h / h), F.greatest(box_w / w, box_h / h)
-    scale = F.when(fit == "contain", small).when(fit == "cover", large).otherwise(F.lit(1.0))
-    return F.when(fit == "fill", box_w).otherwise(w * scale), F.when(fit == "fill", box_h).otherwise(h * scale)
+    """Drawn size for contain (also for unknown and missing fits), cover, fill or none, whatever their case; null for an image without width or height."""
+    by_w, by_h = F.try_divide(box_w, w), F.try_divide(box_h, h)
+    some = by_w.isNotNull() & by_h.isNotNull()
+    name = F.lower(F.trim(F.coalesce(fit, F.lit(""))))
+    scale = F.when(name == "none", F.lit(1.0)).when(some & (name == "cover"), F.greatest(by_w, by_h)).when(some, F.least(by_w, by_h))
+    return F.when(name == "fill", box_w).otherwise(w * scale), F.when(name == "fill", box_h).otherwise(h * scale)
 
 
 def affine_product(a: list[Column], b: list[Column]) -> list[Column]:
@@ -227,15 +229,22 @@ def auto_widths(fixed: Column, available: Column) -> Column:
     return F.transform(fixed, lambda w: F.when(w > 0, w).otherwise(share))
 
 
-def track_widths(tracks: Column, available: Column, gap: Column) -> Column:
-    """Grid tracks struct<size, fr, auto>: fixed sizes first, then fractions of the rest, of which auto tracks get a fifth."""
+def track_widths(tracks: Column, available: Column, gap: Column, bounds: bool = False) -> Column:
+    """Grid tracks struct<size, fr, auto> and, where wanted, least and most: fixed sizes first, then fractions of the rest, of which auto tracks get a fifth.
+
+    A track with a positive least or most size is held to it afterwards; the others stay as they are.
+    """
     add = lambda f: F.aggregate(tracks, F.lit(0.0), lambda a, t: a + f(t))
     is_fr, is_auto = (lambda t: (t["size"] <= 0) & (t["fr"] > 0)), (lambda t: (t["size"] <= 0) & (t["fr"] <= 0) & t["auto"])
     rest = F.greatest(available - gap * (F.size(tracks) - 1) - add(lambda t: F.greatest(t["size"], F.lit(0.0))), F.lit(0.0))
     fr, n_auto = add(lambda t: F.when(is_fr(t), t["fr"]).otherwise(0.0)), add(lambda t: F.when(is_auto(t), 1.0).otherwise(0.0))
     share = F.when(fr == 0, rest / n_auto).otherwise(rest * 0.2 / n_auto)
     for_fr = F.when(n_auto > 0, rest * 0.8).otherwise(rest)
-    return F.transform(tracks, lambda t: F.when(t["size"] > 0, t["size"]).when(is_fr(t), for_fr * t["fr"] / fr).when(is_auto(t), share).otherwise(0.0))
+    width = lambda t: F.when(t["size"] > 0, t["size"]).when(is_fr(t), for_fr * t["fr"] / fr).when(is_auto(t), share).otherwise(0.0)
+    if not bounds:
+        return F.transform(tracks, width)
+    raised = lambda t: F.when((t["least"] > 0) & (width(t) < t["least"]), t["least"]).otherwise(width(t))
+    return F.transform(tracks, lambda t: F.when((t["most"] > 0) & (raised(t) > t["most"]), t["most"]).otherwise(raised(t)))
 
 
 def truthy(value: Column) -> Column:
@@ -292,11 +301,22 @@ def collapse_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, "[ \t\n\r\f]+", " ")
 
 
+#: Innermost var(): its name, and its fallback, which may hold other functions.
+_VAR = r"var\(\s*(--[^\s,()]+)\s*(?:,([^()]*(?:\((?:[^()]|\([^()]*\))*\)[^()]*)*))?\)"
+VAR_STEPS = 32
+
+
 def css_variable(value: Column, variables: Column) -> Column:
-    """``var(--name)`` or ``var(--name, fallback)`` from a map of variables; other values stay."""
-    pattern = r"^\s*var\(\s*(--[A-Za-z0-9_-]+)\s*(?:,\s*(.*?)\s*)?\)\s*$"
-    fallback = F.regexp_extract(value, pattern, 2)
-    return F.when(value.rlike(pattern), F.coalesce(variables[F.regexp_extract(value, pattern, 1)], fallback)).otherwise(value)
+    """Every ``var(--name)`` and ``var(--name, fallback)`` in a value, nested ones too, from a map of variables; without either it is empty.
+
+    Variables may hold var() themselves. After ``VAR_STEPS`` replacements, as in a cycle, what is left stays.
+    """
+
+    def step(acc: Column, _: Column) -> Column:
+        name, fallback = F.regexp_extract(acc, _VAR, 1), F.trim(F.regexp_extract(acc, _VAR, 2))
+        return F.when(acc.rlike(_VAR), F.replace(acc, F.regexp_extract(acc, _VAR, 0), F.coalesce(variables[name], fallback))).otherwise(acc)
+
+    return F.when(value.contains("var("), F.aggregate(F.sequence(F.lit(1), F.lit(VAR_STEPS)), value, step)).otherwise(value)
 
 
 def map_changes(a: Column, b: Column) -> Column:
@@ -376,18 +396,119 @@ def media_included(query: Column) -> Column:
     return F.coalesce(query.rlike("print|screen|all"), F.lit(False))
 
 
+_LENGTH = r"^([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))\s*(rem|em|px|pt|%|cm|mm|in|vw|vh)?$"
+
+
+def number_and_unit(text: Column) -> tuple[Column, Column]:
+    """Of a length; a plain number and nothing at all are px, what is no length is 0 without a unit."""
+    t = F.lower(F.trim(text))
+    unit = F.regexp_extract(t, _LENGTH, 2)
+    number = F.coalesce(F.regexp_extract(t, _LENGTH, 1).try_cast("double"), F.when(text.isNotNull(), 0.0))
+    return number, F.when((t == "") | (t.rlike(_LENGTH) & (unit == "")), "px").when(t == "auto", "auto").otherwise(unit)
+
+
 def simple_calc(expr: Column) -> Column:
-    """A sum or difference of two lengths of one unit, or one of them without; empty for anything else, null for null.
+    """A sum or difference of two lengths of one unit; plain numbers are px. Empty for anything else, null for null.
 
     Numbers are written without exponent between 0.001 and ten million.
     """
     out = F.lit("")
     for sign, pattern in ((-1, r"^(.*?) - (.*)$"), (1, r"^(.*?) \+ (.*)$")):
-        sides = [F.trim(F.regexp_extract(expr, pattern, i)) for i in (1, 2)]
-        values = [F.coalesce(F.regexp_extract(s, r"^(-?[0-9.]+)", 1).try_cast("double"), F.lit(0.0)) for s in sides]
-        units = [F.regexp_extract(s, r"^-?[0-9.]+\s*([A-Za-z%]*)$", 1) for s in sides]
-        number = F.regexp_replace((values[0] + sign * values[1]).cast("string"), r"\.0$", "")
-        unit = F.when(units[0] == "", units[1]).otherwise(units[0])
-        fits = expr.rlike(pattern) & ((units[0] == units[1]) | (units[0] == "") | (units[1] == ""))
-        out = F.when(fits, F.concat(number, unit)).otherwise(out)
+        (a, own), (b, other) = (number_and_unit(F.regexp_extract(F.trim(expr), pattern, i)) for i in (1, 2))
+        number = F.regexp_replace((a + sign * b).cast("string"), r"\.0$", "")
+        fits = F.trim(expr).rlike(pattern) & ((own == other) | (own == "") | (other == ""))
+        out = F.when(fits, F.concat(number, F.when(own == "", other).otherwise(own))).otherwise(out)
     return F.when(expr.isNotNull(), out)
+
+
+def length_parts(number: Column, unit: Column, root: float) -> tuple[Column, Column]:
+    """A CSS length as (points, times the font): one of them is null, both are for a null. em, % and view units go by the font, rem by ``root``; no length is 0."""
+    times = F.when(unit == "em", number).when(unit.isin("%", "vw", "vh"), number / 100)
+    factor = F.when(unit == "rem", root)
+    for name, points in CSS_POINTS.items():
+        factor = factor.when(unit == name, points)
+    return F.when(number.isNotNull() & times.isNull(), number * factor.otherwise(0.0)), times
+
+
+# Colours by name.
+COLORS = {
+    "black": "000000", "white": "ffffff", "red": "ff0000", "green": "008000", "blue": "0000ff", "yellow": "ffff00", "cyan": "00ffff", "magenta": "ff00ff", "orange": "ffa500", "purple": "800080",
+    "pink": "ffc0cb", "gray": "808080", "grey": "808080", "silver": "c0c0c0", "navy": "000080", "teal": "008080", "maroon": "800000", "olive": "808000", "lime": "00ff00", "aqua": "00ffff",
+    "fuchsia": "ff00ff", "brown": "a52a2a", "coral": "ff7f50", "crimson": "dc143c", "darkblue": "00008b", "darkgray": "a9a9a9", "darkgrey": "a9a9a9", "darkgreen": "006400", "darkred": "8b0000", "gold": "ffd700",
+    "indigo": "4b0082", "ivory": "fffff0", "khaki": "f0e68c", "lavender": "e6e6fa", "lightblue": "add8e6", "lightgray": "d3d3d3", "lightgrey": "d3d3d3", "lightgreen": "90ee90", "lightyellow": "ffffe0", "tomato": "ff6347",
+    "turquoise": "40e0d0", "violet": "ee82ee", "wheat": "f5deb3", "whitesmoke": "f5f5f5", "yellowgreen": "9acd32", "steelblue": "4682b4", "slategray": "708090", "slategrey": "708090", "skyblue": "87ceeb", "salmon": "fa8072",
+    "royalblue": "4169e1", "plum": "dda0dd", "peru": "cd853f", "orchid": "da70d6", "linen": "faf0e6", "chocolate": "d2691e", "beige": "f5f5dc", "azure": "f0ffff", "aliceblue": "f0f8ff", "antiquewhite": "faebd7",
+    "bisque": "ffe4c4", "blanchedalmond": "ffebcd", "burlywood": "deb887", "cadetblue": "5f9ea0", "chartreuse": "7fff00", "cornflowerblue": "6495ed", "cornsilk": "fff8dc", "darkcyan": "008b8b", "darkgoldenrod": "b8860b", "darkkhaki": "bdb76b",
+    "darkmagenta": "8b008b", "darkolivegreen": "556b2f", "darkorange": "ff8c00", "darkorchid": "9932cc", "darksalmon": "e9967a", "darkseagreen": "8fbc8f", "darkslateblue": "483d8b", "darkslategray": "2f4f4f", "darkslategrey": "2f4f4f", "darkturquoise": "00ced1",
+    "darkviolet": "9400d3", "deeppink": "ff1493", "deepskyblue": "00bfff", "dimgray": "696969", "dimgrey": "696969", "dodgerblue": "1e90ff", "firebrick": "b22222", "floralwhite": "fffaf0", "forestgreen": "228b22", "gainsboro": "dcdcdc",
+    "ghostwhite": "f8f8ff", "goldenrod": "daa520", "greenyellow": "adff2f", "honeydew": "f0fff0", "hotpink": "ff69b4", "indianred": "cd5c5c", "lawngreen": "7cfc00", "lemonchiffon": "fffacd", "lightcoral": "f08080", "lightcyan": "e0ffff",
+    "lightpink": "ffb6c1", "lightsalmon": "ffa07a", "lightseagreen": "20b2aa", "lightskyblue": "87cefa", "lightslategray": "778899", "lightslategrey": "778899", "lightsteelblue": "b0c4de", "mediumaquamarine": "66cdaa", "mediumblue": "0000cd", "mediumorchid": "ba55d3",
+    "mediumpurple": "9370db", "mediumseagreen": "3cb371", "mediumslateblue": "7b68ee", "mediumspringgreen": "00fa9a", "mediumturquoise": "48d1cc", "mediumvioletred": "c71585", "midnightblue": "191970", "mintcream": "f5fffa", "mistyrose": "ffe4e1", "moccasin": "ffe4b5",
+    "navajowhite": "ffdead", "oldlace": "fdf5e6", "olivedrab": "6b8e23", "orangered": "ff4500", "palegoldenrod": "eee8aa", "palegreen": "98fb98", "paleturquoise": "afeeee", "palevioletred": "db7093", "papayawhip": "ffefd5", "peachpuff": "ffdab9",
+    "powderblue": "b0e0e6", "rebeccapurple": "663399", "rosybrown": "bc8f8f", "saddlebrown": "8b4513", "sandybrown": "f4a460", "seagreen": "2e8b57", "seashell": "fff5ee", "sienna": "a0522d", "snow": "fffafa", "springgreen": "00ff7f",
+    "tan": "d2b48c", "thistle": "d8bfd8",
+}
+
+
+def css_color(text: Column) -> Column:
+    """struct<rgb, alpha>, 0 to 1, of a name, #rgb, #rgba, #rrggbb, #rrggbbaa, rgb() or rgba(); null for anything else.
+
+    Channels of named colours are rounded to three places. Channels of functions are clamped; what is no number is 0.
+    """
+    t = F.lower(F.trim(text))
+    names = F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair])
+    pair = lambda h, at: F.when(F.substring(h, at, 2).rlike("^[0-9a-f]{2}$"), F.conv(F.substring(h, at, 2), 16, 10).cast("double") / 255).otherwise(0.0)
+    color = lambda h, alpha, places=15: F.struct(F.array(*[F.round(pair(h, at), places) for at in (1, 3, 5)]).alias("rgb"), alpha.alias("alpha"))
+    h = F.substring(t, F.lit(2), F.length(t))
+    wide = F.when(F.length(h).isin(3, 4), F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)
+    alpha = F.when(F.length(wide) == 8, pair(wide, 7)).otherwise(1.0)
+    parts = F.filter(F.split(F.regexp_extract(t, r"(?s)^[^(]*\((.*)\)", 1), "[,/ ]"), lambda x: x != "")
+
+    def channel(at: int, scale: float) -> Column:
+        p = F.trim(F.get(parts, F.lit(at)))
+        number = F.coalesce(F.regexp_replace(p, "%$", "").try_cast("double"), F.lit(0.0))
+        return unit(F.when(p.endswith("%"), number / 100).otherwise(number / scale))
+
+    called = F.struct(F.array(*[channel(at, 255) for at in range(3)]).alias("rgb"), F.when(F.size(parts) > 3, channel(3, 1)).otherwise(1.0).alias("alpha"))
+    return (
+        F.when(names[t].isNotNull(), color(names[t], F.lit(1.0), 3)).when(t.startswith("#") & F.length(wide).isin(6, 8), color(wide, alpha))
+        .when(t.startswith("rgb") & t.contains("(") & t.contains(")") & (F.size(parts) >= 3), called)
+    )
+
+
+def text_transform(text: Column, how: Column) -> Column:
+    """uppercase, lowercase, or capitalize, which raises the first letter of each run of letters and digits; else the text as it is."""
+    pieces = F.split(text, r"(?<![\p{L}\p{Nd}])(?=[\p{L}\p{Nd}])")
+    first = lambda p: F.upper(F.left(p, F.lit(1)))
+    raised = F.transform(pieces, lambda p: F.concat(F.when(F.length(first(p)) == 1, first(p)).otherwise(F.left(p, F.lit(1))), F.substring(p, F.lit(2), F.length(p))))
+    return F.when(how == "uppercase", F.upper(text)).when(how == "lowercase", F.lower(text)).when(how == "capitalize", F.array_join(raised, "")).otherwise(text)
+
+
+def table_widths(columns: Column, total: Column) -> Column:
+    """Widths of table columns struct<least, wanted, weight> that fill ``total``.
+
+    Where all wanted widths fit, what is left goes by weight; where not even the least fit, these are scaled down; else what is left beyond the least
+    goes by weight times what each wants more. Without any weight all get the same. A width of 0 or less gives zeros.
+    """
+    add = lambda f: F.aggregate(columns, F.lit(0.0), lambda a, c: a + f(c))
+    n = F.size(columns).cast("double")
+    wanted = lambda c: F.greatest(c["wanted"], c["least"])
+    more = lambda c: (wanted(c) - c["least"]) * F.greatest(c["weight"], F.lit(0.0))
+    all_least, all_wanted, weights, flex = add(lambda c: c["least"]), add(wanted), add(lambda c: c["weight"]), add(more)
+    spread = F.when(weights == 0, F.transform(columns, lambda c: wanted(c) + (total - all_wanted) / n)).otherwise(F.transform(columns, lambda c: wanted(c) + F.try_divide((total - all_wanted) * c["weight"], weights)))
+    between = F.when(flex == 0, F.transform(columns, lambda c: c["least"] + (total - all_least) / n)).otherwise(F.transform(columns, lambda c: c["least"] + F.try_divide((total - all_least) * more(c), flex)))
+    return (
+        F.when(total <= 0, F.transform(columns, lambda c: F.lit(0.0))).when(all_wanted <= total, spread)
+        .when(all_least >= total, F.transform(columns, lambda c: F.try_divide(c["least"] * total, all_least))).otherwise(between)
+    )
+
+
+#: How much of a table's spare width cells take by their alignment.
+STRETCH = {"center": 0.15, "right": 0.05, "end": 0.05}
+
+
+def stretch_weight(align: Column) -> Column:
+    out = F.lit(1.0)
+    for name, weight in STRETCH.items():
+        out = F.when(align == name, weight).otherwise(out)
+    return out

@@ -9,11 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import scalars as S
+
 #: Elements without content, and those that a following sibling of the set closes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "div": {"p"}, "ul": {"p"}, "h1": {"p"}, "h2": {"p"}}
+_PART = {"thead", "tbody", "tfoot", "tr", "td", "th"}
+CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "thead": _PART, "tbody": _PART, "tfoot": _PART, "div": {"p"}, "ul": {"p"}, "h1": {"p"}, "h2": {"p"}}
 SCHEMA = "page_id long, node_id int, parent_id int, depth int, child_ix int, tag string, id string, classes array<string>, href string, text string, ancestors array<int>, path array<string>, attrs map<string,string>, hidden boolean, last_id int"
 
+#: How many rows a task gathers before it hands them on.
+ROWS = 4096
+
 
 class _Nodes(HTMLParser):
     """Pre-order rows; ``last_id`` is the last descendant, so that a subtree is a range of node ids. Script and style text is hidden."""
@@ -36,7 +42,7 @@ class _Nodes(HTMLParser):
             self.rows[self.open.pop()][-1] = len(self.rows) - 1
 
     def handle_starttag(self, tag, attrs):
-        if self.open and self.rows[self.open[-1]][4] in CLOSES.get(tag, ()):
+        while self.open and self.rows[self.open[-1]][4] in CLOSES.get(tag, ()):
             self._close(len(self.open) - 1)
         k = self._add(tag, dict(attrs), None)
         if tag not in VOID:
@@ -56,6 +62,8 @@ class _Nodes(HTMLParser):
 def nodes(pages: DataFrame) -> DataFrame:
     """One row per element or text node, parsed page by page inside tasks."""
 
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out: list[list] = []
@@ -65,7 +73,10 @@ def nodes(pages: DataFrame) -> DataFrame:
                 parser.close()
                 parser._close(0)
                 out += [[page, *row] for row in parser.rows]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
 
@@ -85,7 +96,15 @@ def select_child(tree: DataFrame, ancestor: str, tag: str) -> DataFrame:
     return tree.filter(F.col("tag") == tag).select("page_id", "node_id", F.element_at(F.transform(up, lambda a: a["ancestors"]), -1).alias("ancestor_id")).filter("ancestor_id is not null")
 
 
-def links(tree: DataFrame) -> DataFrame:
-    """page_id, seq (from 1), href of the links of each page, in any spelling that a parser reads."""
-    rows = tree.filter("tag = 'a' and href is not null").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "href"))).alias("l"))
-    return rows.select("page_id", F.posexplode("l").alias("seq", "x")).select("page_id", (F.col("seq") + 1).alias("seq"), "x.href")
+# What a parser does not read as tags, start tags of links with their attributes, and one attribute of them.
+_SKIPPED = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_ANCHOR = r"""(?is)<a(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+_HREF = r"""(?is)(?:^|[\s/"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, seq (from 1), href of the links of each page with an address, in any spelling that a parser reads; by expressions alone, without a tree."""
+    html = F.regexp_replace("html", _SKIPPED, "")
+    of = lambda a: F.when(a.rlike(_HREF), S.unescape_html(F.concat(*[F.regexp_extract(a, _HREF, k) for k in (1, 2, 3)])))
+    found = F.array_compact(F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)), of))
+    return pages.select("page_id", F.posexplode(found).alias("seq", "href")).select("page_id", (F.col("seq") + 1).alias("seq"), "href")

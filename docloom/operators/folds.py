@@ -6,8 +6,38 @@ of the open group, not at the row before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+
+def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """What ``step(state, *row)`` gives for each row of each group in order, ``state`` being what ``start()`` gives at a group's first row.
+
+    Groups are shuffled and sorted by Spark and read as a stream, so that a task holds a state and a batch of rows, not a group. Rows are those
+    of ``keys``, ``order`` and then the other columns.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[:n] != last:
+                    last, state = row[:n], start()
+                out += step(state, *row)
+            columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], names=fields.names)
+
+    return rows.select(*keys, *order, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def anchor_groups(values: Column, tolerance: float) -> Column:

@@ -48,11 +48,15 @@ def lines(spans: DataFrame) -> DataFrame:
     """page, line, y, avg_size, bold (all spans), text, body (the page's most common size, ties to the smaller)."""
     rows = placed(spans)
     order = Window.partitionBy("page", "line").orderBy("x", "text", "size", "width")
-    before = lambda c: F.lag(c).over(order)
+    blank = F.trim("text") == ""
+    # Blank spans write nothing, and gaps are measured over them.
+    seen = F.when(~blank, F.struct("x", "text", "size", "width"))
+    last = F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     char = F.when(F.col("size") > 0, F.col("size") * CHAR_WIDTH).otherwise(3.0)
-    used = F.when(before("width") == 0, F.length(before("text")) * char).otherwise(before("width"))
-    gap = (F.col("x") - before("x") - used > char) & ~before("text").endswith(" ") & ~F.col("text").startswith(" ")
-    rows = rows.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), F.trim("text"))).withColumn("at", F.row_number().over(order))
+    used = F.when(last["width"] == 0, F.length(last["text"]) * char).otherwise(last["width"])
+    gap = (F.col("x") - last["x"] - used > char) & ~last["text"].endswith(" ") & ~F.col("text").startswith(" ")
+    piece = F.when(blank, "").otherwise(F.concat(F.when(gap, " ").otherwise(""), F.trim("text")))
+    rows = rows.withColumn("piece", piece).withColumn("at", F.row_number().over(order))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), "")
     sizes = rows.groupBy("page", F.round("size", 1).alias("rounded")).agg(F.count("*").alias("n"))
     body = sizes.groupBy("page").agg(F.min_by("rounded", F.struct(-F.col("n"), "rounded")).alias("body"))

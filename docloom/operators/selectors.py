@@ -6,6 +6,7 @@ nodes have an empty tag, ``ancestors`` are node ids from the root down. Order am
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -131,10 +132,92 @@ def specificity(chain: Chain) -> tuple[int, int, int, int]:
 
 
 def cascade(elements: DataFrame, rules: list[tuple[Chain, str, str, bool]]) -> DataFrame:
-    """page_id, node_id, property, value: of the rules (chain, property, value, important) that match, the important, most specific, last one wins."""
-    every = None
-    for k, (chain, name, value, important) in enumerate(rules):
+    """page_id, node_id, property, value: of the rules (chain, property, value, important) that match, the important, most specific, last one wins.
+
+    All rules without combinators are tested in one pass over the elements; only the others are joins. No rules give no rows.
+    """
+    def entry(k: int) -> Column:
+        chain, name, value, important = rules[k]
         weight = F.struct(F.lit(int(important)).alias("i"), *[F.lit(x).alias(f"s{j}") for j, x in enumerate(specificity(chain))], F.lit(k).alias("k"))
-        hits = select(elements, chain).select("page_id", "node_id", F.lit(name).alias("property"), F.lit(value).alias("value"), weight.alias("weight"))
+        return F.struct(F.lit(name).alias("property"), F.lit(value).alias("value"), weight.alias("weight"))
+
+    single = [F.when(simple_test(chain.first), entry(k)) for k, (chain, *_) in enumerate(rules) if not chain.rest]
+    every = elements.select("page_id", "node_id", F.explode(F.array_compact(F.array(*single))).alias("e")) if single else None
+    # Rules of one chain share its joins.
+    chains: dict[Chain, list[int]] = {}
+    for k, (chain, *_) in enumerate(rules):
+        if chain.rest:
+            chains.setdefault(chain, []).append(k)
+    for chain, own in chains.items():
+        hits = select(elements, chain).select("page_id", "node_id", F.explode(F.array(*[entry(k) for k in own])).alias("e"))
         every = hits if every is None else every.unionByName(hits)
-    return every.groupBy("page_id", "node_id", "property").agg(F.max_by("value", "weight").alias("value"))
+    if every is None:
+        return elements.sparkSession.createDataFrame([], elements.select("page_id", "node_id").schema.add("property", "string").add("value", "string"))
+    return every.select("page_id", "node_id", "e.*").groupBy("page_id", "node_id", "property").agg(F.max_by("value", "weight").alias("value"))
+
+
+_TOKEN = re.compile(r"""\s*(?P<comma>,)\s*|\s*(?P<mark>[>+~])\s*|(?P<space>\s+)|(?P<tag>[A-Za-z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)
+    |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<q>[^"]*)"|'(?P<a>[^']*)'|(?P<bare>[^\]\s]*))\s*)?\]|::?(?P<pseudo>[\w-]+)(?P<open>\()?""", re.X)
+
+
+def parse_selectors(text: str) -> list[Chain]:
+    """The chains of a selector list such as ``ul > li.new, a[href^='/']``. Raises ValueError for what it cannot read."""
+    chains, at = [], 0
+    links: list[tuple[str, Simple]] = []
+    one, wait, text = Simple(), " ", text.strip()
+    fresh = True  # nothing read of the simple selector that comes next
+
+    def close() -> None:
+        nonlocal one, fresh
+        if fresh:
+            raise ValueError(f"a selector is missing in {text!r}")
+        links.append((wait, one))
+        one, fresh = Simple(), True
+
+    def chain() -> Chain:
+        return Chain(links[0][1], tuple(links[1:]))
+
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m or m.end() == at:
+            raise ValueError(f"cannot read {text[at:]!r}")
+        at = m.end()
+        if m["comma"]:
+            close()
+            chains.append(chain())
+            links, wait = [], " "
+            continue
+        if m["mark"] or m["space"]:
+            close()
+            wait = m["mark"] or " "
+            continue
+        fresh = False
+        if m["tag"]:
+            one = replace(one, tag=m["tag"].lower())
+        elif m["id"]:
+            one = replace(one, id=m["id"])
+        elif m["cls"]:
+            one = replace(one, classes=(*one.classes, m["cls"]))
+        elif m["attr"]:
+            value = next((m[g] for g in ("q", "a", "bare") if m[g] is not None), "")
+            one = replace(one, attrs=(*one.attrs, (m["attr"].lower(), m["op"] or "", value)))
+        else:
+            name, inner = m["pseudo"].lower(), ""
+            if m["open"]:
+                depth, start = 1, at
+                while at < len(text) and depth:
+                    depth += (text[at] == "(") - (text[at] == ")")
+                    at += 1
+                if depth:
+                    raise ValueError(f"a bracket is open in {text!r}")
+                inner = text[start : at - 1].strip()
+            if name in ("not", "is", "where"):
+                parts = parse_selectors(inner)
+                if any(p.rest for p in parts):
+                    raise ValueError(f"no combinators inside :{name}()")
+                simples = tuple(p.first for p in parts)
+                one = replace(one, none_of=(*one.none_of, *simples)) if name == "not" else replace(one, any_of=(*one.any_of, *simples))
+            else:
+                one = replace(one, pseudo=(*one.pseudo, f"{name}({inner})" if m["open"] else name))
+    close()
+    return [*chains, chain()]

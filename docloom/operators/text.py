@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.operators import folds
+
 CONTEXT = 40
 
 
@@ -54,7 +56,7 @@ def translate(text: Column, dictionary: dict[str, str]) -> Column:
 
 def between(text: Column, start: str, end: str) -> Column:
     """The first text between two delimiters, trimmed; empty without them."""
-    rest = F.when(text.contains(start), F.substring(text, F.locate(start, text) + len(start), F.lit(1 << 30)))
+    rest = F.when(text.contains(start), F.substring(text, F.locate(start, text) + len(start), F.length(text)))
     return F.coalesce(F.when(rest.contains(end), F.trim(F.substring_index(rest, end, 1))), F.lit(""))
 
 
@@ -67,13 +69,20 @@ def line_kind(line: Column) -> Column:
 
 
 def unique_slugs(rows: DataFrame, doc: str, order: str, base: str) -> DataFrame:
-    """Adds ``slug``: the first heading of a document with a slug keeps it, the others are numbered from 2; an empty one is "section".
-
-    A numbered slug that a heading has of its own is not looked for.
-    """
-    name = F.when(F.col(base) == "", "section").otherwise(F.col(base))
-    k = F.row_number().over(Window.partitionBy(doc, name).orderBy(order))
-    return rows.withColumn("slug", F.when(k == 1, name).otherwise(F.concat(name, F.lit("-"), k)))
+    """Adds ``slug``: a heading's own where no heading of its document above has it, else numbered from 2 on until it is free; an empty one is "section"."""
+    columns = [doc, order, *[c for c in rows.columns if c not in (doc, order)]]
+    at = columns.index(base)
+
+    def step(state: dict[str, int], *row) -> list[tuple]:
+        name = slug = row[at] or "section"
+        while slug in state:
+            state[name] += 1
+            slug = f"{name}-{state[name]}"
+        state[slug] = 1
+        return [(*row, slug)]
+
+    kinds = dict(rows.dtypes)
+    return folds.fold_sorted(rows, [doc], [order], dict, step, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", slug string")
 
 
 def front_matter(text: Column) -> Column:

@@ -99,13 +99,16 @@ def font_and_image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.font_name(font).alias("font"), S.font_family(font).alias("family"), bold.alias("bold"), italic.alias("italic"), F.hex(S.hex_bytes(_pick(k, _HEX))).alias("hex"), S.image_name(F.col("p_size") - 1, k - 1, kind).alias("image"))
 
 
-_CALC = ["1px + 2px", "3em - 0.5em", " 2 + 4px ", "1em + 2px", "7px", "1.5pt - 2", None]
 _MEDIA = ["print", "screen and (min-width: 1px)", "speech", "not all", "", None]
+_UNITS, _OTHERS = ["px", "pt", "em", ""], ["px", "em", ""]
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS k, {_sql_pick('o_orderkey', ['3px', '2.5em', '6px', '', '', '-0.5pt', None])} AS calc, {_sql_pick('o_orderkey', ['true', 'true', 'false', 'true', 'false', None])} = 'true' AS media FROM orders)
-SELECT k, calc, coalesce(media, false) AS media, format('rgb({{:d}},{{:d}},{{:d}})', CAST(least(greatest(round((k % 7) / 5 * 255), 0), 255) AS INT), 0, 255) AS colour FROM o""")
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 50 / 4 AS a, o_orderkey % 9 / 2 AS b, {_sql_pick('o_orderkey', _UNITS)} AS u, {_sql_pick('o_orderkey', _OTHERS)} AS v, {_sql_pick('o_orderkey', ['true', 'true', 'false', 'true', 'false', None])} = 'true' AS media FROM orders),
+r AS (SELECT *, CASE WHEN k % 5 < 2 THEN a - b ELSE a + b END AS x, CASE WHEN u = '' THEN 'px' ELSE u END AS unit, CASE WHEN v = '' THEN 'px' ELSE v END AS other FROM o)
+SELECT k, CASE WHEN unit = other THEN regexp_replace(CAST(x AS VARCHAR), '\\.0$', '') || unit ELSE '' END AS calc, coalesce(media, false) AS media, format('rgb({{:d}},{{:d}},{{:d}})', CAST(least(greatest(round((k % 7) / 5 * 255), 0), 255) AS INT), 0, 255) AS colour FROM r""")
 def style_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of lengths, media that count, colours as text."""
+    """Sums and differences of lengths written as text, media that count, colours as text."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k.alias("k"), S.simple_calc(_pick(k, _CALC)).alias("calc"), S.media_included(_pick(k, _MEDIA)).alias("media"), S.rgb_css((k % 7) / 5, F.lit(-0.5), F.lit(1.0)).alias("colour"))
+    side = lambda x, units: F.concat(x.cast("string"), _pick(k, units))
+    expr = F.concat(side(k % 50 / 4, _UNITS), F.when(k % 5 < 2, " - ").otherwise(" + "), side(k % 9 / 2, _OTHERS))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), S.simple_calc(expr).alias("calc"), S.media_included(_pick(k, _MEDIA)).alias("media"), S.rgb_css((k % 7) / 5, F.lit(-0.5), F.lit(1.0)).alias("colour"))

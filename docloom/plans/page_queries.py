@@ -106,7 +106,7 @@ generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) AS
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.links(dom.nodes(table(spark, sf_dir, "pages")))
+    return dom.links(table(spark, sf_dir, "pages"))
 
 
 @query(f"WITH {_LINKS} SELECT page_id, CAST(seq AS INT) AS seq, href FROM links")

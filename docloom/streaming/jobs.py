@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from docloom.operators import folds
+
+#: How long a job is kept after its creation, and what its events make of it.
+TTL_MINUTES = 30
+STATES = {"error": "error", "purchase": "done"}
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
@@ -37,3 +46,99 @@ def lifecycle_stream(spark: SparkSession, path: str, shared: str) -> DataFrame:
     query = lifecycle(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/result")
+
+
+JOB = "user_id long, created timestamp, n_events long, n_errors long, state string, expires timestamp"
+
+
+def _after(job: list | None, ts: int, kind: str, ttl: int) -> tuple[list, list | None]:
+    """(the job after an event at ``ts``, the job that had expired before it). A job is [created, events, errors, state]."""
+    gone = None
+    if job is not None and ts - job[0] > ttl:
+        job, gone = None, job
+    if job is None:
+        job = [ts, 0, 0, ""]
+    return [job[0], job[1] + 1, job[2] + (kind == "error"), STATES.get(kind, "converting")], gone
+
+
+def jobs(events: DataFrame, ttl_minutes: int = TTL_MINUTES) -> DataFrame:
+    """Every job of a table of events (user_id, ts, event_id, event_type): user_id, created, n_events, n_errors, state, expires.
+
+    The first event of a user creates a job, which is dropped once it is older than ``ttl_minutes``; the next event makes another one. Events of a user are
+    read in the order of time and id. Events without a time are left out.
+    """
+    ttl = ttl_minutes * 60_000_000
+    rows = events.filter("ts is not null").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type", F.lead("event_id").over(_by_user()).isNull().alias("last"))
+
+    def step(state: list, user, us, event, kind, last) -> list[tuple]:
+        state[0], gone = _after(state[0], us, kind, ttl)
+        return [(user, *job) for job in (gone, state[0] if last else None) if job]
+
+    done = folds.fold_sorted(rows, ["user_id"], ["us", "event_id"], lambda: [None], step, "user_id long, created long, n_events long, n_errors long, state string")
+    at = F.timestamp_micros("created")
+    return done.select("user_id", at.alias("created"), "n_events", "n_errors", "state", F.timestamp_micros(F.col("created") + ttl).alias("expires"))
+
+
+def _by_user():
+    from pyspark.sql.window import Window
+
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+_STATE = "open array<long>, state string, pending array<struct<us:long,event_id:long,event_type:string>>"
+
+
+def job_stream(events: DataFrame, ttl_minutes: int = TTL_MINUTES, late_minutes: int = 10) -> DataFrame:
+    """``jobs`` as a stream: a row for each job once the watermark says that it has expired.
+
+    A user's state holds the open job and the events that the watermark has not reached, which may come in any order; what comes more than
+    ``late_minutes`` behind the newest event is dropped. A timer on the event time wakes a user whose next event or expiry is due.
+    """
+    ttl = ttl_minutes * 60_000_000
+
+    def wake(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, name, pending = state.get if state.exists else ([], "", [])
+        job = [*opened, name] if opened else None
+        waiting = [tuple(p) for p in pending]
+        mark = max(state.getCurrentWatermarkMs(), 0) * 1000
+        for b in batches:
+            waiting += [e for e in zip(b["us"].tolist(), b["event_id"].tolist(), b["event_type"].tolist(), strict=True) if e[0] > mark]
+        waiting.sort()
+        out, n = [], 0
+        for us, _, kind in waiting:
+            if us > mark:
+                break
+            job, gone = _after(job, us, kind, ttl)
+            out += [gone] if gone else []
+            n += 1
+        waiting = waiting[n:]
+        if job is not None and mark - job[0] > ttl:  # what waits is later than the watermark
+            out.append(job)
+            job = None
+        if job is None and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((job[:3] if job else [], job[3] if job else "", waiting))
+            due = min([job[0] + ttl + 1_000] if job else [], [waiting[0][0]] if waiting else [], key=lambda x: x or [1 << 62])[0]
+            state.setTimeoutTimestamp(max(due // 1000 + 1, mark // 1000 + 1))
+        rows = [(key[0], pd.Timestamp(j[0], unit="us"), j[1], j[2], j[3], pd.Timestamp(j[0] + ttl, unit="us")) for j in out]
+        if rows:
+            yield pd.DataFrame(rows, columns=["user_id", "created", "n_events", "n_errors", "state", "expires"])
+
+    at = F.col("ts").cast("timestamp")
+    rows = events.filter("ts is not null").select("user_id", at.alias("ts"), F.unix_micros(at).alias("us"), "event_id", "event_type").withWatermark("ts", f"{late_minutes} minutes")
+    return rows.groupBy("user_id").applyInPandasWithState(wake, JOB, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def finished_jobs(spark: SparkSession, path: str, shared: str, ttl_minutes: int = TTL_MINUTES, late_minutes: int = 10, files_each: int | None = None) -> DataFrame:
+    """Runs ``job_stream`` over the files at ``path`` until all are read and returns the jobs that have expired by then; each batch adds its own rows."""
+    schema = spark.read.parquet(path).schema
+    out = f"{shared}/finished-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(schema)
+    if files_each:
+        source = source.option("maxFilesPerTrigger", files_each)
+    stream = job_stream(source.parquet(path + "*"), ttl_minutes, late_minutes)
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").format("parquet").option("path", f"{out}/result").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(JOB).parquet(f"{out}/result")
