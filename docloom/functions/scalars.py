@@ -34,6 +34,12 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
+def html_escape(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def pdf_escape(text: Column) -> Column:
     for a, b in (("\\", "\\\\"), ("(", "\\("), (")", "\\)"), ("\n", " ")):
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -512,3 +518,73 @@ def stretch_weight(align: Column) -> Column:
     for name, weight in STRETCH.items():
         out = F.when(align == name, weight).otherwise(out)
     return out
+
+
+# Code 128 start and stop symbols.
+START_B, START_C, STOP = 104, 105, 106
+
+
+def code128_symbols(text: Column) -> Column:
+    """Symbols from start to stop: pairs of digits for an even number of digits alone, else one for each sign; null for nothing and for signs outside 32 to 127."""
+    pairs = F.transform(F.regexp_extract_all(text, F.lit("[0-9]{2}"), F.lit(0)), lambda p: p.cast("int"))
+    signs = F.transform(F.split(text, ""), lambda c: F.ascii(c) - 32)
+    data = F.when(text.rlike("^(?:[0-9]{2})+$"), F.concat(F.array(F.lit(START_C)), pairs)).when(text.rlike(r"(?s)\A[\x20-\x7f]+\z"), F.concat(F.array(F.lit(START_B)), signs))
+    weighed = F.aggregate(F.transform(data, lambda s, i: s * F.greatest(i, F.lit(1))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.concat(data, F.array(F.pmod(weighed, F.lit(103)).cast("int"), F.lit(STOP)))
+
+
+def full_address(address: Column, city: Column, state: Column, zip_code: Column, country: Column) -> Column:
+    """One line; parts that are empty or missing are left out."""
+    part = lambda mark, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(mark), c)).otherwise("")
+    return F.concat(F.coalesce(address, F.lit("")), part(", ", city), part(", ", state), part(" ", zip_code), part(", ", country))
+
+
+def form_value(json: Column) -> Column:
+    """A JSON value as the text that a form field takes: strings without quotes, null and nothing empty, anything else as it is written, without blanks around it."""
+    t = F.trim(json)
+    return F.when(json.isNull() | (t == "null"), "").when(t.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), t, F.lit("}")), "$.v")).otherwise(t)
+
+
+def number_of(value: Column) -> Column:
+    """A number written as text, 0 if it is none."""
+    return F.coalesce(F.trim(value).try_cast("double"), F.lit(0.0))
+
+
+# What bytes 128 to 159 stand for in the Windows code page; those left out stand for nothing.
+WINDOWS = {
+    128: "\u20ac", 130: "\u201a", 131: "\u0192", 132: "\u201e", 133: "\u2026", 134: "\u2020", 135: "\u2021", 136: "\u02c6", 137: "\u2030", 138: "\u0160", 139: "\u2039", 140: "\u0152", 142: "\u017d",
+    145: "\u2018", 146: "\u2019", 147: "\u201c", 148: "\u201d", 149: "\u2022", 150: "\u2013", 151: "\u2014", 152: "\u02dc", 153: "\u2122", 154: "\u0161", 155: "\u203a", 156: "\u0153", 158: "\u017e", 159: "\u0178",
+}
+
+
+def decode_windows(data: Column) -> Column:
+    """Bytes of the Windows code page as text; bytes without a sign stay control characters."""
+    plain = F.decode(data, "ISO-8859-1")
+    return F.translate(plain, "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
+
+
+def encode_windows(text: Column) -> Column:
+    """Text as bytes of the Windows code page, a question mark for what it lacks."""
+    known = F.translate(text, "".join(WINDOWS.values()), "".join(map(chr, WINDOWS)))
+    return F.encode(F.regexp_replace(known, r"[^\x00-\u00ff]", "?"), "ISO-8859-1")
+
+
+#: Page sizes of style sheets beside ``PAGE_SIZES``.
+SHEET_SIZES = {"b4": (708.66, 1000.63), "b5": (498.90, 708.66), "ledger": (1224.0, 792.0)}
+
+
+def sheet_size(text: Column) -> Column:
+    """array<width, height> in points of a size of a page rule: a name, one or two lengths, each with an orientation behind it or not. Landscape turns upright pages."""
+    t = F.lower(F.trim(text))
+    wide, own = t.endswith(" landscape"), F.trim(F.regexp_replace(t, " (landscape|portrait)$", ""))
+    parts = F.filter(F.split(own, r"\s+"), lambda x: x != "")
+
+    def side(k: int) -> Column:
+        number, unit = number_and_unit(F.coalesce(F.get(parts, F.lit(k)), F.get(parts, F.lit(0)), F.lit("")))
+        points, times = length_parts(number, unit, 12.0)
+        return F.coalesce(points, times * 12.0)
+
+    size = F.when(F.size(parts) <= 2, F.array(side(0), side(1))).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
+    for name, (w, h) in {**PAGE_SIZES, **SHEET_SIZES}.items():
+        size = F.when((own == name) & (F.lit(name in ("a4", "letter")) | (t == name)), F.array(F.lit(w), F.lit(h))).otherwise(size)
+    return F.when(wide & (size[0] < size[1]), F.reverse(size)).otherwise(size)

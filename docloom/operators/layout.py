@@ -36,12 +36,12 @@ def _line_numbers(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["out"])
 
 
-def placed(spans: DataFrame) -> DataFrame:
-    """The spans with ``line`` (from 1, top down) and ``line_y``. A page is one array, so pages must fit in memory."""
-    down = F.struct((-F.col("y")).alias("down"), "x", "text", "size", "width", "bold", "y")
+def placed(spans: DataFrame, more: list[str] = ()) -> DataFrame:
+    """The spans with ``line`` (from 1, top down) and ``line_y``; ``more`` are further columns to keep. A page is one array, so pages must fit in memory."""
+    down = F.struct((-F.col("y")).alias("down"), "x", "text", "size", "width", "bold", "y", *more)
     pages = spans.groupBy("page").agg(F.array_sort(F.collect_list(down)).alias("s"))
     pages = pages.select("page", F.explode(F.arrays_zip(F.col("s"), _line_numbers(F.col("s")).alias("l"))).alias("z"))
-    return pages.select("page", F.col("z.l.line").alias("line"), F.col("z.l.anchor").alias("line_y"), *[F.col(f"z.s.{f}").alias(f) for f in _FIELDS])
+    return pages.select("page", F.col("z.l.line").alias("line"), F.col("z.l.anchor").alias("line_y"), *[F.col(f"z.s.{f}").alias(f) for f in (*_FIELDS, *more)])
 
 
 def lines(spans: DataFrame) -> DataFrame:
@@ -93,13 +93,18 @@ def page_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page").agg(F.rtrim(F.array_join(F.transform(pieces, lambda p: p["piece"]), ""), F.lit("\n")).alias("text"))
 
 
-def page_markdown(rows: DataFrame) -> DataFrame:
-    """page and its lines as Markdown, headings marked."""
+def markdown_lines(rows: DataFrame) -> DataFrame:
+    """page, line, piece: lines with text as Markdown, headings marked."""
     rows = rows.withColumn("level", heading_level(F.col("avg_size"), F.col("body"), F.col("bold"))).filter(F.trim("text") != "")
     mark = F.when(F.col("level") > 0, F.concat(F.expr("repeat('#', level)"), F.lit(" "))).otherwise("")
-    piece = F.concat(mark, S.markdown_escape(F.trim("text")), F.when(F.col("level") > 0, "\n\n").otherwise("\n"))
-    pieces = F.array_sort(F.collect_list(F.struct("line", piece.alias("piece"))))
-    return rows.groupBy("page").agg(F.concat(F.regexp_replace(F.array_join(F.transform(pieces, lambda p: p["piece"]), ""), r"^\s+|\s+$", ""), F.lit("\n")).alias("markdown"))
+    return rows.select("page", "line", F.concat(mark, S.markdown_escape(F.trim("text")), F.when(F.col("level") > 0, "\n\n").otherwise("\n")).alias("piece"))
+
+
+def page_markdown(rows: DataFrame) -> DataFrame:
+    """page and its lines as Markdown, headings marked."""
+    pieces = F.array_sort(F.collect_list(F.struct("line", "piece")))
+    joined = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
+    return markdown_lines(rows).groupBy("page").agg(F.concat(F.regexp_replace(joined, r"^\s+|\s+$", ""), F.lit("\n")).alias("markdown"))
 
 
 def _runs(rows: Column) -> Column:
@@ -115,14 +120,20 @@ def _runs(rows: Column) -> Column:
     return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
 
-def tables(spans: DataFrame) -> DataFrame:
-    """page, tab (number of its run of lines), row (from 0), col (from 0), text: cells of runs of three lines and more with the same columns."""
-    rows = placed(spans).withColumn("x", F.round("x", 1))
-    starts = rows.groupBy("page", "line").agg(F.array_sort(F.collect_set("x")).alias("xs")).filter(F.size("xs") >= 2)
+def table_cells(rows: DataFrame) -> DataFrame:
+    """The spans of ``placed`` that lie in tables, with tab (number of its run of lines), row and col (from 0) and n_cols: runs of three lines and more with the same columns."""
+    rows = rows.withColumn("_x", F.round("x", 1))
+    starts = rows.groupBy("page", "line").agg(F.array_sort(F.collect_set("_x")).alias("xs")).filter(F.size("xs") >= 2)
     pages = starts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("line", "xs"))).alias("r"))
     pages = pages.select("page", F.explode(F.arrays_zip(F.col("r"), _runs(F.col("r")).alias("t"))).alias("z")).select("page", F.col("z.r.line").alias("line"), F.col("z.t.run").alias("tab"), F.col("z.t.ref").alias("ref"))
     run = Window.partitionBy("page", "tab")
     pages = pages.withColumn("row", F.row_number().over(run.orderBy("line")) - 1).withColumn("n", F.count("*").over(run)).filter(F.col("n") >= TABLE_LINES)
-    cells = rows.join(pages, ["page", "line"]).withColumn("col", F.size(F.filter("ref", lambda c: c <= F.col("x"))) - 1).filter("col >= 0")
-    ordered = F.array_sort(F.collect_list(F.struct("x", "text", "size", "width")))
-    return cells.groupBy("page", "tab", "row", "col").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("text"))
+    cells = rows.join(pages, ["page", "line"]).withColumn("col", F.size(F.filter("ref", lambda c: c <= F.col("_x"))) - 1).filter("col >= 0")
+    return cells.withColumn("n_cols", F.size("ref")).drop("n", "ref")
+
+
+def tables(spans: DataFrame, with_width: bool = False) -> DataFrame:
+    """page, tab, row, col, text of the cells of ``table_cells``, and n_cols where wanted."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_x").alias("x"), "text", "size", "width")))
+    keys = ["page", "tab", "row", "col", *(["n_cols"] if with_width else [])]
+    return table_cells(placed(spans)).groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("text"))
