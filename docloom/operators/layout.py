@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import scalars as S
+from docloom.operators import folds
 
 #: Thresholds of the layout rules.
 LINE_TOLERANCE, LEAST_TOLERANCE = 0.3, 1.0
@@ -21,27 +22,23 @@ CHAR_WIDTH = 0.35
 COLUMN_TOLERANCE = 5.0
 TABLE_LINES = 3
 
-_FIELDS = ("x", "y", "size", "width", "bold", "text")
-
-
-def _line_numbers(spans: Column) -> Column:
-    """(anchor, line) of each span of a page from the top: one further from the line's first than its own tolerance opens a line."""
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("line"), F.array().cast("array<struct<anchor:double,line:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = acc["anchor"].isNull() | (F.abs(s["y"] - acc["anchor"]) > F.greatest(s["size"] * LINE_TOLERANCE, F.lit(LEAST_TOLERANCE)))
-        anchor, line = F.when(fresh, s["y"]).otherwise(acc["anchor"]), acc["line"] + fresh.cast("int")
-        return F.struct(anchor.alias("anchor"), line.alias("line"), F.concat(acc["out"], F.array(F.struct(anchor.alias("anchor"), line.alias("line")))).alias("out"))
+def placed(spans: DataFrame, more: list[str] = ()) -> DataFrame:
+    """The spans with ``line`` (from 1, top down) and ``line_y``; ``more`` are further columns to keep.
 
-    return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+    A span further from a line's first than its own tolerance opens a line. A page is a sorted stream, so its spans need not fit in memory.
+    """
+    kinds = dict(spans.dtypes)
 
+    def step(state: list, page, down, *row) -> list[tuple]:
+        y, size = -down, row[2]
+        if state[0] is None or abs(y - state[0]) > max(size * LINE_TOLERANCE, LEAST_TOLERANCE):
+            state[0], state[1] = y, state[1] + 1
+        return [(page, state[1], state[0], row[0], y, size, row[3], row[4], row[1], *row[5:])]
 
-def placed(spans: DataFrame, more: list[str] = ()) -> DataFrame:
-    """The spans with ``line`` (from 1, top down) and ``line_y``; ``more`` are further columns to keep. A page is one array, so pages must fit in memory."""
-    down = F.struct((-F.col("y")).alias("down"), "x", "text", "size", "width", "bold", "y", *more)
-    pages = spans.groupBy("page").agg(F.array_sort(F.collect_list(down)).alias("s"))
-    pages = pages.select("page", F.explode(F.arrays_zip(F.col("s"), _line_numbers(F.col("s")).alias("l"))).alias("z"))
-    return pages.select("page", F.col("z.l.line").alias("line"), F.col("z.l.anchor").alias("line_y"), *[F.col(f"z.s.{f}").alias(f) for f in (*_FIELDS, *more)])
+    order = ["down", "x", "text", "size", "width", "bold"]
+    rows = spans.select("page", (-F.col("y")).cast("double").alias("down"), *[F.col(c).cast("double").alias(c) if c in ("x", "size", "width") else F.col(c) for c in (*order[1:], *more)])
+    schema = f"page {kinds['page']}, line int, line_y double, x double, y double, size double, width double, bold boolean, text string" + "".join(f", `{c}` {kinds[c]}" for c in more)
+    return folds.fold_sorted(rows, ["page"], order, lambda: [None, 0], step, schema)
 
 
 def lines(spans: DataFrame) -> DataFrame:
@@ -107,25 +104,23 @@ def page_markdown(rows: DataFrame) -> DataFrame:
     return markdown_lines(rows).groupBy("page").agg(F.concat(F.regexp_replace(joined, r"^\s+|\s+$", ""), F.lit("\n")).alias("markdown"))
 
 
-def _runs(rows: Column) -> Column:
-    """(run, ref) of each line's column positions: a run goes on while they match those of its first line."""
-    zero = F.struct(F.array().cast("array<double>").alias("ref"), F.lit(0).alias("run"), F.array().cast("array<struct<run:int,ref:array<double>>>").alias("out"))
+def _runs(starts: DataFrame) -> DataFrame:
+    """page, line, tab, ref of lines with their column positions (page, line, xs): a run goes on while they match those of its first line."""
 
-    def step(acc: Column, r: Column) -> Column:
-        near = F.forall(F.zip_with(acc["ref"], r["xs"], lambda a, b: F.abs(a - b)), lambda d: d <= COLUMN_TOLERANCE)
-        fresh = (acc["run"] == 0) | (F.size(acc["ref"]) != F.size(r["xs"])) | ~near
-        ref, run = F.when(fresh, r["xs"]).otherwise(acc["ref"]), acc["run"] + fresh.cast("int")
-        return F.struct(ref.alias("ref"), run.alias("run"), F.concat(acc["out"], F.array(F.struct(run.alias("run"), ref.alias("ref")))).alias("out"))
+    def step(state: dict, page, line, xs) -> list[tuple]:
+        ref = state["ref"]
+        if len(ref) != len(xs) or any(abs(a - b) > COLUMN_TOLERANCE for a, b in zip(ref, xs, strict=True)):
+            state["ref"], state["tab"] = xs, state["tab"] + 1
+        return [(page, line, state["tab"], state["ref"])]
 
-    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+    return folds.fold_sorted(starts, ["page"], ["line"], lambda: {"ref": [], "tab": 0}, step, f"page {dict(starts.dtypes)['page']}, line int, tab int, ref array<double>")
 
 
 def table_cells(rows: DataFrame) -> DataFrame:
     """The spans of ``placed`` that lie in tables, with tab (number of its run of lines), row and col (from 0) and n_cols: runs of three lines and more with the same columns."""
     rows = rows.withColumn("_x", F.round("x", 1))
     starts = rows.groupBy("page", "line").agg(F.array_sort(F.collect_set("_x")).alias("xs")).filter(F.size("xs") >= 2)
-    pages = starts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("line", "xs"))).alias("r"))
-    pages = pages.select("page", F.explode(F.arrays_zip(F.col("r"), _runs(F.col("r")).alias("t"))).alias("z")).select("page", F.col("z.r.line").alias("line"), F.col("z.t.run").alias("tab"), F.col("z.t.ref").alias("ref"))
+    pages = _runs(starts)
     run = Window.partitionBy("page", "tab")
     pages = pages.withColumn("row", F.row_number().over(run.orderBy("line")) - 1).withColumn("n", F.count("*").over(run)).filter(F.col("n") >= TABLE_LINES)
     cells = rows.join(pages, ["page", "line"]).withColumn("col", F.size(F.filter("ref", lambda c: c <= F.col("_x"))) - 1).filter("col >= 0")

@@ -84,3 +84,22 @@ def page_map(attributes: Column) -> Column:
     """A map of entries with plain keys: leading slashes go, and what encrypts is only said to be present."""
     entries = F.transform(F.map_entries(attributes), lambda e: F.struct(F.regexp_replace(e["key"], "^/", "").alias("k"), F.when(e["key"] == "/Encrypt", "present").otherwise(e["value"]).alias("v")))
     return F.map_from_entries(entries)
+
+
+def merge_sources(sources: DataFrame, pages: DataFrame, images: DataFrame, size: tuple[float, float], margin: float = 0.0, fit: str = "") -> DataFrame:
+    """output, new_page, path, page (null for images), x, y, w, h: the pages of all sources one after the other; an image is a page of its own.
+
+    ``sources``: output, place, name_order, path, kind (as ``files.expand_inputs`` gives them); ``pages``: path, page; ``images``: path, width, height. An image
+    is drawn in the middle of a page of ``size`` inside its margin. A source that is in neither table, or a margin without room, is an error.
+    """
+    room_w, room_h = size[0] - 2 * margin, size[1] - 2 * margin
+    if room_w <= 0 or room_h <= 0:
+        raise ValueError("the margin leaves no room")
+    lost = lambda c: F.when(c.isNull(), F.raise_error(F.concat(F.lit("no pages in "), F.col("path"))).cast("int")).otherwise(c)
+    none = F.lit(None).cast("double")
+    copied = sources.filter("kind = 'pdf'").join(pages.select("path", "page"), "path", "left").select("output", "place", "name_order", "path", lost(F.col("page")).alias("page"), *[none.alias(c) for c in "xywh"])
+    w, h = S.fit_image(F.col("width").cast("double"), F.col("height").cast("double"), F.lit(room_w), F.lit(room_h), F.lit(fit))
+    drawn = sources.filter("kind = 'image'").join(images.select("path", "width", "height", F.lit(1).alias("_there")), "path", "left").withColumn("_ok", lost(F.col("_there"))).withColumns({"w": w, "h": h})
+    drawn = drawn.filter("_ok = 1").select("output", "place", "name_order", "path", F.lit(None).cast("int").alias("page"), (margin + (room_w - F.col("w")) / 2).alias("x"), (margin + (room_h - F.col("h")) / 2).alias("y"), "w", "h")
+    order = Window.partitionBy("output").orderBy("place", "name_order", "path", "page")
+    return copied.unionByName(drawn).withColumn("new_page", F.row_number().over(order)).select("output", "new_page", "path", "page", "x", "y", "w", "h")

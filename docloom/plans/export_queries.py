@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import scalars as S
-from docloom.operators import dom, exports, flow, markdown, objects, pages as P, styles
+from docloom.operators import dom, exports, flow, markdown, objects, pages as P, sheets, styles
 from docloom.session import materialise, table
 
 from .base import query
@@ -203,3 +203,44 @@ def codes_and_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     ansi = S.encode_windows(F.concat(name, F.lit("€Ÿαé")))
     address = S.full_address(name, F.col("c_mktsegment"), F.lit(None).cast("string"), F.when(k % 2 == 0, digits), F.lit(""))
     return table(spark, sf_dir, "customer").select(k.alias("k"), F.array_join(S.code128_symbols(code), ",").alias("symbols"), address.alias("address"), S.form_value(json).alias("value"), F.hex(ansi).alias("ansi"), S.decode_windows(ansi).alias("back"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS sheet, p_size, p_brand, p_name FROM part), d AS (
+SELECT sheet, 1 AS rule, 1 AS k, 'a, b' AS selector, 'color' AS property, 'red' AS value, true AS important FROM p
+UNION ALL SELECT sheet, 1, 2, 'a, b', 'margin-' || s, v || 'px', false FROM p, LATERAL (SELECT unnest(['top', 'right', 'bottom', 'left']) AS s, unnest([p_size, 2, p_size, 2]) AS v)
+UNION ALL SELECT sheet, 3, 3, '.' || p_brand || ' > i[x="}"]', 'content', '"' || p_name || '; { "', false FROM p WHERE sheet % 2 = 0
+UNION ALL SELECT sheet, 3, 3, '.' || p_brand || ' > i[x="}"]', k, v, false FROM p, LATERAL (SELECT unnest(['font-style', 'font-weight', 'font-size', 'line-height', 'font-family']) AS k, unnest(['italic', 'bold', p_size || 'px', '1.5', 'A B']) AS v) WHERE sheet % 2 = 0
+UNION ALL SELECT sheet, 5, 5, 'p', 'border-' || s || '-' || k, v, false FROM p, LATERAL (SELECT unnest(['top', 'right', 'bottom', 'left']) AS s), LATERAL (SELECT unnest(['width', 'style', 'color']) AS k, unnest(['1px', 'solid', 'rgb(1, 2, ' || p_size || ')']) AS v)
+UNION ALL SELECT sheet, 6, 6, '@page', 'size', 'a4', false FROM p)
+SELECT sheet, rule, selector, property, value, important FROM d""")
+def sheet_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of style sheets in long form: groups, quoted text, comments, shorthands and rules that do not count."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    media = F.when(k % 2 == 0, "@media screen and (x)").otherwise("@media speech")
+    css = F.concat(
+        F.lit("@import url(x;y.css); a,\n b { COLOR: red ! important; ; margin:"), size, F.lit("px 2px /* { */ }"), media, F.lit("{ ."), F.col("p_brand"), F.lit(' > i[x="}"] { content: "'), F.col("p_name"),
+        F.lit('; { "; font: italic bold '), size, F.lit("px/1.5 A B; } @keyframes k { from { top: 0 } } }"), F.lit("p{border: 1px solid rgb(1, 2, "), size, F.lit(")} @page{size:a4} @unknown { q { top: 1 } } r"),
+    )
+    # The rule that does not count in every other sheet still has its number, as has the frame inside it.
+    rows = sheets.rules(table(spark, sf_dir, "part").select(k.alias("sheet"), css.alias("css")))
+    ranks = {"a, b": 1, "p": 5, "@page": 6}
+    number = F.lit(3)
+    for s, n in ranks.items():
+        number = F.when(F.col("selector") == s, n).otherwise(number)
+    return rows.select("sheet", number.alias("rule"), "selector", "property", "value", "important")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS output, l_linenumber AS place, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem), d AS (SELECT DISTINCT output, place, l_partkey FROM s),
+x AS (SELECT output, place, 'f' || l_partkey AS path, unnest(CASE WHEN l_partkey % 3 = 0 THEN [NULL] ELSE range(1, l_partkey % 3 + 1) END) AS page, p_size AS w, l_partkey % 40 + 10 AS h FROM d JOIN part ON p_partkey = l_partkey),
+f AS (SELECT *, least(180.0::DOUBLE / w, 280.0::DOUBLE / h) AS scale FROM x)
+SELECT output, CAST(row_number() OVER (PARTITION BY output ORDER BY place, path, page) AS INT) AS new_page, path, CAST(page AS INT) AS page, CASE WHEN page IS NULL THEN round(w * scale, 6) END AS w, CASE WHEN page IS NULL THEN round(10 + (280 - h * scale) / 2, 6) END AS y FROM f""")
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and images merged into one document for each order; images are fitted to pages of their own."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("output"), F.col("l_linenumber").alias("place"), "l_partkey").distinct()
+    k, path = F.col("l_partkey"), F.concat(F.lit("f"), "l_partkey")
+    sources = lines.select("output", "place", path.alias("name_order"), path.alias("path"), F.when(k % 3 == 0, "image").otherwise("pdf").alias("kind"))
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    files_ = parts.filter(k % 3 > 0).select(path.alias("path"), F.explode(F.sequence(F.lit(1), (k % 3).cast("int"))).alias("page"))
+    images = parts.filter(k % 3 == 0).select(path.alias("path"), F.col("p_size").alias("width"), (k % 40 + 10).alias("height"))
+    merged = P.merge_sources(sources, files_, images, (200.0, 300.0), 10.0)
+    return merged.select("output", "new_page", "path", "page", F.round("w", 6).alias("w"), F.round("y", 6).alias("y"))

@@ -5,7 +5,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import exports, flow, markdown, objects, pages, text
+from docloom.operators import exports, flow, markdown, objects, pages, sheets, text
+from docloom.operators import selectors as X
 
 
 def _values(spark, values, f):
@@ -109,3 +110,38 @@ def test_values(spark):
     for got, want in zip(_values(spark, list(sizes), S.sheet_size(F.col("a"))), sizes.values(), strict=True):
         assert got == pytest.approx(want)
     assert _values(spark, ["a€é"], F.hex(S.encode_windows(F.col("a")))) == ["6180E9"]
+
+
+def test_style_sheets(spark):
+    css = """@charset "x"; a{color:red}/* b{c:d} */ .x , #y > z { margin: 1px 2px 3px; Padding: 0; --v: A; bad; empty: ; font: 12px/2 "A B", serif }
+    @media print { @supports (x: y) { q { border-left: dashed #fff } } @font-face { src: url("a;b{}.ttf"); } u { list-style: square inside } } @media (width: 1px) { no { a: b } }
+    e:not({ a: b } f { background: url(x y.png) no-repeat; flex: 2; flex-flow: column wrap; c: d !IMPORTANT } @page :first { size: a5 } last { a: b"""
+    sheets_ = spark.createDataFrame([("s", css), ("t", ""), ("u", None)], "sheet string, css string")
+    got = [(r["selector"], r["property"], r["value"], r["important"]) for r in sheets.rules(sheets_).orderBy("place", "property").collect()]
+    assert got[0] == ("a", "color", "red", False) and ("last", "a", "b", False) in got and ("f", "c", "d", True) in got and not any(s == "no" or p in ("bad", "empty") for s, p, _, _ in got)
+    by = {(s, p): v for s, p, v, _ in got}
+    two = ".x , #y > z"
+    assert [by[two, f"margin-{s}"] for s in ("top", "right", "bottom", "left")] == ["1px", "2px", "3px", "2px"] and by[two, "padding-left"] == "0" and by[two, "--v"] == "A"
+    assert (by[two, "font-size"], by[two, "line-height"], by[two, "font-family"]) == ("12px", "2", '"A B", serif') and (two, "font-style") not in by
+    assert (by["q", "border-left-width"], by["q", "border-left-style"], by["q", "border-left-color"]) == ("medium", "dashed", "#fff") and by["@font-face", "src"] == 'url("a;b{}.ttf")' and by["@page :first", "size"] == "a5"
+    assert (by["u", "list-style-type"], by["u", "list-style-position"]) == ("square", "inside") and (by["f", "flex-grow"], by["f", "flex-shrink"], by["f", "flex-basis"]) == ("2", "1", "0")
+    assert (by["f", "background-image"], by["f", "background-repeat"], by["f", "flex-direction"], by["f", "flex-wrap"]) == ("url(x y.png)", "no-repeat", "column", "wrap") and ("f", "background-color") not in by
+    chains = {(r[0], r[1]): r[2] for r in sheets.as_rules(sheets_.filter("sheet = 's'"))}
+    one, other = X.parse_selectors(".x, #y > z")
+    assert chains[one, "padding-top"] == chains[other, "padding-top"] == "0"
+    with pytest.raises(ValueError, match="more than 3"):
+        sheets.as_rules(sheets_.filter("sheet = 's'"), 3)
+
+
+def test_merged_sources(spark):
+    sources = spark.createDataFrame([("o", 0, "b", "b", "image"), ("o", 0, "a", "a", "pdf"), ("o", 1, "", "a", "pdf")], "output string, place int, name_order string, path string, kind string")
+    files_ = spark.createDataFrame([("a", 1), ("a", 2)], "path string, page int")
+    images = spark.createDataFrame([("b", 20, 10)], "path string, width int, height int")
+    got = [(r["new_page"], r["path"], r["page"], r["x"], r["y"], r["w"], r["h"]) for r in pages.merge_sources(sources, files_, images, (100.0, 100.0), 10.0, "contain").orderBy("new_page").collect()]
+    none = (None,) * 4
+    assert got == [(1, "a", 1, *none), (2, "a", 2, *none), (3, "b", None, 10.0, 30.0, 80.0, 40.0), (4, "a", 1, *none), (5, "a", 2, *none)]
+    for lost in ("pdf", "image"):
+        with pytest.raises(PySparkException, match="no pages in zz"):
+            pages.merge_sources(spark.createDataFrame([("o", 0, "", "zz", lost)], sources.schema), files_, images, (100.0, 100.0)).collect()
+    with pytest.raises(ValueError, match="no room"):
+        pages.merge_sources(sources, files_, images, (100.0, 100.0), 50.0)
