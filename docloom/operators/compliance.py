@@ -23,6 +23,12 @@ def _tag(xmp: Column, name: str) -> Column:
     return F.coalesce(F.trim(F.regexp_extract(xmp, f"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
 
 
+def well_formed(xml: Column) -> Column:
+    """Whether a text is well-formed XML; text without any tag or entity is."""
+    parsed = F.from_xml(xml, "_corrupt_record string, _none string")
+    return F.coalesce(~xml.rlike("[<&]") | parsed["_corrupt_record"].isNull(), F.lit(True))
+
+
 def detected(xmp: Column) -> Column:
     """The profiles that metadata claims, in a fixed order; none without metadata."""
     part, level = _tag(xmp, "pdfaid:part"), F.upper(_tag(xmp, "pdfaid:conformance"))
@@ -69,6 +75,7 @@ def file_issues(files: DataFrame) -> DataFrame:
         _rule(archive & ~_has("catalog_keys", "Metadata"), "metadata"),
         _rule(archive & ~_has("catalog_keys", "OutputIntents"), "output-intent"),
         _rule(archive & none, "xmp"),
+        _rule(archive & ~none & ~well_formed(xmp), "xmp-xml"),
         _rule(archive & ~none & (_tag(xmp, "pdfaid:part") != part), "pdfaid-part"),
         _rule(archive & ~none & (profile != "pdfa-4") & (F.upper(_tag(xmp, "pdfaid:conformance")) != "B"), "pdfaid-conformance"),
         _rule(~none & (profile == "pdfa-4") & (_tag(xmp, "pdfaid:rev") == ""), "pdfaid-revision", "warning"),

@@ -104,3 +104,23 @@ def definitions(text: Column) -> Column:
         F.regexp_extract(x, link, 1).alias("name"), F.regexp_replace(F.regexp_extract(x, link, 2), "^[<>]+|[<>]+$", "").alias("url"), F.regexp_extract(x, link, 3).alias("title")))
     notes = F.transform(F.filter(lines_of, lambda x: x.rlike(note)), lambda x: F.struct(F.regexp_extract(x, note, 1).alias("name"), F.trim(F.regexp_extract(x, note, 2)).alias("note")))
     return F.struct(links.alias("links"), notes.alias("notes"))
+
+
+def built_text(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, text: spans (keys, at, y, text) in their order; a new line starts where y is more than 1 from that of the line's first span."""
+    rows = spans.select(*keys, "at", F.col("y").cast("double").alias("y"), "text")
+    n = len(keys)
+
+    def step(state: list, *row) -> list[tuple]:
+        y, piece = row[n + 1], row[n + 2]
+        if state[0] is None:
+            state[0] = y
+        elif abs(state[0] - y) > 1:
+            state[0], piece = y, "\n" + piece
+        return [(*row[: n + 1], piece)]
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "at")) + ", piece string"
+    pieces = folds.fold_sorted(rows, keys, ["at"], lambda: [None], step, schema)
+    joined = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(joined, lambda p: p["piece"]), "").alias("text"))

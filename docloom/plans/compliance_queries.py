@@ -18,6 +18,7 @@ _XMP = [
     "<x><pdfaid:part> 2 </pdfaid:part><pdfaid:conformance>A</pdfaid:conformance><pdfuaid:part>1</pdfuaid:part> PDF/X and PDF/VT</x>",
     "<x><pdfaid:part>4</pdfaid:part><pdfuaid:part>2</pdfuaid:part><t>Ann</t> PDF/E</x>",
     "<x><pdfaid:part>4</pdfaid:part><pdfaid:rev>2020</pdfaid:rev> pdfxid:</x>",
+    "<x><pdfaid:part>2</pdfaid:part><broken></x>",
 ]
 _ASKED = [None, "auto", "PDF/A-1b", "pdfa2b", "pdf/a-4", "pdf/ua-1", "pdfua-2"]
 _CANON = [None, "auto", "pdfa-1b", "pdfa-2b", "pdfa-4", "pdfua-1", "pdfua-2"]
@@ -52,7 +53,7 @@ def compliance_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _A, _UA = "p LIKE 'pdfa-%'", "p LIKE 'pdfua-%'"
 _SQL_RULES = {
     "encryption": f"{_A} AND k % 13 = 0", "document-id": f"{_A} AND k % 11 = 0", "metadata": f"{_A} AND k % 7 = 0", "output-intent": f"{_A} AND k % 7 = 0", "xmp": f"{_A} AND xmp = ''",
-    "pdfaid-part": f"{_A} AND xmp <> '' AND part <> p[6:6]", "pdfaid-conformance": f"{_A} AND xmp <> '' AND p <> 'pdfa-4' AND level <> 'B'", "pdfaid-revision": "p = 'pdfa-4' AND xmp <> '' AND rev = ''",
+    "xmp-xml": f"{_A} AND contains(xmp, '<broken>')", "pdfaid-part": f"{_A} AND xmp <> '' AND part <> p[6:6]", "pdfaid-conformance": f"{_A} AND xmp <> '' AND p <> 'pdfa-4' AND level <> 'B'", "pdfaid-revision": "p = 'pdfa-4' AND xmp <> '' AND rev = ''",
     "info-xmp-title": f"{_A} AND xmp <> '' AND NOT contains(xmp, mark)", "info-xmp-author": f"{_A} AND xmp <> '' AND NOT contains(xmp, author)",
     "pdfuaid": f"{_UA} AND NOT contains(xmp, '<pdfuaid:part>')", "pdfuaid-part": f"{_UA} AND xmp <> '' AND ua <> p[7:7]", "language": f"{_UA} AND k % 3 <> 1", "markinfo": f"{_UA} AND k % 4 = 0",
     "structure-tree": f"{_UA} AND k % 5 = 0", "parent-tree": f"{_UA} AND k % 5 > 0 AND k % 3 = 0", "structure-kids": f"{_UA} AND k % 5 > 0 AND k % 3 = 0",

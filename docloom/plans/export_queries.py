@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import scalars as S
-from docloom.operators import dom, exports, flow, markdown, objects, pages as P, sheets, styles
+from docloom.operators import dom, exports, flow, graphics, markdown, objects, pages as P, sheets, styles, text as T
 from docloom.session import materialise, table
 
 from .base import query
@@ -244,3 +244,37 @@ def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = parts.filter(k % 3 == 0).select(path.alias("path"), F.col("p_size").alias("width"), (k % 40 + 10).alias("height"))
     merged = P.merge_sources(sources, files_, images, (200.0, 300.0), 10.0)
     return merged.select("output", "new_page", "path", "page", F.round("w", 6).alias("w"), F.round("y", 6).alias("y"))
+
+
+@query("""WITH i AS (SELECT n_regionkey AS page_id, n_nationkey AS k, n_nationkey % 5 AS x FROM nation), e AS (
+SELECT page_id, k, x AS dx, 2.0 AS dy, 'rect' AS tag FROM i UNION ALL SELECT page_id, k, x, 2, 'g' FROM i UNION ALL SELECT page_id, k, x + 1.5, 2 + k % 3, 'circle' FROM i)
+SELECT page_id, tag, dx::DOUBLE AS dx, dy::DOUBLE AS dy, count(*) AS n FROM e GROUP BY ALL""")
+def drawn_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes that references to groups draw, whose own references draw other shapes."""
+    k = F.col("n_nationkey")
+    group = F.concat(F.lit('<g id="n'), k, F.lit('"><rect></rect><use href="#c" x="1.5px" y="'), k % 3, F.lit('"></use><use href="#n'), k, F.lit('"></use></g>'))
+    use = F.concat(F.lit('<use xlink:href="#n'), k, F.lit('" x="'), k % 5, F.lit('" y="2"></use>'))
+    pages = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(F.array_join(F.collect_list(group), "").alias("g"), F.array_join(F.collect_list(use), "").alias("u"))
+    html = pages.select("page_id", F.concat(F.lit('<svg><defs><circle id="c"></circle>'), "g", F.lit("</defs>"), "u", F.lit('<use href="#none"></use></svg>')).alias("html"))
+    found = graphics.drawn(materialise(dom.nodes(html), "svg-nodes"))
+    return found.groupBy(F.col("page_id").cast("int").alias("page_id"), "tag", "dx", "dy").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, (l_suppkey % 5) * 0.6::DOUBLE AS y, 's' || l_partkey AS t FROM lineitem),
+f AS (SELECT k, pos, y AS first, t AS piece FROM s WHERE pos = 1 UNION ALL SELECT s.k, s.pos, CASE WHEN abs(f.first - s.y) > 1 THEN s.y ELSE f.first END, CASE WHEN abs(f.first - s.y) > 1 THEN chr(10) ELSE '' END || s.t FROM f JOIN s ON s.k = f.k AND s.pos = f.pos + 1)
+SELECT k, string_agg(piece, '' ORDER BY pos) AS text FROM f GROUP BY k""")
+def built_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans in the order of the page's instructions as text, lines by their height."""
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), at.alias("at"), (F.col("l_suppkey") % 5 * 0.6).alias("y"), F.concat(F.lit("s"), "l_partkey").alias("text"))
+    return T.built_text(spans, ["k"])
+
+
+@query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) AS seq FROM pages)
+SELECT page_id, CAST(seq AS INT) AS seq, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href = '' THEN url WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-z]+:') || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href
+WHEN starts_with(href, '#') THEN regexp_extract(url, '^[^#]*') || href WHEN starts_with(href, '?') THEN regexp_extract(url, '^[^?#]*') || href ELSE regexp_replace(regexp_extract(url, '^[^?#]*'), '[^/]*$', '') || href END AS target FROM l""")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the pages against their own addresses."""
+    pages = table(spark, sf_dir, "pages")
+    links = dom.links(pages).join(pages.select("page_id", "url"), "page_id")
+    return links.select("page_id", "seq", S.resolve_url(F.col("url"), F.col("href")).alias("target"))
