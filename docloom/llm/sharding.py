@@ -10,7 +10,7 @@ driver receives at most ``BINS`` rows a node whatever the input.
 Groups that alone exceed ``HEAVY`` of a shard would make such splits uneven. There are at most
 ``shards / HEAVY`` of them; they are placed on the least loaded shard before the tree, whose splits
 then fill what is left. A group larger than a shard cannot stay whole under the law ``bytes``: its
-documents become points of their own.
+rows become points of their own, also those without id or with one that others have.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def _points(docs: DataFrame, spark: SparkSession) -> DataFrame:
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     )
-    return C.materialise(rows, "shard-rows")
+    rows, plain = C.identified(rows, "shard-rows")
+    return C.materialise(rows, "shard-rows") if plain else rows
 
 
 def _split_values(points: DataFrame, jobs: list[dict]) -> dict[int, int]:
@@ -133,10 +134,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, heavy: float = HEAVY)
     whole = loose.join(split_df, ["g", "gc", "gs"], "left_anti").withColumn("own", F.lit(None).cast("long"))
     apart = (
         loose.join(split_df, ["g", "gc", "gs"])
-        .join(rows.select(F.col("h").alias("g"), F.col("text_crc32").alias("gc"), F.col("size").alias("gs"), "doc_id"), ["g", "gc", "gs"])
-        .withColumn("own", F.coalesce(F.col("doc_id"), F.lit(-1)))
-        .groupBy("g", "gc", "gs", "c_lang", "c_source", "c_len", "own")
-        .agg((F.count("*") * F.first("gs")).alias("weight"))
+        .join(rows.select(F.col("h").alias("g"), F.col("text_crc32").alias("gc"), F.col("size").alias("gs"), F.col("uid").alias("own")), ["g", "gc", "gs"])
+        .withColumn("weight", F.col("gs"))
     )
     cols = ["g", "gc", "gs", "own", "weight", "c_lang", "c_source", "c_len"]
     points = whole.select(*cols).unionByName(apart.select(*cols)) if split else whole.select(*cols)
@@ -194,15 +193,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, heavy: float = HEAVY)
     ends = ends.unionByName(placed_df.select("g", "gc", "gs", F.lit(None).cast("long").alias("own"), "shard"))
     if split:
         keyed = rows.join(split_df.withColumn("_s", F.lit(True)), (F.col("h") == F.col("g")) & (F.col("text_crc32") == F.col("gc")) & (F.col("size") == F.col("gs")), "left")
-        keyed = keyed.withColumn("_own", F.when(F.col("_s"), F.coalesce(F.col("doc_id"), F.lit(-1)))).drop("g", "gc", "gs", "_s")
+        keyed = keyed.withColumn("_own", F.when(F.col("_s"), F.col("uid"))).drop("g", "gc", "gs", "_s")
     else:
         keyed = rows.withColumn("_own", F.lit(None).cast("long"))
     out = keyed.join(
         ends,
         (F.col("h") == F.col("g")) & (F.col("text_crc32") == F.col("gc")) & (F.col("size") == F.col("gs")) & F.col("_own").eqNullSafe(F.col("own")),
-    ).select("doc_id", "size", "text_crc32", "shard")
+    ).select("doc_id", "uid", "size", "text_crc32", "shard")
     n_buckets = C.buckets(n_rows)
-    out = C.numbered(out, ["shard"], [F.col("doc_id"), F.col("text_crc32")], F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)), "slot")
+    out = C.numbered(out, ["shard"], [F.col("doc_id"), F.col("text_crc32")], F.pmod(F.xxhash64("uid"), F.lit(n_buckets)), "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -37,6 +37,8 @@ from .graph import components
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
 GROUP_SHINGLES = 500_000
+#: A shingle is frequent if its bucket of the sketch has more hits than this, and than so many times the mean.
+HOT_SHINGLES, HOT_TIMES = 20_000, 64
 #: Groups of up to so many members are compared pair by pair.
 SMALL = 12
 SMALLER_LEADERS = 4
@@ -289,6 +291,9 @@ def _linked(keyed: DataFrame, n: int, percent: int, group_shingles: int) -> Data
     several = C.materialise(several, "trie-several")
     rows = C.materialise(rows.join(several, ["fp", "n"], "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep")), "trie-classes")
 
+    # Shingles whose bucket is hit far more often than others may fill a task by themselves; they take a way of their own.
+    hot = max(HOT_SHINGLES, HOT_TIMES * int(sketch.astype(np.uint64).sum()) // len(sketch))
+
     def post(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, sketch = WordHashes(), shared.value
         for part in parts:
@@ -300,13 +305,18 @@ def _linked(keyed: DataFrame, n: int, percent: int, group_shingles: int) -> Data
                     tokens.append(own)
                     owner.append(np.full(len(own), uid, np.int64))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "uid": np.concatenate(owner)})
-
-    posts = C.materialise(keyed.mapInPandas(post, "token long, uid long"), "trie-posts")
-    # Combined before the shuffle; copies of one text have its smallest row as leader, which stands for them.
-    lead = posts.groupBy("token").agg(F.min("uid").alias("leader"), F.max("uid").alias("last")).filter("leader < last")
-    lead = C.materialise(lead.select("token", "leader"), "trie-leaders")
-    pairs = posts.join(lead, "token").filter("leader <> uid").select("leader", "uid").distinct()
+                token = np.concatenate(tokens)
+                often = sketch[(token & np.uint64(len(sketch) - 1)).astype(np.int64)] > hot
+                yield pd.DataFrame({"token": token.view(np.int64), "uid": np.concatenate(owner), "often": often})
+
+    posts = C.materialise(keyed.mapInPandas(post, "token long, uid long, often boolean"), "trie-posts")
+    leads = lambda p: p.groupBy("token").agg(F.min("uid").alias("leader"), F.max("uid").alias("last")).filter("leader < last").select("token", "leader")
+    # The copies of one text have its smallest row as leader, which stands for them. Rare shingles are dealt out once: what finds the
+    # leaders and what meets them read the same shuffle. Of frequent ones the leaders are combined before the shuffle, and the join can be split.
+    rare = posts.filter("not often and token is not null and uid is not null").select("token", "uid").repartition("token")
+    frequent = posts.filter("often").select("token", "uid")
+    meets = lambda p, lead: p.join(lead, "token").filter("leader <> uid").select("leader", "uid")
+    pairs = meets(rare, leads(rare)).unionByName(meets(frequent, C.materialise(leads(frequent), "trie-leaders"))).distinct()
     members = pairs.join(rows.select("uid", "rep"), "uid").filter("rep <> leader").select("leader", F.col("rep").alias("cls")).distinct()
     members = members.join(bits.select(F.col("uid").alias("cls"), "n"), "cls")
     # Some smaller leaders of each class: pairs that share one are decided there.

@@ -304,8 +304,9 @@ def _components(n, percent):
     return comp, sets
 
 
-@pytest.mark.parametrize(("n", "percent", "cut"), [(4, 85, 1_000_000), (5, 80, 150)])
-def test_prefix_tree_join(docs, empty, n, percent, cut):
+@pytest.mark.parametrize(("n", "percent", "cut", "hot"), [(4, 85, 1_000_000, 20_000), (5, 80, 150, 20_000), (4, 85, 1_000_000, 2)])
+def test_prefix_tree_join(docs, empty, monkeypatch, n, percent, cut, hot):
+    monkeypatch.setattr(triejoin, "HOT_SHINGLES", hot)
     comp, sets = _components(n, percent)
     rows = triejoin.near_duplicates(docs, n, percent, group_shingles=cut).collect()
     assert len(rows) == len(ROWS)
@@ -446,6 +447,15 @@ def test_sharding(spark, docs, empty):
     load = [r["b"] for r in out]
     assert len(load) == 16 and max(load) <= 1.03 * sum(load) / 16 and min(load) >= 0.97 * sum(load) / 16
     assert sharding.shard_documents(empty).count() == 0
+    # Copies of one text without ids, or with one id for all, are dealt out as well.
+    rng = random.Random(2)
+    for one in (None, 7):
+        rows = [(one, "x" * 99, "en", "s0") for _ in range(2000)] + [(100 + i, "".join(rng.choice("ab ") for _ in range(150 + i % 90)), "en", "s%d" % (i % 5)) for i in range(2000)]
+        out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()
+        load = Counter()
+        for r in out:
+            load[r["shard"]] += r["size"]
+        assert len(out) == 4000 and len(load) == 16 and max(load.values()) <= 1.03 * sum(load.values()) / 16 and min(load.values()) >= 0.97 * sum(load.values()) / 16
 
 
 def test_language_id(spark, docs, empty):
