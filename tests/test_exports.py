@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import exports, flow, markdown, objects, pages, sheets, text
+from docloom.operators import compliance, dom, exports, flow, graphics, markdown, objects, pages, sheets, text
 from docloom.operators import selectors as X
 
 
@@ -145,3 +145,22 @@ def test_merged_sources(spark):
             pages.merge_sources(spark.createDataFrame([("o", 0, "", "zz", lost)], sources.schema), files_, images, (100.0, 100.0)).collect()
     with pytest.raises(ValueError, match="no room"):
         pages.merge_sources(sources, files_, images, (100.0, 100.0), 50.0)
+
+
+def test_drawn_references(spark):
+    svg = '<svg><defs><g id="a"><rect></rect><use href="#b" x="2"></use><use href="#a" x="9"></use></g><g id="b"><circle></circle></g><g id="b"><path></path></g></defs><use xlink:href="#a" x="10px" y="1.5"></use><symbol><use href="#b"></use></symbol><use href="#gone"></use><use></use></svg>'
+    nodes = dom.nodes(spark.createDataFrame([(1, svg), (2, "<p>x</p>"), (3, None)], "page_id long, html string"))
+    got = sorted((r["tag"], len(r["path"]), r["dx"], r["dy"]) for r in graphics.drawn(nodes).collect())
+    assert got == [("circle", 2, 12.0, 1.5), ("g", 1, 10.0, 1.5), ("g", 2, 12.0, 1.5), ("rect", 1, 10.0, 1.5)]
+    x, y = graphics.transform_point(F.lit(1.0), F.lit(2.0), F.array(*[F.lit(v) for v in (2.0, 0.5, 3.0, 4.0, 10.0, 20.0)]))
+    assert tuple(spark.range(1).select(x, y).first()) == (18.0, 28.5)
+
+
+def test_built_text(spark):
+    spans = spark.createDataFrame([("p", 2, 10.9, "b"), ("p", 1, 10.0, "a"), ("p", 3, 11.5, "c"), ("p", 4, 10.6, "d"), ("q", 1, 0.0, "")], "page string, at int, y double, text string")
+    assert {r["page"]: r["text"] for r in text.built_text(spans, ["page"]).collect()} == {"p": "ab\ncd", "q": ""}
+
+
+def test_well_formed(spark):
+    cases = {"<a><b>x</b></a>": True, "<a><b></a>": False, "": True, "text": True, "<a>&amp;</a>": True, "<a>&foo;</a>": False, "<x:a><y:b/></x:a>": True, "<a b=1/>": False, None: True}
+    assert _values(spark, list(cases), compliance.well_formed(F.col("a"))) == list(cases.values())

@@ -69,3 +69,32 @@ def test_dom(spark, data):
     assert hits and all(by[h["page_id"], h["ancestor_id"]]["tag"] == "nav" for h in hits) and len(hits) <= sum(links.values())
     text = {(r["page_id"], r["tag"]): r["text"] for r in QUERIES["dom_text"](spark, data).collect() if r["tag"] in ("title", "h1")}
     assert all(text[p, "title"] for p, _ in text)
+
+
+def test_text_and_selectors_of_pages(spark, data):
+    rows = QUERIES["dom_nodes"](spark, data).collect()
+    by = {(r["page_id"], r["node_id"]): r for r in rows}
+    want = {}
+    for r in sorted(rows, key=lambda r: (r["page_id"], r["node_id"])):
+        if r["tag"] == "" and not r["hidden"]:
+            for a in r["ancestors"]:
+                want[r["page_id"], a] = want.get((r["page_id"], a), "") + r["text"]
+    got = {(r["page_id"], r["node_id"]): r["text"] for r in QUERIES["dom_text"](spark, data).collect()}
+    assert got == want
+    tag = lambda r: r["tag"]
+    up = lambda r: by.get((r["page_id"], r["parent_id"]))
+    elements = [r for r in rows if r["tag"]]
+    above = lambda r: [by[r["page_id"], a] for a in r["ancestors"]]
+    before = lambda r: [o for o in elements if o["page_id"] == r["page_id"] and o["parent_id"] == r["parent_id"] and o["node_id"] < r["node_id"]]
+    tests = {
+        "nav a": lambda r: tag(r) == "a" and any(tag(a) == "nav" for a in above(r)), "ul > li": lambda r: tag(r) == "li" and up(r) is not None and tag(up(r)) == "ul",
+        "li + li": lambda r: tag(r) == "li" and bool(before(r)) and tag(before(r)[-1]) == "li", "h1 ~ p": lambda r: tag(r) == "p" and any(tag(o) == "h1" for o in before(r)),
+        "a[href^='/']": lambda r: tag(r) == "a" and (r["attrs"].get("href") or "").startswith("/"), "p:first-of-type": lambda r: tag(r) == "p" and r["parent_id"] >= 0 and not any(tag(o) == "p" for o in before(r)),
+    }
+    elements.sort(key=lambda r: (r["page_id"], r["node_id"]))
+    want = {}
+    for name, test in tests.items():
+        hits = [r["node_id"] for r in elements if test(r)]
+        if hits:
+            want[name] = (len(hits), min(hits), sum(hits))
+    assert {r["rule"]: (r["n_hits"], r["first_node"], r["sum_nodes"]) for r in QUERIES["selector_pages"](spark, data).collect()} == want
