@@ -588,3 +588,67 @@ def sheet_size(text: Column) -> Column:
     for name, (w, h) in {**PAGE_SIZES, **SHEET_SIZES}.items():
         size = F.when((own == name) & (F.lit(name in ("a4", "letter")) | (t == name)), F.array(F.lit(w), F.lit(h))).otherwise(size)
     return F.when(wide & (size[0] < size[1]), F.reverse(size)).otherwise(size)
+
+
+# Signs of list styles, and Roman numerals by place.
+BULLETS = {"disc": "\u2022", "circle": "\u25cb", "square": "\u25a0", "none": ""}
+ROMAN = (("", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"), ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"), ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"))
+
+
+def roman(value: Column) -> Column:
+    """Lower-case Roman numerals of a number from 1 to 3999; others are written as they are."""
+    digit = lambda table, of: F.element_at(F.array(*[F.lit(x) for x in table]), (of % 10 + 1).cast("int"))
+    places = [digit(t, F.floor(value / d)) for t, d in zip(ROMAN, (100, 10, 1), strict=True)]
+    return F.when(value.between(1, 3999), F.concat(F.repeat(F.lit("m"), F.floor(F.greatest(value, F.lit(0)) / 1000).cast("int")), *places)).otherwise(value.cast("string"))
+
+
+def counter_text(value: Column, style: Column) -> Column:
+    """A counter in a list style: decimal (also for unknown ones), lower- or upper-alpha or -latin up to 26, lower- or upper-roman, or a bullet."""
+    name = F.lower(F.coalesce(style, F.lit("")))
+    letter = F.when(value.between(1, 26), F.char(value + 96)).otherwise(value.cast("string"))
+    out = F.when(name.isin("lower-alpha", "lower-latin"), letter).when(name.isin("upper-alpha", "upper-latin"), F.upper(letter)).when(name == "lower-roman", roman(value)).when(name == "upper-roman", F.upper(roman(value)))
+    for kind, sign in BULLETS.items():
+        out = out.when(name == kind, sign)
+    return out.otherwise(value.cast("string"))
+
+
+_COUNTER = r"counter\(\s*([^,()]*?)\s*(?:,\s*([^()]*?)\s*)?\)"
+_COUNTERS = r"counters\(\s*([^,()]*?)\s*(?:,\s*([^,()]*?)\s*)?(?:,\s*([^()]*?)\s*)?\)"
+COUNTER_STEPS = 16
+
+
+def counter_content(content: Column, counters: Column) -> Column:
+    """A content value with ``counter(name, style)`` and ``counters(name, separator, style)`` from a map of counters to their open values, the innermost last; quotes around it go.
+
+    A counter that is not there is 0, of counters nothing. After ``COUNTER_STEPS`` of either what is left stays.
+    """
+
+    def one(acc: Column, _: Column) -> Column:
+        own = counters[F.regexp_extract(acc, _COUNTER, 1)]
+        value = F.coalesce(F.try_element_at(own, F.lit(-1)), F.lit(0))
+        return F.when(acc.rlike(_COUNTER), F.replace(acc, F.regexp_extract(acc, _COUNTER, 0), counter_text(value, F.regexp_extract(acc, _COUNTER, 2)))).otherwise(acc)
+
+    def every(acc: Column, _: Column) -> Column:
+        mark, style = F.regexp_replace(F.regexp_extract(acc, _COUNTERS, 2), "^[\"']+|[\"']+$", ""), F.regexp_extract(acc, _COUNTERS, 3)
+        mark = F.when(F.regexp_extract(acc, _COUNTERS, 2) == "", ".").otherwise(mark)
+        own = F.coalesce(counters[F.regexp_extract(acc, _COUNTERS, 1)], F.array().cast("array<int>"))
+        return F.when(acc.rlike(_COUNTERS), F.replace(acc, F.regexp_extract(acc, _COUNTERS, 0), F.call_function("array_join", F.transform(own, lambda v: counter_text(v, style)), mark))).otherwise(acc)
+
+    steps = F.sequence(F.lit(1), F.lit(COUNTER_STEPS))
+    return F.regexp_replace(F.aggregate(steps, F.aggregate(steps, content, one), every), "^[\"']+|[\"']+$", "")
+
+
+def differences(items: Column) -> Column:
+    """map<int, string> from codes to names of an encoding's differences: numbers set the code of the name that follows, further names count on; codes are 0 to 255."""
+    at = F.sequence(F.lit(0), F.size(items) - 1)
+    rows = F.transform(F.when(F.size(items) > 0, at).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
+        F.array_max(F.filter(F.transform(F.slice(items, 1, i), lambda x, j: F.when(~x.startswith("/"), j)), lambda j: j.isNotNull())).alias("j"), i.alias("i"), F.get(items, i).alias("x")))
+    named = F.transform(F.filter(rows, lambda r: r["x"].startswith("/")), lambda r: F.struct(
+        F.when(r["j"].isNull(), r["i"]).otherwise(F.floor(F.get(items, r["j"]).try_cast("double")).cast("int") + r["i"] - r["j"] - 1).alias("code"), F.regexp_replace(r["x"], "^/", "").alias("name")))
+    kept = F.filter(named, lambda e: e["code"].between(0, 255))
+    return F.map_from_entries(F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda o: o["code"] == e["code"])))
+
+
+def contact_line(phone: Column, email: Column) -> Column:
+    some = lambda c: F.when(c != "", c)
+    return F.concat_ws(" | ", some(phone), some(email))

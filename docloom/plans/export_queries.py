@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docloom.functions import scalars as S
 from docloom.operators import dom, exports, flow, graphics, markdown, objects, pages as P, sheets, styles, text as T
 from docloom.session import materialise, table
+from docloom.streaming import jobs
 
 from .base import query
 from .layout_queries import _LINES, _PLACED, _spans
@@ -278,3 +279,43 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     links = dom.links(pages).join(pages.select("page_id", "url"), "page_id")
     return links.select("page_id", "seq", S.resolve_url(F.col("url"), F.col("href")).alias("target"))
+
+
+_ROMAN = "repeat('m', v // 1000) || " + " || ".join(f"{list(t)}[v // {d} % 10 + 1]" for t, d in zip(S.ROMAN, (100, 10, 1), strict=True))
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS k, o_orderkey % 2500 + 1 AS v, o_custkey % 30 + 1 AS w FROM orders), r AS (SELECT *, {_ROMAN} AS low FROM k)
+SELECT k, upper(low) || ' ' || CASE WHEN w <= 26 THEN chr(CAST(96 + w AS INT)) ELSE CAST(w AS VARCHAR) END || ' 0 •' AS content, v || '-' || w AS path FROM r""")
+def counter_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters in the content of generated text, in letters, Roman numerals and as a path."""
+    k, v, w = F.col("o_orderkey"), F.col("o_orderkey") % 2500 + 1, F.col("o_custkey") % 30 + 1
+    counters = F.create_map(F.lit("a"), F.array(v.cast("int")), F.lit("b"), F.array(v.cast("int"), w.cast("int")))
+    text = F.lit("'counter(a, upper-roman) counter( b , lower-alpha) counter(none) counter(a,disc)'")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), S.counter_content(text, counters).alias("content"), S.counter_content(F.lit('counters(b, "-")'), counters).alias("path"))
+
+
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'rgb(' || (o_orderkey % 256) || ',0,255)' WHEN 1 THEN 'rgb(0,128,0)' WHEN 2 THEN 'rgb(' || (o_custkey % 100) || ',' || (o_custkey % 100) || ',20)' END AS color,
+CASE o_orderkey % 4 WHEN 0 THEN 0.5::DOUBLE WHEN 3 THEN NULL ELSE 1.0 END AS alpha, 'x ' || o_custkey || 'px ' || o_orderpriority || ' none' AS resolved, CASE o_orderkey % 3 WHEN 0 THEN upper(o_orderpriority) WHEN 1 THEN lower(o_orderpriority) ELSE o_orderpriority END AS shown FROM orders""")
+def style_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours in every notation, nested variables, and letters raised or lowered."""
+    k, c, text = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+    hex2 = lambda x: F.lpad(F.lower(F.hex(x.cast("long"))), 2, "0")
+    written = F.when(k % 4 == 0, F.concat(F.lit("RGBA("), k % 256, F.lit(" 0 100% / 50%)"))).when(k % 4 == 1, " Green ").when(k % 4 == 2, F.concat(F.lit("#"), hex2(c % 100), hex2(c % 100), F.lit("14"))).otherwise("transparent")
+    color = S.css_color(written)
+    names = F.create_map(F.lit("--a"), F.concat(c, F.lit("px")), F.lit("--b"), F.concat(F.lit("var(--a) var(--no, "), text, F.lit(")")))
+    how = F.when(k % 3 == 0, "uppercase").when(k % 3 == 1, "lowercase").otherwise("none")
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), text.alias("t"), color.alias("c"), S.css_variable(F.lit("x var(--b) var( --gone , none )"), names).alias("resolved"), S.text_transform(text, how).alias("shown"))
+    return rows.select("k", F.when(F.col("c").isNotNull(), S.rgb_css(*[F.get(F.col("c.rgb"), F.lit(i)) for i in range(3)])).alias("color"), F.col("c.alpha").alias("alpha"), "resolved", "shown")
+
+
+@query("""WITH j AS (SELECT user_id AS id, CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'converting' END AS status FROM events GROUP BY user_id),
+r AS (SELECT o_orderkey AS request, o_custkey AS id, ['status', 'convert', 'preview', 'download', 'delete'][o_orderkey % 5 + 1] AS action, ['html', 'text', 'pdf', ''][o_orderkey % 4 + 1] AS output FROM orders)
+SELECT request, CASE WHEN j.id IS NULL THEN 404 WHEN action = 'convert' AND status = 'converting' THEN 409 WHEN action = 'convert' AND output = 'pdf' THEN 400 WHEN action IN ('preview', 'download') AND status <> 'done' THEN 412 ELSE 200 END AS code,
+CASE WHEN j.id IS NULL THEN 'not found' WHEN action = 'convert' AND status = 'converting' THEN 'already in progress' WHEN action = 'convert' AND output = 'pdf' THEN 'invalid output' WHEN action IN ('preview', 'download') AND status <> 'done' THEN 'not complete' WHEN action = 'convert' THEN 'converting' WHEN action = 'delete' THEN 'deleted' ELSE status END AS said
+FROM r LEFT JOIN j ON j.id = r.id""")
+def job_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests about jobs get, from the state that their events left them in."""
+    found = jobs.lifecycle(table(spark, sf_dir, "events")).select(F.col("user_id").alias("id"), F.col("state").alias("status"))
+    pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("o_orderkey") % len(words) + 1).cast("int"))
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.col("o_custkey").alias("id"), pick(["status", "convert", "preview", "download", "delete"]).alias("action"), pick(["html", "text", "pdf", ""]).alias("output"))
+    return jobs.answers(found, requests)

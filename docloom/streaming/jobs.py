@@ -142,3 +142,19 @@ def finished_jobs(spark: SparkSession, path: str, shared: str, ttl_minutes: int
     query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").format("parquet").option("path", f"{out}/result").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(JOB).parquet(f"{out}/result")
+
+
+def answers(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """request, code, said: what a request (request, id, action, output) gets, given the jobs (id, status, output).
+
+    Actions: status, metadata and delete need a job; preview and download need one that is done; convert needs one that is not converting and an output that
+    is html or text (html without any).
+    """
+    rows = requests.join(found.select(F.col("id").alias("_id"), F.col("status").alias("_status")), F.col("id") == F.col("_id"), "left")
+    action, wanted = F.col("action"), F.coalesce(F.when(F.col("output") != "", F.col("output")), F.lit("html"))
+    code = (
+        F.when(F.col("_id").isNull(), 404).when((action == "convert") & (F.col("_status") == "converting"), 409).when((action == "convert") & ~wanted.isin("html", "text"), 400)
+        .when(action.isin("preview", "download") & (F.col("_status") != "done"), 412).otherwise(200)
+    )
+    said = F.when(code == 404, "not found").when(code == 409, "already in progress").when(code == 400, "invalid output").when(code == 412, "not complete").when(action == "convert", "converting").when(action == "delete", "deleted").otherwise(F.col("_status"))
+    return rows.select("request", code.alias("code"), said.alias("said"))

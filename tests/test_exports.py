@@ -164,3 +164,15 @@ def test_built_text(spark):
 def test_well_formed(spark):
     cases = {"<a><b>x</b></a>": True, "<a><b></a>": False, "": True, "text": True, "<a>&amp;</a>": True, "<a>&foo;</a>": False, "<x:a><y:b/></x:a>": True, "<a b=1/>": False, None: True}
     assert _values(spark, list(cases), compliance.well_formed(F.col("a"))) == list(cases.values())
+
+
+def test_counters_and_differences(spark):
+    both = lambda v, style: spark.range(1).select(S.counter_text(F.lit(v), F.lit(style))).first()[0]
+    assert [both(v, s) for v, s in ((27, "lower-alpha"), (26, "UPPER-LATIN"), (1994, "lower-roman"), (4000, "upper-roman"), (0, "upper-roman"), (3, "square"), (3, "none"), (3, "odd"), (3, None))] == ["27", "Z", "mcmxciv", "4000", "0", "■", "", "3", "3"]
+    names = F.create_map(F.lit("a"), F.array(F.lit(2), F.lit(3)))
+    cases = {"counters(a)": "2.3", "counters(a, '/', lower-roman)": "ii/iii", '"x counter(a) y"': "x 3 y", "counter(z)": "0", "counters(z)": "", None: None}
+    assert _values(spark, list(cases), S.counter_content(F.col("a"), names)) == list(cases.values())
+    rows = {"/x /y 65 /A /B 300 /C 66 /b 66.9 /c -1 /m": {0: "x", 1: "y", 65: "A", 66: "c"}, "": {}, "5": {}}
+    assert _values(spark, list(rows), S.differences(F.filter(F.split("a", " "), lambda x: x != ""))) == list(rows.values())
+    line = spark.createDataFrame([("1", "a@b"), ("", "a@b"), (None, None)], "p string, e string").select(S.contact_line(F.col("p"), F.col("e")))
+    assert [r[0] for r in line.collect()] == ["1 | a@b", "a@b", ""]
