@@ -11,33 +11,34 @@ from docloom.operators import folds
 CONTEXT = 40
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, source, line_no (from 1), line."""
-    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+def lines(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """keys, line_no (from 1), line."""
+    return docs.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def search(docs: DataFrame, needle: str) -> DataFrame:
-    """Non-overlapping matches, whatever their case: doc_id, source, line_no, col (bytes, from 1), context.
+def search(docs: DataFrame, needle: str, ids: tuple[str, ...] = ("doc_id",), more: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Non-overlapping matches, whatever their case: ids, more, line_no, col (bytes, from 1), context. ``ids`` tell texts apart, as a document and a page do.
 
     The line is cut at its matches once; where each starts is a running sum over the match rows of the line. A blank needle is an error.
     """
     if not needle.strip():
         raise ValueError("a search needs something to look for")
     pattern = "(?iu)\\Q" + needle + "\\E"
-    found = lines(docs).filter(F.col("line").rlike(pattern))
+    keys = (*ids, *more)
+    found = lines(docs, keys).filter(F.col("line").rlike(pattern))
     pieces, hits = F.split("line", pattern, -1), F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
     after = F.slice(pieces, F.lit(2), F.size(pieces))
     zipped = F.filter(F.arrays_zip(pieces.alias("p"), hits.alias("h"), after.alias("a")), lambda z: z["h"].isNotNull())
     near = F.transform(zipped, lambda z: F.struct((F.octet_length(z["p"])).alias("gap"), F.octet_length(z["h"]).alias("size"), z["p"].alias("before"), z["h"].alias("hit"), z["a"].alias("after")))
-    rows = found.select("doc_id", "source", "line_no", F.posexplode(near).alias("k", "m")).select("doc_id", "source", "line_no", "k", "m.*")
-    order = Window.partitionBy("doc_id", "line_no").orderBy("k")
+    rows = found.select(*keys, "line_no", F.posexplode(near).alias("k", "m")).select(*keys, "line_no", "k", "m.*")
+    order = Window.partitionBy(*ids, "line_no").orderBy("k")
     col = F.sum(F.col("gap") + F.col("size")).over(order) - F.col("size") + 1
     # Context may reach over neighbouring matches: up to CONTEXT characters on either side, from a few pieces and matches.
     wide = CONTEXT // max(len(needle), 1) + 1
     left = F.array_join(F.collect_list(F.concat("before", "hit")).over(order.rowsBetween(-wide, -1)), "")
     right = F.array_join(F.collect_list(F.concat("hit", "after")).over(order.rowsBetween(1, wide)), "")
     context = F.concat(F.right(F.concat(left, "before"), F.lit(CONTEXT)), "hit", F.left(F.concat("after", right), F.lit(CONTEXT)))
-    return rows.select("doc_id", "source", "line_no", col.cast("int").alias("col"), F.trim(context).alias("context"))
+    return rows.select(*keys, "line_no", col.cast("int").alias("col"), F.trim(context).alias("context"))
 
 
 def redact(text: Column, needles: list[str]) -> Column:

@@ -43,6 +43,15 @@ def search_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source").agg(F.count("*").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query(f"""WITH l AS (SELECT conv_id, turn + 1 AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT *, string_split(lower(line), '{NEEDLE}') AS p FROM l WHERE contains(lower(line), '{NEEDLE}')), h AS (SELECT *, unnest(range(1, len(p))) AS k FROM p)
+SELECT conv_id, page, CAST(line_no AS INT) AS line_no, CAST(list_sum([strlen(x) FOR x IN p[1:k]]) + (k - 1) * {len(NEEDLE)} + 1 AS INT) AS col FROM h""")
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in the pages of documents."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    return T.search(pages, NEEDLE, ("conv_id", "page"), ()).drop("context")
+
+
 @query("SELECT doc_id, replace(replace(replace(text, 'token', '     '), 'the', '   '), 'ing', '   ') AS redacted FROM documents")
 def redact_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text"), SECRETS).alias("redacted"))
