@@ -55,3 +55,16 @@ def set_metadata(files: DataFrame, new: DataFrame) -> DataFrame:
     """Files (file_id, info, ...) with the entries of ``new`` (file_id, info) in place of all their own; others keep theirs."""
     fresh = new.select("file_id", F.transform_keys("info", lambda k, v: F.concat(F.lit("/"), trim_name(k))).alias("_info"))
     return files.join(fresh, "file_id", "left").withColumn("info", F.coalesce("_info", "info")).drop("_info")
+
+
+def outlines(items: DataFrame) -> DataFrame:
+    """file_id, object_id, title, page, depth (from 1), place among its siblings (from 1), number (as 2.1) and descendants of every bookmark.
+
+    ``items``: file_id, object_id, parent_id (null at the top), prev_id (the sibling before; null for the first), title, page. Places are ranks along the links
+    between siblings, found by pointer jumping; links in a cycle are an error.
+    """
+    ranks = trees.descendants(items, ["file_id"], "object_id", "prev_id").select("file_id", "object_id", (F.col("depth") + 1).cast("int").alias("place"))
+    placed = items.join(ranks, ["file_id", "object_id"])
+    numbers = trees.climb(placed, ["file_id"], "object_id", "parent_id", {"number": F.col("place").cast("string")}, lambda own, up: {"number": F.concat(up["number"], F.lit("."), own["number"])})
+    counts = trees.descendants(items, ["file_id"], "object_id", "parent_id").select("file_id", "object_id", "descendants", (F.col("depth") + 1).cast("int").alias("depth"))
+    return placed.join(numbers, ["file_id", "object_id"]).join(counts, ["file_id", "object_id"]).select("file_id", "object_id", "title", "page", "depth", "place", "number", "descendants")

@@ -319,3 +319,16 @@ def job_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("o_orderkey") % len(words) + 1).cast("int"))
     requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.col("o_custkey").alias("id"), pick(["status", "convert", "preview", "download", "delete"]).alias("action"), pick(["html", "text", "pdf", ""]).alias("output"))
     return jobs.answers(found, requests)
+
+
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey AS f, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer),
+t AS (SELECT a.f, a.id, a.r, b.id AS up, row_number() OVER (PARTITION BY a.f, a.r // 3 ORDER BY a.r) AS place FROM c a LEFT JOIN c b ON b.f = a.f AND b.r = a.r // 3),
+p AS (SELECT f, id, 1 AS depth, place, CAST(place AS VARCHAR) AS number FROM t WHERE up IS NULL UNION ALL SELECT t.f, t.id, p.depth + 1, t.place, p.number || '.' || t.place FROM p JOIN t ON t.f = p.f AND t.up = p.id)
+SELECT f AS file_id, id AS object_id, depth, CAST(place AS INT) AS place, number, (SELECT count(*) FROM p o WHERE o.f = p.f AND starts_with(o.number, p.number || '.')) AS descendants FROM p""")
+def outline_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks whose siblings are linked lists, with their numbers and what is below them."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file_id"), F.col("c_custkey").alias("object_id"), F.col("c_name").alias("title"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy("object_id"))).withColumn("up", F.floor(F.col("r") / 3).cast("int"))
+    above = rows.select("file_id", F.col("r").alias("up"), F.col("object_id").alias("parent_id"))
+    items = rows.join(above, ["file_id", "up"], "left").withColumn("prev_id", F.lag("object_id").over(Window.partitionBy("file_id", "up").orderBy("r"))).withColumn("page", F.lit(1))
+    return objects.outlines(materialise(items, "outline")).select("file_id", "object_id", "depth", "place", "number", "descendants")
