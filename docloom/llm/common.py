@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.session import materialise, shared_dir, table
 
-__all__ = ["WORD", "buckets", "by_group", "drawn", "identified", "materialise", "mix64", "numbered", "shared_dir", "table"]
+__all__ = ["WORD", "buckets", "by_group", "drawn", "identified", "materialise", "mix64", "numbered", "shared_dir", "small_batches", "table"]
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,6 +101,17 @@ def by_group(df: DataFrame, keys: list[str], f: Callable[[dict[str, np.ndarray]]
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+#: Rows of an Arrow batch where whole texts go to Python workers.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session hands Python workers at most so many rows at once, fewer if it is set so; what they and the JVM hold of texts shrinks with it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def buckets(n_rows: int, rows_each: int = 20_000) -> int:
     """How many buckets keep each near ``rows_each`` rows; grows with the table, without a ceiling."""
     return max(1, -(-n_rows // rows_each))

@@ -45,8 +45,9 @@ def _points(docs: DataFrame, spark: SparkSession) -> DataFrame:
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     )
-    rows, plain = C.identified(rows, "shard-rows")
-    return C.materialise(rows, "shard-rows") if plain else rows
+    n, ids = rows.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    # A number that no two rows share: the id, or where ids are null or repeat the row's place in the table that is written.
+    return C.materialise(rows.withColumn("uid", F.col("doc_id").cast("long") if n == ids else F.monotonically_increasing_id()), "shard-rows")
 
 
 def _split_values(points: DataFrame, jobs: list[dict]) -> dict[int, int]:
