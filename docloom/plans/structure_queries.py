@@ -82,7 +82,7 @@ def tree_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(trees.descendants(tree, ["source"], "doc_id", "parent").select("doc_id", F.col("depth").cast("int").alias("depth"), "descendants"), "doc_id")
 
 
-_REFERENCES = """l AS (SELECT l_returnflag AS file, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem),
+_REFERENCES = """l AS (SELECT l_returnflag AS file, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS dst FROM lineitem),
 edges AS (SELECT DISTINCT file, src, dst FROM l WHERE dst IS NOT NULL), starts AS (SELECT DISTINCT l_returnflag AS file, l_partkey AS node FROM lineitem WHERE l_partkey % 40 = 0),
 reach AS (SELECT file, node, 0 AS depth FROM starts UNION SELECT reach.file, edges.dst, depth + 1 FROM reach JOIN edges ON edges.file = reach.file AND edges.src = reach.node WHERE depth < 3),
 near AS (SELECT file, node, min(depth) AS depth FROM reach GROUP BY file, node)"""
@@ -90,7 +90,7 @@ near AS (SELECT file, node, min(depth) AS depth FROM reach GROUP BY file, node)"
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
     edges = lines.select(F.col("l_returnflag").alias("file"), F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).filter("dst is not null")
     return edges, lines.filter("l_partkey % 40 = 0").select(F.col("l_returnflag").alias("file"), F.col("l_partkey").alias("node"))
 
@@ -149,8 +149,8 @@ _WIDTH = 60.0
 m AS (SELECT k, c, max(least) AS least, greatest(max(wanted), max(least)) AS wanted, max(weight) AS weight FROM c GROUP BY k, c),
 t AS (SELECT k, sum(least) AS least, sum(wanted) AS wanted, sum(weight) AS weight, sum((wanted - least) * weight) AS flex, count(*) AS n FROM m GROUP BY k)
 SELECT k, c, round(CASE WHEN t.wanted <= {_WIDTH} THEN m.wanted + ({_WIDTH} - t.wanted) * m.weight / t.weight WHEN t.least >= {_WIDTH} THEN m.least * {_WIDTH} / t.least
-WHEN flex = 0 THEN m.least + ({_WIDTH} - t.least) / n ELSE m.least + ({_WIDTH} - t.least) * (m.wanted - m.least) * m.weight / flex END, 6) AS width,
-round(least(greatest(CASE WHEN m.weight = 1 THEN {_WIDTH} * 0.6 WHEN m.weight < 0.1 THEN {_WIDTH} * 0.4 ELSE m.wanted END, 20), 30), 6) AS track FROM m JOIN t USING (k)""")
+WHEN flex = 0 THEN m.least + ({_WIDTH} - t.least) / n ELSE m.least + ({_WIDTH} - t.least) * (m.wanted - m.least) * m.weight / flex END, 9) AS width,
+round(least(greatest(CASE WHEN m.weight = 1 THEN {_WIDTH} * 0.6 WHEN m.weight < 0.1 THEN {_WIDTH} * 0.4 ELSE m.wanted END, 20), 30), 9) AS track FROM m JOIN t USING (k)""")
 def table_column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of a table that share its width by need and weight, and a grid track held to its least and largest size."""
     cells = table(spark, sf_dir, "lineitem").select(
@@ -164,7 +164,7 @@ def table_column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = lambda c: F.struct(F.lit(0.0).alias("size"), F.when(c["weight"] == 1, 4.0).otherwise(6.0).alias("fr"), F.lit(False).alias("auto"), F.lit(0.0).alias("least"), F.lit(0.0).alias("most"))
     tracks = F.transform("columns", lambda c: S.track_widths(F.array(track(c), other(c)), F.lit(_WIDTH), F.lit(0.0), bounds=True)[0])
     rows = needs.join(ids, "k").select("k", F.explode(F.arrays_zip(F.col("c"), S.table_widths(F.col("columns"), F.lit(_WIDTH)).alias("w"), tracks.alias("t"))).alias("z"))
-    return rows.select("k", F.col("z.c").alias("c"), F.round("z.w", 6).alias("width"), F.round("z.t", 6).alias("track"))
+    return rows.select("k", F.col("z.c").alias("c"), F.round("z.w", 9).alias("width"), F.round("z.t", 9).alias("track"))
 
 
 @query("""WITH RECURSIVE h AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos, l_partkey % 4 + 1 AS level FROM lineitem),
