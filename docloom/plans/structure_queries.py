@@ -35,7 +35,7 @@ def computed_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _elements(spark, sf_dir)
     declared = X.cascade(e, [(chain, *rest) for text, *rest in _SHEET for chain in X.parse_selectors(text)])
     out = styles.computed(e, declared).filter("node_id >= 1000")
-    return out.select("page_id", "node_id", "font_size", S.rgb_css(*[F.col("color")[k] for k in range(3)]).alias("color"), "letter_spacing", "font_weight", "white_space", F.round("line_height", 6).alias("line_height"), "text_transform")
+    return out.select(F.col("page_id").cast("int").alias("page_id"), "node_id", "font_size", S.rgb_css(*[F.col("color")[k] for k in range(3)]).alias("color"), "letter_spacing", "font_weight", "white_space", F.round("line_height", 6).alias("line_height"), "text_transform")
 
 
 _PAGE_SHEET = [("nav a", "color", "teal", False), ("article p", "font-size", "1.25em", False), ("body", "font-size", "10pt", False), ("footer", "text-transform", "capitalize", False), ("h1", "letter-spacing", "0.1em", True)]
@@ -129,8 +129,8 @@ def css_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT l_orderkey AS page_id, l_partkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity) AS r FROM lineitem),
 n AS (SELECT page_id, count(*) AS n FROM l GROUP BY page_id), s AS (SELECT *, CASE WHEN r % 2 = 0 THEN 1 ELSE 0 END AS shift, CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END AS wide FROM l)
-SELECT page_id, CAST(0 AS INT) AS row, CAST(0 AS INT) AS col, 0 AS flow_col, 3 AS colspan, 1 AS rowspan, true AS header, 'lines' AS text FROM n
-UNION ALL SELECT page_id, r, shift, 0, 1, CASE WHEN r % 2 = 1 THEN 2 ELSE 1 END, true, CAST(r AS VARCHAR) FROM s UNION ALL SELECT page_id, r, shift + 1, 1, wide, 1, false, 'part ' || l_partkey FROM s UNION ALL SELECT page_id, r, shift + 1 + wide, 1 + wide, 1, 1, false, l_returnflag FROM s""")
+SELECT page_id, 0 AS row, CAST(0 AS INT) AS col, 0 AS flow_col, 3 AS colspan, 1 AS rowspan, true AS header, 'lines' AS text FROM n
+UNION ALL SELECT page_id, CAST(r AS INT), shift, 0, 1, CASE WHEN r % 2 = 1 THEN 2 ELSE 1 END, true, CAST(r AS VARCHAR) FROM s UNION ALL SELECT page_id, CAST(r AS INT), shift + 1, 1, wide, 1, false, 'part ' || l_partkey FROM s UNION ALL SELECT page_id, CAST(r AS INT), shift + 1 + wide, 1 + wide, 1, 1, false, l_returnflag FROM s""")
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of HTML tables in their grid: one table an order, its head behind its body, every other row with a cell that reaches into the next."""
     lines = table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_quantity")))
