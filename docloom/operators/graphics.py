@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import materialise
+from docloom.session import spread
 
 
 def transform_point(x: Column, y: Column, m: Column) -> tuple[Column, Column]:
@@ -31,16 +31,16 @@ def drawn(nodes: DataFrame) -> DataFrame:
     href = F.regexp_replace(F.coalesce(F.when(F.col("attrs")["xlink:href"] != "", F.col("attrs")["xlink:href"]), F.col("attrs")["href"]), "^#", "")
     at = lambda: (_number(F.col("attrs"), "x").alias("x"), _number(F.col("attrs"), "y").alias("y"))
     uses = nodes.filter((F.col("tag") == "use") & (href != "")).select("page_id", "node_id", "ancestors", "path", href.alias("ref"), *at()).join(_targets(nodes), ["page_id", "ref"])
-    uses = materialise(uses.select("page_id", F.col("node_id").alias("use_id"), "ancestors", "path", "target", "x", "y"), "uses")
+    uses = spread(uses.select("page_id", F.col("node_id").alias("use_id"), "ancestors", "path", "target", "x", "y"), "uses")
     hidden = F.exists("path", lambda t: t.isin("defs", "symbol"))
     level = uses.filter(~hidden).select("page_id", F.array("use_id").alias("at"), "target", F.col("x").alias("dx"), F.col("y").alias("dy"), F.array("target").alias("open"))
-    level = materialise(level, "drawn")
+    level = spread(level, "drawn")
     # By the elements above it, each use node is found from any target that holds it.
-    inside = materialise(uses.select("page_id", "use_id", F.explode(F.concat("ancestors", F.array("use_id"))).alias("holder"), F.col("target").alias("_next"), "x", "y"), "inside")
+    inside = spread(uses.select("page_id", "use_id", F.explode(F.concat("ancestors", F.array("use_id"))).alias("holder"), F.col("target").alias("_next"), "x", "y"), "inside")
     every = level
     while not level.isEmpty():
         step = level.join(inside, (level["page_id"] == inside["page_id"]) & (level["target"] == inside["holder"])).filter(~F.array_contains("open", F.col("_next")))
-        level = materialise(step.select(level["page_id"], F.concat("at", F.array("use_id")).alias("at"), F.col("_next").alias("target"), (F.col("dx") + F.col("x")).alias("dx"), (F.col("dy") + F.col("y")).alias("dy"), F.concat("open", F.array("_next")).alias("open")), "drawn")
+        level = spread(step.select(level["page_id"], F.concat("at", F.array("use_id")).alias("at"), F.col("_next").alias("target"), (F.col("dx") + F.col("x")).alias("dx"), (F.col("dy") + F.col("y")).alias("dy"), F.concat("open", F.array("_next")).alias("open")), "drawn")
         every = every.unionByName(level)
     shapes = nodes.filter((F.col("tag") != "") & ~F.col("tag").isin("use", "defs")).select("page_id", "node_id", "tag", F.explode(F.concat("ancestors", F.array("node_id"))).alias("target"))
     return every.join(shapes, ["page_id", "target"]).select("page_id", F.col("at").alias("path"), "node_id", "tag", "dx", "dy")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import scalars as S
 from docloom.operators import trees
-from docloom.session import materialise
+from docloom.session import spread
 
 #: What a property is without any declaration above, in points for sizes.
 INITIAL = {
@@ -85,7 +85,7 @@ def computed(nodes: DataFrame, declared: DataFrame | None = None, root_size: flo
             custom = trees.climb(rows, ["page_id"], "node_id", "parent_id", {"vars": own}, merge)
             rows = rows.join(custom, ["page_id", "node_id"])
             rows = rows.withColumn("declared", F.transform_values("declared", lambda k, v: F.when(k.startswith("--"), v).otherwise(S.css_variable(v, F.col("vars"))))).drop("vars")
-    rows = materialise(rows, "declared")
+    rows = spread(rows, "declared")
     # In steps, so that no expression is written out more than once: texts, then numbers with units, then how they depend on the font.
     keys = ["page_id", "node_id", "parent_id"]
     sizes = ["font-size", "line-height", *_LENGTHS]

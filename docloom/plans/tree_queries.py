@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.operators import dom
 from docloom.operators import selectors as X
 from docloom.operators.selectors import Chain, Simple
-from docloom.session import materialise, table
+from docloom.session import spread, table
 
 from .base import query
 
@@ -48,7 +48,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
              {"segment": F.col("c_mktsegment"), "phrase": F.concat_ws(" ", "c_mktsegment", "n_name"), "code": F.concat(F.lower("n_name"), F.lit("-"), "c_custkey")}, [F.lit(0), at_nation]),
         rows(orders, _O + key("o_orderkey"), at_customer, F.concat(F.lit("o"), F.lower("o_orderstatus")), nobody, none, {"priority": F.col("o_orderpriority")}, [F.lit(0), at_nation, at_customer]),
     ]
-    return materialise(X.with_siblings(reduce(DataFrame.unionByName, parts)), "tree")
+    return spread(X.with_siblings(reduce(DataFrame.unionByName, parts)), "tree")
 
 
 def _simple(**kw) -> Chain:
@@ -130,7 +130,7 @@ def cascade_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def selector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectors over parsed pages: rule, n_hits, first_node, sum_nodes."""
-    e = materialise(X.with_siblings(dom.nodes(table(spark, sf_dir, "pages"))), "pages-tree")
+    e = spread(X.with_siblings(dom.nodes(table(spark, sf_dir, "pages"))), "pages-tree")
     chains = [
         ("nav a", _simple(tag="nav").then(" ", Simple(tag="a"))), ("ul > li", _simple(tag="ul").then(">", Simple(tag="li"))), ("li + li", _simple(tag="li").then("+", Simple(tag="li"))),
         ("h1 ~ p", _simple(tag="h1").then("~", Simple(tag="p"))), ("a[href^='/']", _simple(tag="a", attrs=(("href", "^=", "/"),))), ("p:first-of-type", _simple(tag="p", pseudo=("first-of-type",))),

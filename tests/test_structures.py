@@ -12,6 +12,7 @@ from docloom.functions import scalars as S
 from docloom.operators import dom, folds, grids, layout, rects, styles, text, trees
 from docloom.operators import selectors as X
 from docloom.plans.registry import QUERIES
+from docloom.session import spread
 from docloom.sources import files
 from docloom.streaming import jobs
 
@@ -371,3 +372,13 @@ def test_page_queries(spark, data):
         if r["tag"] == "" and not r["hidden"] and r["text"].strip():
             shown[r["page_id"]] += len(re.sub(r"\s", "", r["text"]))
     assert Counter({p: sum(len(re.sub(r"\s", "", r["text"])) for r in runs if r["page_id"] == p) for p in shown}) == shown
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Rows that repeat each other: a file of a few kB, whose joins would send every row to the driver."""
+    rows = spark.range(200_000).select((F.col("id") % 1000).alias("page_id"), F.lit("block").alias("display"))
+    kept = spread(rows, "repeated")
+    joined = spark.range(1000).withColumnRenamed("id", "page_id").repartition(2).join(kept.filter("display = 'block'").select("page_id"), "page_id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    climbed = trees.climb(spark.range(1000).select(F.lit(1).alias("g"), "id", (F.col("id") - 1).alias("up")), ["g"], "id", "up", {"v": F.col("id")}, lambda own, up: {"v": up["v"]})
+    assert "BroadcastHashJoin" not in climbed.join(climbed.withColumnRenamed("v", "w"), ["g", "id"])._jdf.queryExecution().executedPlan().toString()
