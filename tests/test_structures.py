@@ -382,3 +382,17 @@ def test_growing_tables_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     climbed = trees.climb(spark.range(1000).select(F.lit(1).alias("g"), "id", (F.col("id") - 1).alias("up")), ["g"], "id", "up", {"v": F.col("id")}, lambda own, up: {"v": up["v"]})
     assert "BroadcastHashJoin" not in climbed.join(climbed.withColumnRenamed("v", "w"), ["g", "id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_thick_links_are_met_last_first(spark):
+    """Links one over the other: of 20,000 pairs a place looks at a part, and all rounds count."""
+    r = random.Random(7)
+    links = [(k % 2, k, (x := r.uniform(0, 40)), y, x + 9, y + r.choice([3, 9]), f"u{k}") for k, y in enumerate(r.uniform(0, 40) for _ in range(2000))]
+    links += [(2, k, 100.0, 100.0, 100.0 + 30 / (k + 1), 130.0, f"v{k}") for k in range(300)]  # the last ones are too narrow: later rounds find the first
+    spots = [(k % 2, r.uniform(-5, 50), r.uniform(-5, 50)) for k in range(300)] + [(2, 129.0, 115.0), (2, 110.0, 110.0), (2, 115.0, 96.0), (2, 107.0, 129.0)]
+    got = {(a, x, y): u for a, x, y, u in rects.link_map(spark.createDataFrame(spots, "page int, x double, y double"), spark.createDataFrame(links, "page int, link int, x0 double, y0 double, x1 double, y1 double, url string"), "page").collect()}
+    hit = lambda s, b: s[0] == b[0] and b[2] - 2 <= s[1] <= b[4] + 2 and b[3] - 2 <= s[2] <= b[5] + 2
+    assert got == {s: max((b for b in links if hit(s, b)), key=lambda b: b[1])[6] for s in spots if any(hit(s, b) for b in links)}
+    seen = rects.hits(spark.createDataFrame([(0, 20.0, 20.0)], "page int, x double, y double"), spark.createDataFrame(links[:10], "page int, rect int, x0 double, y0 double, x1 double, y1 double, url string"), "page")
+    assert seen.count() == sum(hit((0, 20.0, 20.0), b) for b in links[:10])
+    assert "_nth" not in seen.columns and rects.FIRST_LINKS < 300
