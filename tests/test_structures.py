@@ -396,3 +396,13 @@ def test_thick_links_are_met_last_first(spark):
     seen = rects.hits(spark.createDataFrame([(0, 20.0, 20.0)], "page int, x double, y double"), spark.createDataFrame(links[:10], "page int, rect int, x0 double, y0 double, x1 double, y1 double, url string"), "page")
     assert seen.count() == sum(hit((0, 20.0, 20.0), b) for b in links[:10])
     assert "_nth" not in seen.columns and rects.FIRST_LINKS < 300
+
+
+def test_imports_are_joined_in_chunks(spark):
+    """A sheet of many lines between imports: no task gathers every line of a root."""
+    lines = [f".c{k} {{}}" for k in range(25_000)]
+    css = "\n".join([*lines[:100], '@import "b.css";', *lines[100:]])
+    sheets = spark.createDataFrame([("http://h.org/a.css", css), ("http://h.org/b.css", "b1\nb2")], "url string, css string")
+    out = trees.resolved_css(sheets, sheets.select("url"))
+    assert {r["url"]: r["css"] for r in out.collect()} == {"http://h.org/a.css": "\n".join([*lines[:100], "b1", "b2", "", *lines[100:], ""]), "http://h.org/b.css": "b1\nb2\n"}
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
