@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import scalars as S
-from docloom.operators import dom, folds
+from docloom.operators import folds
 
 
 def _span(attrs: Column, name: str) -> Column:
@@ -22,21 +22,32 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     free column: cells with a row span take their columns from the rows below, to the end of the table at most. ``flow_col`` counts column spans of the
     row alone. A table inside a cell is a table of its own.
     """
-    tables = nodes.filter("tag = 'table'").select("page_id", F.col("node_id").alias("table_id"))
-    parts = nodes.filter(F.col("tag").isin("thead", "tbody", "tfoot")).join(tables, (nodes["page_id"] == tables["page_id"]) & (nodes["parent_id"] == F.col("table_id")), "left_semi")
-    parts = parts.select("page_id", F.col("node_id").alias("part_id"), F.col("parent_id").alias("table_id"), (F.col("tag") == "thead").alias("head"))
-    owners = parts.unionByName(tables.select("page_id", F.col("table_id").alias("part_id"), "table_id", F.lit(False).alias("head")))
-    rows = nodes.filter("tag = 'tr'").select("page_id", F.col("node_id").alias("row_id"), F.col("parent_id").alias("part_id")).join(owners, ["page_id", "part_id"])
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("page_id", "table_id").orderBy(F.desc("head"), "row_id")) - 1).drop("part_id")
-    cells = nodes.filter(F.col("tag").isin("td", "th")).select("page_id", "node_id", F.col("parent_id").alias("row_id"), (F.col("tag") == "th").alias("th"), _span(F.col("attrs"), "colspan").alias("colspan"), _span(F.col("attrs"), "rowspan").alias("rowspan"))
-    cells = cells.join(rows, ["page_id", "row_id"]).withColumn("header", F.col("th") | F.col("head"))
-    texts = dom.text_content(nodes).filter(F.col("tag").isin("td", "th")).select("page_id", "node_id", F.trim(S.collapse_whitespace(F.col("text"))).alias("text"))
-    cells = cells.join(texts, ["page_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return place(cells.select("page_id", "table_id", "row", "node_id", "colspan", "rowspan", "header", "text"))
-
-
-def place(cells: DataFrame) -> DataFrame:
-    """Cells (page_id, table_id, row, node_id, colspan, rowspan, header, text) in their grid; rows and, in them, node_id give the order."""
+    # Places, in the path of a node and itself, of the rows of tables that it stands for: its own, that of the cell that it is, or those of all cells around a text.
+    k, depth, cell = F.col("_k"), F.col("depth"), F.col("tag").isin("td", "th")
+    around = F.filter(F.sequence(F.lit(0), depth - 1), lambda i: (F.get("path", i) == "tr") & F.get("path", i + 1).isin("td", "th"))
+    places = F.when(F.col("tag") == "tr", F.array(depth)).when(cell, F.array(depth - 1)).otherwise(around)
+    rows = nodes.filter("depth > 0 and (tag in ('tr', 'td', 'th') or tag = '' and not hidden)").select(
+        "page_id", "depth", "path", F.concat("ancestors", F.array("node_id")).alias("_ids"), "tag", F.explode(places).alias("_k"),
+        F.when(F.col("tag") == "", F.struct(F.col("node_id").alias("t"), F.col("text").alias("piece"))).alias("p"), F.when(cell, _span(F.col("attrs"), "colspan")).alias("colspan"), F.when(cell, _span(F.col("attrs"), "rowspan")).alias("rowspan"), F.when(cell, F.col("tag") == "th").alias("th"),
+    )
+    up = F.get("path", k - 1)
+    rows = rows.filter(~cell | (F.get("path", k) == "tr")).filter((up == "table") | up.isin("thead", "tbody", "tfoot") & (F.get("path", k - 2) == "table")).select(
+        "page_id", F.get("_ids", k - F.when(up == "table", 1).otherwise(2)).alias("table_id"), (up != "thead").alias("body"), F.get("_ids", k).alias("row_id"), F.coalesce(F.get("_ids", k + 1), F.lit(-1)).alias("node_id"), "p", "colspan", "rowspan", "th",
+    )
+    # Tables are dealt out once; what follows keeps to them.
+    keys = ["page_id", "table_id"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "")
+    rows = rows.repartition(*keys).groupBy(*keys, "body", "row_id", "node_id").agg(F.trim(S.collapse_whitespace(text)).alias("text"), F.max("colspan").alias("colspan"), F.max("rowspan").alias("rowspan"), F.max("th").alias("th"))
+    rows = rows.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("body", "row_id")) - 1).filter("node_id >= 0")
+    return place(rows.select(*keys, "row", "node_id", "colspan", "rowspan", (F.col("th") | ~F.col("body")).alias("header"), "text"), dealt=True)
+
+
+#: What ``table_cells`` reads of a page's nodes.
+CELL_COLUMNS, CELL_TAGS = ["page_id", "node_id", "depth", "tag", "text", "ancestors", "path", "attrs", "hidden"], ("tr", "td", "th", "")
+
+
+def place(cells: DataFrame, dealt: bool = False) -> DataFrame:
+    """Cells (page_id, table_id, row, node_id, colspan, rowspan, header, text) in their grid; rows and, in them, node_id give the order. ``dealt``: each table is in one partition already."""
 
     def start() -> dict:
         return {"row": -1, "flow": 0, "until": {}}
@@ -55,7 +66,7 @@ def place(cells: DataFrame) -> DataFrame:
         return [(page, table, row, col, flow, colspan, rowspan, header, text)]
 
     schema = "page_id long, table_id int, row int, col int, flow_col int, colspan int, rowspan int, header boolean, text string"
-    return folds.fold_sorted(cells, ["page_id", "table_id"], ["row", "node_id"], start, step, schema)
+    return folds.fold_sorted(cells, ["page_id", "table_id"], ["row", "node_id"], start, step, schema, dealt)
 
 
 def column_needs(cells: DataFrame, keys: list[str], padding: float = 0.0) -> DataFrame:

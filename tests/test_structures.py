@@ -264,6 +264,25 @@ def test_cells_fill_the_grid(spark):
     assert [r["text"] for r in rows if r["table_id"] != outer] == ["in"]
 
 
+def test_cells_of_few_columns_in_one_shuffle(spark, capsys):
+    html = "<table><tr></tr><tbody><tr><td>a<td colspan=2>b &amp; <i>c</i></tr></tbody><tfoot><tr><th rowspan=3>f<table><tr><td>g</table></tfoot><div><tr><td>lost</div></table><tr><td>out"
+    pages = spark.createDataFrame([(p, html) for p in range(50)], "page_id long, html string").repartition(3)
+    few = grids.table_cells(dom.nodes(pages, grids.CELL_COLUMNS, grids.CELL_TAGS))
+    few.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    rows = sorted(tuple(r) for r in few.collect())
+    assert rows == sorted(tuple(r) for r in grids.table_cells(dom.nodes(pages)).collect())
+    assert [r[2:] for r in rows if r[0] == 7] == [(1, 0, 0, 1, 1, False, "a"), (1, 1, 1, 2, 1, False, "b & c"), (2, 0, 0, 1, 3, True, "fg"), (0, 0, 0, 1, 1, False, "g")]
+
+
+def test_plain_markup_is_read_as_by_the_parser(monkeypatch):
+    pages = [h for _, h in PAGES if h] + ["<td class='a b' id=x href=\"/y\" class=z>t</td>", "<TD>a</TD>", "a < b", "<p>x<p>y</div>", "<br/><img src=a>", "<a href=/x/>z</a>", "a & b <i>&lt;</i>", "<p\n a=1>\n </p> <b> </b>", "<!-- <p> --><p>", "<title><b></title>", "<p a=1b=2 c>", "<a\tb='>'>"]
+    fast = [dom._Nodes().read(h) for h in pages]
+    monkeypatch.setattr(dom._Nodes, "_read_plain", lambda self, html: False)
+    assert fast == [dom._Nodes().read(h) for h in pages]
+
+
 def test_table_widths(spark):
     col = lambda least, wanted, weight: (float(least), float(wanted), float(weight))
     cases = [
