@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -41,6 +42,9 @@ UNKNOWN = "und"
 BATCH_WORDS = 200_000
 PIECE = 1 << 20
 MAX_LANGUAGES = 500
+#: Steps in which shares are counted; models without a language that a task keeps, and words of each.
+STEPS = 4096
+OTHERS, OTHER_WORDS = 4, 20_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _ENDS = (".", "!", "?", "\n")
@@ -387,24 +391,49 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTE
     return None if sample is None else train(sample)
 
 
-def floors(docs: DataFrame, model: Model, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES) -> tuple[float, float]:
-    """Least ``known`` and ``letters`` of a text in a learned language, from a bounded sample of the held-out fold.
+def floors(docs: DataFrame, model: Model, per_lang: int = PER_LANG) -> tuple[float, float]:
+    """Least ``known`` and ``letters`` of a text in a learned language, from all labelled documents of the held-out fold.
 
     ``known`` is cut a quarter of the way from what ``SURE`` of these documents stay below when their own
     language is left out of the model to what as many reach with it, but at ``SLACK`` of the latter at most;
-    ``letters`` at a third of what ``SURE`` of them reach. Without held-out documents they are 0.5 and 0.25.
+    ``letters`` at a third of what ``SURE`` of them reach. A language of more than ``per_lang`` documents counts as
+    ``per_lang`` of them, so that a large one does not decide alone; values are counted in steps of 1 / ``STEPS``.
+    Without held-out documents they are 0.5 and 0.25.
     """
-    sample = _sample(docs, held_out(F.col("doc_id")), per_lang, train_bytes, MAX_LANGUAGES)
-    sample = None if sample is None else sample[sample["lang"].isin(model.langs)]
-    own = [] if sample is None else [p for p in predict(sample["text"].tolist(), Words(model)) if p[0] != UNKNOWN]
-    if not own:
+    rows = docs.filter(held_out(F.col("doc_id")) & F.col("lang").isin(model.langs) & (F.octet_length("text") > 0)).select("lang", "text")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, others = Words(model), {}
+        for part in parts:
+            out = []
+            for lang, texts in part.groupby("lang")["text"]:
+                texts = texts.tolist()
+                found = [p for p in predict(texts, words) if p[0] != UNKNOWN]
+                out += [(lang, kind, round(p[k] * STEPS)) for p in found for k, kind in ((2, "known"), (3, "letters"))]
+                if len(model.langs) > 1:
+                    if lang not in others:
+                        if len(others) >= OTHERS:
+                            others.pop(next(iter(others)))
+                        others[lang] = Words(model.without(lang), OTHER_WORDS)
+                    out += [(lang, "foreign", round(p[2] * STEPS)) for p in predict(texts, others[lang]) if p[0] != UNKNOWN]
+            yield pd.DataFrame(out, columns=["lang", "kind", "step"])
+
+    counts = rows.mapInPandas(run, "lang string, kind string, step int").groupBy("lang", "kind", "step").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("lang", "kind"))  # at most STEPS + 1 rows a language and kind
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / total)
+    steps = counts.withColumn("w", F.col("n") * share).groupBy("kind", "step").agg(F.sum("w").alias("w")).toPandas()
+
+    def reached(kind: str, q: float) -> float | None:
+        own = steps[steps["kind"] == kind].sort_values("step")
+        if own.empty:
+            return None
+        upto = own["w"].cumsum().to_numpy()
+        return float(own["step"].to_numpy()[np.searchsorted(upto, q * upto[-1] * (1 - 1e-12))]) / STEPS
+
+    known, letters = reached("known", 1 - SURE), reached("letters", 1 - SURE)
+    if known is None:
         return 0.5, 0.25
-    known, letters = (float(np.quantile([p[k] for p in own], 1 - SURE)) for k in (2, 3))
-    foreign = [0.0]
-    if len(model.langs) > 1:
-        for lang, texts in sample.groupby("lang")["text"]:
-            foreign += [p[2] for p in predict(texts.tolist(), Words(model.without(lang))) if p[0] != UNKNOWN]
-    return min(0.25 * known + 0.75 * float(np.quantile(foreign, SURE)), SLACK * known), letters / 3
+    return min(0.25 * known + 0.75 * (reached("foreign", SURE) or 0.0), SLACK * known), letters / 3
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

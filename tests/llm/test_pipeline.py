@@ -1,4 +1,12 @@
+import random
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from docloom.llm import langid
 
 
 def test_stages_take_effect(spark, data):
@@ -70,3 +78,18 @@ def test_awkward_rows(spark, data):
     shards = P.sharding(spark, both, data)
     assert shards.count() == both.count() and shards.filter("doc_id is null").count() == 3
     assert shards.filter("doc_id = 5000002").select("shard").distinct().count() == 1
+
+
+def test_floors_come_from_every_held_out_document(spark):
+    words = {"de": "der hund lief durch das haus und bellte laut", "en": "the house was full of people who sang loud"}
+    rows = [(k, " ".join(random.Random(k).choices(words[lang].split(), k=12)), lang) for k in range(600) for lang in [("de", "en")[k % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_lang=20)
+    assert langid.floors(docs, model, per_lang=20) == langid.floors(docs, model)  # equal languages: weights alone change, no row is left out
+    held = [t for k, t, _ in rows if crc32(str(k).encode()) % 3 == 1]
+    found = langid.predict(held, langid.Words(model))
+    assert langid.floors(docs, model, per_lang=20)[1] == pytest.approx(float(np.quantile([p[3] for p in found], 0.1)) / 3, abs=1e-3)
+    # Odd texts of a rare id order that a small draw would miss move the floor.
+    odd = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" ## 12345 ## 67890 ## 123456789 ## 12345 ## 99999 ##"))).otherwise(F.col("text")))
+    found = langid.predict([r["text"] for r in odd.filter(langid.held_out(F.col("doc_id"))).collect()], langid.Words(model))
+    assert langid.floors(odd, model, per_lang=5)[1] == pytest.approx(float(np.sort([p[3] for p in found])[len(found) // 10]) / 3, abs=1e-3)
