@@ -23,7 +23,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,7 @@ HOT_SHINGLES, HOT_TIMES = 20_000, 64
 #: Groups of up to so many members are compared pair by pair.
 SMALL = 12
 SMALLER_LEADERS = 4
+TOKEN_BITS = 40
 
 
 class WordHashes(dict):
@@ -234,12 +235,12 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, left: list[int], right: li
     return out
 
 
-def group_links(part: dict[str, np.ndarray], sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(a, b) links of one chunk: arrays cls, side (0 or 1), comp and shingles (binary); one side joins itself."""
+def group_links(part: dict[str, np.ndarray], sketch: np.ndarray, percent: int, sets_of: Callable[[str], np.ndarray]) -> list[tuple[int, int]]:
+    """(a, b) links of one chunk: arrays cls, side (0 or 1), comp and text, whose sets ``sets_of`` gives; one side joins itself."""
     cls, side = part["cls"], part["side"]
     if len(cls) < 2:
         return []
-    raw = [np.frombuffer(b, np.uint64) for b in part["shingles"]]
+    raw = [sets_of(text) for text in part["text"]]
     tokens, inv = np.unique(np.concatenate(raw), return_inverse=True)
     count = sketch[(tokens & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.int64)
     rank = np.empty(len(tokens), np.int64)
@@ -307,13 +308,14 @@ def _linked(keyed: DataFrame, n: int, percent: int, group_shingles: int) -> Data
             if tokens:
                 token = np.concatenate(tokens)
                 often = sketch[(token & np.uint64(len(sketch) - 1)).astype(np.int64)] > hot
-                yield pd.DataFrame({"token": token.view(np.int64), "uid": np.concatenate(owner), "often": often})
+                # Forty bits do to name those that meet; what else shares them is told apart by the sets.
+                yield pd.DataFrame({"uid": np.concatenate(owner), "token": (token >> np.uint64(64 - TOKEN_BITS)).view(np.int64), "often": often})
 
-    posts = C.materialise(keyed.mapInPandas(post, "token long, uid long, often boolean"), "trie-posts")
+    posts = C.materialise(keyed.mapInPandas(post, "uid long, token long, often boolean"), "trie-posts")
     leads = lambda p: p.groupBy("token").agg(F.min("uid").alias("leader"), F.max("uid").alias("last")).filter("leader < last").select("token", "leader")
     # The copies of one text have its smallest row as leader, which stands for them. Rare shingles are dealt out once: what finds the
     # leaders and what meets them read the same shuffle. Of frequent ones the leaders are combined before the shuffle, and the join can be split.
-    rare = posts.filter("not often and token is not null and uid is not null").select("token", "uid").repartition("token")
+    rare = posts.filter("not often and token is not null and uid is not null").select("uid", "token").repartition("token")
     frequent = posts.filter("often").select("token", "uid")
     meets = lambda p, lead: p.join(lead, "token").filter("leader <> uid").select("leader", "uid")
     pairs = meets(rare, leads(rare)).unionByName(meets(frequent, C.materialise(leads(frequent), "trie-leaders"))).distinct()
@@ -336,10 +338,10 @@ def _linked(keyed: DataFrame, n: int, percent: int, group_shingles: int) -> Data
         on = np.flatnonzero(possible(part, percent))
         return [(part["leader"][k], part["i"][k], part["j"][k], part["side"][k], part["cls"][k], part["comp"][k]) for k in on]
 
-    def to_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
-        for part in parts:
-            yield pd.DataFrame({"cls": part["uid"], "shingles": [shingle_set(text, n, words).tobytes() for text in part["text"]]})
+    words = WordHashes()  # each task has its own
+
+    def link(part: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        return group_links(part, shared.value, percent, lambda text: shingle_set(text, n, words))
 
     def joined(at: DataFrame, name: str) -> DataFrame:
         """Links (a, b) of chunks: leader, i, j, side, cls, comp, leaders."""
@@ -347,9 +349,10 @@ def _linked(keyed: DataFrame, n: int, percent: int, group_shingles: int) -> Data
         with_bits = at.join(bits.withColumnRenamed("uid", "cls"), "cls")
         left = C.by_group(with_bits, keys, sift, "leader long, i int, j int, side int, cls long, comp long", tasks)
         left = C.materialise(left, f"{name}-partners")
+        # Texts are sent and not their sets: they are shorter, and compress.
         wanted = left.select(F.col("cls").alias("uid")).distinct()
-        sets = C.materialise(keyed.join(wanted, "uid", "left_semi").mapInPandas(to_sets, "cls long, shingles binary"), f"{name}-shingles")
-        links = C.by_group(left.join(sets, "cls"), keys, lambda part: group_links(part, shared.value, percent), "a long, b long", tasks)
+        texts = keyed.join(wanted, "uid", "left_semi").select(F.col("uid").alias("cls"), "text")
+        links = C.by_group(left.join(texts, "cls"), keys, link, "a long, b long", tasks)
         return C.materialise(links.distinct(), f"{name}-links")
 
     links = joined(at.unionByName(heads), "trie-inner")
@@ -401,7 +404,8 @@ def keep_one(docs: DataFrame, n: int, percent: int, group_shingles: int = GROUP_
     found = _linked(keyed, n, percent, group_shingles)
     # Numbers follow doc_id, nulls last, so the smallest number of a component is the row that stays.
     kept = C.materialise(found.filter("uid = component").select("uid"), "trie-kept")
-    return keyed.join(kept, "uid", "left_semi").select(*docs.columns)
+    # Nearly every row stays, so that their numbers grow with the table: a shuffle at any size.
+    return keyed.join(kept.hint("merge"), "uid", "left_semi").select(*docs.columns)
 
 
 def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from docloom.llm import langid
+from docloom.llm import langid, triejoin
 
 
 def test_stages_take_effect(spark, data):
@@ -93,3 +93,9 @@ def test_floors_come_from_every_held_out_document(spark):
     odd = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" ## 12345 ## 67890 ## 123456789 ## 12345 ## 99999 ##"))).otherwise(F.col("text")))
     found = langid.predict([r["text"] for r in odd.filter(langid.held_out(F.col("doc_id"))).collect()], langid.Words(model))
     assert langid.floors(odd, model, per_lang=5)[1] == pytest.approx(float(np.sort([p[3] for p in found])[len(found) // 10]) / 3, abs=1e-3)
+
+
+def test_kept_rows_are_shuffled_at_any_size(spark, capsys):
+    docs = spark.createDataFrame([(k, f"a b c d e f {k // 2}") for k in range(40)], "doc_id long, text string")
+    triejoin.keep_one(docs, 4, 60).explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
