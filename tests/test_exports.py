@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
 from docloom.operators import compliance, dom, exports, flow, graphics, markdown, objects, pages, sheets, text
+from docloom.operators import layout as L
 from docloom.operators import selectors as X
 
 
@@ -176,3 +177,15 @@ def test_counters_and_differences(spark):
     assert _values(spark, list(rows), S.differences(F.filter(F.split("a", " "), lambda x: x != ""))) == list(rows.values())
     line = spark.createDataFrame([("1", "a@b"), ("", "a@b"), (None, None)], "p string, e string").select(S.contact_line(F.col("p"), F.col("e")))
     assert [r[0] for r in line.collect()] == ["1 | a@b", "a@b", ""]
+
+
+def test_spans_are_placed_once(spark, capsys):
+    rows = [(p, float(x), 700.0 - y, 10.0, 0.0, False, f"t{x}") for p in range(3) for y in (0, 20, 40, 60) for x in (0, 100)]
+    spans = spark.createDataFrame(rows, "page long, x double, y double, size double, width double, bold boolean, text string")
+    L.lines(spans).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    exports.page_html(spans).explain()  # placed spans and their cells are stored
+    assert "MapInArrow" not in capsys.readouterr().out
+    exports.page_markdown(spans).explain()
+    assert capsys.readouterr().out.count("MapInArrow") <= 1  # the runs of lines
+    assert [r["line"] for r in L.placed(spans).filter("page = 1").orderBy("y", "x").collect()] == [4, 4, 3, 3, 2, 2, 1, 1]
