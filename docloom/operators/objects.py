@@ -21,8 +21,10 @@ def trim_name(c: Column) -> Column:
 def rectangle(text: Column) -> Column:
     """The four numbers of ``[x0 y0 x1 y1]``; zeros unless there are four, and for what is no number."""
     parts = F.filter(F.split(F.regexp_replace(text, r"^\s*\[|\]\s*$", ""), r"\s+"), lambda x: x != "")
-    numbers = F.transform(parts, lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
-    return F.when(F.size(numbers) == 4, numbers).otherwise(F.array(*[F.lit(0.0)] * 4))
+    zeros = F.array(*[F.lit(0.0)] * 4)
+    # In a list of one, so that the text is taken apart once.
+    numbers = F.transform(F.array(parts), lambda p: F.when(F.size(p) == 4, F.transform(p, lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))).otherwise(zeros))
+    return F.when(F.coalesce(text, F.lit("")) != "", numbers[0]).otherwise(zeros)
 
 
 def annotations(objects: DataFrame) -> DataFrame:
@@ -30,20 +32,25 @@ def annotations(objects: DataFrame) -> DataFrame:
 
     Name, field and value are those of the nearest object above that has them. Parents in a cycle are an error.
     """
-    values = {c: F.col("attrs")[key] for c, key in INHERITED.items()}
-    above = trees.climb(objects, ["file_id"], "object_id", "parent_id", values, lambda own, up: {c: F.coalesce(own[c], up[c]) for c in own})
-    rows = objects.filter("page is not null").join(above, ["file_id", "object_id"])
     own = lambda key: F.coalesce(F.col("attrs")[key], F.lit(""))
     some = lambda c: F.coalesce(c, F.lit(""))
+    shown = objects.withColumns({"subtype": trim_name(own("/Subtype")), "content": own("/Contents"), "rect": F.when(F.col("page").isNotNull(), rectangle(own("/Rect"))), "uri": own("/URI")})
+    values = {c: F.col("attrs")[key] for c, key in INHERITED.items()}
+    kept = ["page", "place", "subtype", "content", "rect", "uri"]
+    rows = trees.climb(shown, ["file_id"], "object_id", "parent_id", values, lambda own, up: {c: F.coalesce(own[c], up[c]) for c in own}, keep=kept).filter("page is not null")
     return rows.select(
-        "file_id", "page", "place", "object_id", trim_name(own("/Subtype")).alias("subtype"), some(F.col("name")).alias("name"), some(trim_name(F.col("field"))).alias("field"), some(trim_name(F.col("value"))).alias("value"),
-        own("/Contents").alias("content"), rectangle(own("/Rect")).alias("rect"), own("/URI").alias("uri"),
+        "file_id", "page", "place", "object_id", "subtype", some(F.col("name")).alias("name"), some(trim_name(F.col("field"))).alias("field"), some(trim_name(F.col("value"))).alias("value"), "content", "rect", "uri",
     )
 
 
+def is_field() -> Column:
+    """Whether a row of ``annotations`` is a form field: a widget with a name."""
+    return (F.col("subtype") == "Widget") & (F.col("name") != "")
+
+
 def form_fields(objects: DataFrame) -> DataFrame:
     """The widgets with a name among the annotations."""
-    return annotations(objects).filter("subtype = 'Widget' and name <> ''")
+    return annotations(objects).filter(is_field())
 
 
 def metadata(info: Column) -> Column:
