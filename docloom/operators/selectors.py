@@ -7,6 +7,7 @@ nodes have an empty tag, ``ancestors`` are node ids from the root down. Order am
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -48,15 +49,46 @@ def attribute_test(attrs: Column, name: str, op: str, value: str = "") -> Column
     return F.coalesce(tests[op], F.lit(False))
 
 
-def with_siblings(tree: DataFrame) -> DataFrame:
-    """The elements of ``tree`` with el_ix, el_n (place and number among element siblings, from 0), type_ix, type_n, prev_id and n_children (text counts)."""
+#: Columns of ``with_siblings``, and those that a pseudo-class reads.
+SIBLINGS = ("el_ix", "el_n", "type_ix", "type_n", "prev_id", "n_children")
+_READS = {"first-child": ("el_ix",), "last-child": ("el_ix", "el_n"), "only-child": ("el_n",), "empty": ("n_children",), "first-of-type": ("type_ix",), "last-of-type": ("type_ix", "type_n")}
+
+
+def sibling_columns(chains: Iterable[Chain]) -> tuple[str, ...]:
+    """Those of ``SIBLINGS`` that matching ``chains`` reads."""
+    reads: set[str] = set()
+
+    def add(s: Simple) -> None:
+        for p in s.pseudo:
+            reads.update(("el_ix",) if p.startswith("nth-child(") else _READS.get(p, ()))
+        for inner in (*s.none_of, *s.any_of):
+            add(inner)
+
+    for chain in chains:
+        add(chain.first)
+        for combinator, s in chain.rest:
+            add(s)
+            if combinator == "+":
+                reads.add("prev_id")
+    return tuple(c for c in SIBLINGS if c in reads)
+
+
+def with_siblings(tree: DataFrame, columns: Iterable[str] = SIBLINGS) -> DataFrame:
+    """The elements of ``tree`` with el_ix, el_n (place and number among element siblings, from 0), type_ix, type_n, prev_id and n_children (text counts).
+
+    Of these only ``columns``, as each costs a sort or, as n_children, a second pass over the tree.
+    """
     elements = tree.filter("tag <> ''")
     same = Window.partitionBy("page_id", "parent_id")
     kind = Window.partitionBy("page_id", "parent_id", "tag")
-    elements = elements.withColumns({
+    places = {
         "el_ix": F.row_number().over(same.orderBy("node_id")) - 1, "prev_id": F.lag("node_id").over(same.orderBy("node_id")),
         "el_n": F.count("*").over(same), "type_ix": F.row_number().over(kind.orderBy("node_id")) - 1, "type_n": F.count("*").over(kind),
-    })
+    }
+    if wanted := {c: place for c, place in places.items() if c in columns}:
+        elements = elements.withColumns(wanted)
+    if "n_children" not in columns:
+        return elements
     children = tree.groupBy("page_id", F.col("parent_id").alias("_p")).agg(F.count("*").alias("n_children"))
     elements = elements.join(children.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("node_id") == F.col("_p")), "left")
     return elements.drop("_page", "_p").withColumn("n_children", F.coalesce("n_children", F.lit(0)))

@@ -25,7 +25,7 @@ e AS (SELECT *, row_number() OVER s - 1 AS el_ix, count(*) OVER (PARTITION BY pa
   (SELECT count(*) FROM tree c WHERE c.page_id = tree.page_id AND c.parent_id = tree.node_id) AS n_children FROM tree WINDOW s AS (PARTITION BY page_id, parent_id ORDER BY node_id))"""
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _elements(spark: SparkSession, sf_dir: str, siblings: tuple[str, ...] = X.SIBLINGS) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     key = lambda c: F.col(c).cast("long")
     text = "array<string>"
@@ -48,7 +48,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
              {"segment": F.col("c_mktsegment"), "phrase": F.concat_ws(" ", "c_mktsegment", "n_name"), "code": F.concat(F.lower("n_name"), F.lit("-"), "c_custkey")}, [F.lit(0), at_nation]),
         rows(orders, _O + key("o_orderkey"), at_customer, F.concat(F.lit("o"), F.lower("o_orderstatus")), nobody, none, {"priority": F.col("o_orderpriority")}, [F.lit(0), at_nation, at_customer]),
     ]
-    return spread(X.with_siblings(reduce(DataFrame.unionByName, parts)), "tree")
+    return spread(X.with_siblings(reduce(DataFrame.unionByName, parts), siblings), "tree")
 
 
 def _simple(**kw) -> Chain:
@@ -127,12 +127,16 @@ def cascade_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("property", "value").agg(F.count("*").alias("n"), F.sum("node_id").alias("sum_nodes"))
 
 
+#: What selectors read of a page's nodes.
+_READ = ["page_id", "node_id", "parent_id", "tag", "id", "classes", "attrs", "ancestors"]
+
+
 @query()
 def selector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectors over parsed pages: rule, n_hits, first_node, sum_nodes."""
-    e = spread(X.with_siblings(dom.nodes(table(spark, sf_dir, "pages"))), "pages-tree")
     chains = [
         ("nav a", _simple(tag="nav").then(" ", Simple(tag="a"))), ("ul > li", _simple(tag="ul").then(">", Simple(tag="li"))), ("li + li", _simple(tag="li").then("+", Simple(tag="li"))),
         ("h1 ~ p", _simple(tag="h1").then("~", Simple(tag="p"))), ("a[href^='/']", _simple(tag="a", attrs=(("href", "^=", "/"),))), ("p:first-of-type", _simple(tag="p", pseudo=("first-of-type",))),
     ]
+    e = spread(X.with_siblings(dom.nodes(table(spark, sf_dir, "pages"), _READ), X.sibling_columns(c for _, c in chains)), "pages-tree")
     return _summary([(n, X.select(e, c)) for n, c in chains])
