@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import scalars as S
 from docloom.operators import trees
-from docloom.session import spread
+from docloom.session import materialise, spread
 
 #: What a property is without any declaration above, in points for sizes.
 INITIAL = {
@@ -40,6 +40,9 @@ FONT_SIZES = {"xx-small": 6.75, "x-small": 7.5, "small": 9.75, "medium": 12.0, "
 FONT_STEPS = {"smaller": 0.833, "larger": 1.2}
 FONT_WEIGHTS = {"normal": 400, "bold": 700, "bolder": 700, "lighter": 300}
 
+#: Fixed value: as many combinations of tag and declarations are broadcast; more are joined by shuffle.
+FEW_LOOKS = 4_096
+
 _TEXTS = [p for p, v in INITIAL.items() if isinstance(v, str)]
 _LENGTHS = ["letter-spacing", "word-spacing", "text-indent", "border-spacing"]
 _KEEPS_NORMAL = ("letter-spacing", "word-spacing")
@@ -77,20 +80,20 @@ def computed(nodes: DataFrame, declared: DataFrame | None = None, root_size: flo
     if declared is None:
         rows = rows.withColumn("declared", none)
     else:
-        maps = declared.groupBy("page_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("property", "value"))).alias("declared"))
+        maps = spread(declared.groupBy("page_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("property", "value"))).alias("declared")), "declared")
         rows = rows.join(maps, ["page_id", "node_id"], "left").withColumn("declared", F.coalesce("declared", none))
-        if not declared.filter(F.col("property").startswith("--")).isEmpty():
+        if not maps.filter(F.exists(F.map_keys("declared"), lambda k: k.startswith("--"))).isEmpty():
             own = F.map_filter("declared", lambda k, v: k.startswith("--"))
             merge = lambda a, up: {"vars": F.map_concat(F.map_filter(F.coalesce(up["vars"], none), lambda k, v: ~F.map_contains_key(a["vars"], k)), a["vars"])}
-            custom = trees.climb(rows, ["page_id"], "node_id", "parent_id", {"vars": own}, merge)
-            rows = rows.join(custom, ["page_id", "node_id"])
+            rows = trees.climb(rows, ["page_id"], "node_id", "parent_id", {"vars": own}, merge, keep=["parent_id", "tag", "declared"])
             rows = rows.withColumn("declared", F.transform_values("declared", lambda k, v: F.when(k.startswith("--"), v).otherwise(S.css_variable(v, F.col("vars"))))).drop("vars")
-    rows = spread(rows, "declared")
     # In steps, so that no expression is written out more than once: texts, then numbers with units, then how they depend on the font.
-    keys = ["page_id", "node_id", "parent_id"]
+    # All this depends on the tag and what is declared only, so it is done once for each combination of these.
+    look = F.array_sort(F.map_entries("declared"))
+    combinations = rows.select("tag", look.alias("_look")).distinct().withColumn("declared", F.map_from_entries("_look"))
     sizes = ["font-size", "line-height", *_LENGTHS]
     text = lambda p: F.col(f"_{_name(p)}")
-    parts = rows.select(*keys, F.col("declared")["color"].alias("_color"), (F.col("tag") == "a").alias("_link"), *[_declared(p).alias(f"_{_name(p)}") for p in INITIAL if p != "color"])
+    parts = combinations.select("tag", "_look", F.col("declared")["color"].alias("_color"), (F.col("tag") == "a").alias("_link"), *[_declared(p).alias(f"_{_name(p)}") for p in INITIAL if p != "color"])
     parts = parts.withColumns({f"_{_name(p)}": F.when(text(p) != "normal", F.lower(F.trim(text(p)))) if p in _KEEPS_NORMAL else F.lower(F.trim(text(p))) for p in [*sizes, "font-weight"]})
     numbers = {p: S.number_and_unit(text(p)) for p in sizes}
     parts = parts.withColumns({f"_n_{_name(p)}": n for p, (n, _) in numbers.items()} | {f"_u_{_name(p)}": u for p, (_, u) in numbers.items()})
@@ -105,8 +108,10 @@ def computed(nodes: DataFrame, declared: DataFrame | None = None, root_size: flo
     for p in _LENGTHS:
         values[_name(p)] = _linear(*S.length_parts(number(p), unit(p), root_size))
     values["line_height"] = _line_height(text("line-height"), number("line-height"), unit("line-height"), F.col("font_size"))
-    climbed = trees.climb(parts, ["page_id"], "node_id", "parent_id", values, _combined)
-    out = rows.select("page_id", "node_id", "tag", "declared").join(climbed, ["page_id", "node_id"])
+    looks = materialise(parts.select(F.col("tag").alias("_tag"), F.col("_look").alias("_same"), *[v.alias(c) for c, v in values.items()]), "looks")
+    looks = F.broadcast(looks) if looks.count() <= FEW_LOOKS else looks.hint("merge")
+    nodes_ = rows.withColumn("_look", look).join(looks, F.col("tag").eqNullSafe(F.col("_tag")) & (F.col("_look") == F.col("_same")))
+    out = trees.climb(nodes_, ["page_id"], "node_id", "parent_id", {c: F.col(c) for c in values}, _combined, keep=["tag", "declared"])
     base = float(INITIAL["font-size"])
     fixed = lambda c: F.coalesce(c["points"], c["per_font"] * base)
     final = {"font_size": fixed(F.col("font_size")), "line_height": F.coalesce(F.col("line_height.points"), F.col("line_height.over_font") / base)}

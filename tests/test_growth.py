@@ -44,3 +44,29 @@ def test_file_annotations_climb_once(spark, data, monkeypatch):
     monkeypatch.setattr(objects.trees, "climb", lambda *a, **k: calls.append(1) or climb(*a, **k))
     assert QUERIES["file_annotations"](spark, data).filter("is_field").count() > 0
     assert len(calls) == 1
+
+
+def test_styles_of_few_and_many_combinations(spark, monkeypatch):
+    from docloom.operators import styles
+
+    rows = [(1, k, k - 1 if k else -1, "p" if k % 2 else "b") for k in range(6)]
+    nodes = spark.createDataFrame(rows, "page_id long, node_id int, parent_id int, tag string")
+    declared = spark.createDataFrame([(1, k, "font-size", f"{k + 1}em") for k in range(3)] + [(1, 4, "color", "#fff")], "page_id long, node_id int, property string, value string")
+    tables, keep = [], styles.materialise
+    monkeypatch.setattr(styles, "materialise", lambda df, name: tables.append(out := keep(df, name)) or out)
+    few = sorted(styles.computed(nodes, declared).drop("other").collect())
+    assert [r["font_size"] for r in few] == [12.0, 24.0, 72.0, 72.0, 72.0, 72.0] and [r["color"] for r in few][3:] == [[0.2] * 3, [1.0] * 3, [1.0] * 3]
+    assert tables[0].count() == 5  # the two p without declarations share one
+    monkeypatch.setattr(styles, "FEW_LOOKS", 0)
+    assert sorted(styles.computed(nodes, declared).drop("other").collect()) == few
+
+
+def test_only_the_sibling_columns_that_selectors_read(spark):
+    from docloom.operators import selectors as X
+
+    chains = [c for text in ("nav a", "li + li", "p:first-of-type", "i:not(b:empty)") for c in X.parse_selectors(text)]
+    assert X.sibling_columns(chains[:1]) == () and X.sibling_columns(chains[:3]) == ("type_ix", "prev_id") and X.sibling_columns(chains) == ("type_ix", "prev_id", "n_children")
+    tree = spark.createDataFrame([(1, 0, -1, "p"), (1, 1, 0, "b"), (1, 2, 0, "")], "page_id long, node_id int, parent_id int, tag string")
+    plain = X.with_siblings(tree, ())
+    assert plain.columns == tree.columns and "Window" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert [r["n_children"] for r in X.with_siblings(tree, ("n_children",)).orderBy("node_id").collect()] == [2, 0]
