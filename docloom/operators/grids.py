@@ -85,7 +85,7 @@ def column_needs(cells: DataFrame, keys: list[str], padding: float = 0.0) -> Dat
 TOC_LEVELS, LEVELS = 3, 6
 
 
-def toc(headings: DataFrame, doc: str, order: str, most: int = TOC_LEVELS) -> DataFrame:
+def toc(headings: DataFrame, doc: str, order: str, most: int = TOC_LEVELS, ordered: bool = False) -> DataFrame:
     """doc, order, level, text, slug, depth (from 1), parent (order of the entry above, or null), number (as 1.2.1) of the headings up to level ``most``.
 
     An entry belongs to the last one of a smaller level, so a skipped level opens one list, not two.
@@ -105,7 +105,7 @@ def toc(headings: DataFrame, doc: str, order: str, most: int = TOC_LEVELS) -> Da
     kind = dict(headings.dtypes)[doc]
     rows = headings.filter(F.col("level") <= most).select(doc, F.col(order).cast("long").alias(order), F.col("level").cast("int").alias("level"), "text", "slug")
     schema = f"`{doc}` {kind}, `{order}` long, level int, text string, slug string, depth int, parent long, number string"
-    return folds.fold_sorted(rows, [doc], [order], lambda: [[0, None, 0]], step, schema)
+    return folds.fold_sorted(rows, [doc], [order], lambda: [[0, None, 0]], step, schema, ordered=ordered)
 
 
 def toc_html(entries: DataFrame, doc: str, order: str) -> DataFrame:

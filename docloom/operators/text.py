@@ -69,7 +69,7 @@ def line_kind(line: Column) -> Column:
     )
 
 
-def unique_slugs(rows: DataFrame, doc: str, order: str, base: str) -> DataFrame:
+def unique_slugs(rows: DataFrame, doc: str, order: str, base: str, ordered: bool = False) -> DataFrame:
     """Adds ``slug``: a heading's own where no heading of its document above has it, else numbered from 2 on until it is free; an empty one is "section"."""
     columns = [doc, order, *[c for c in rows.columns if c not in (doc, order)]]
     at = columns.index(base)
@@ -83,7 +83,7 @@ def unique_slugs(rows: DataFrame, doc: str, order: str, base: str) -> DataFrame:
         return [(*row, slug)]
 
     kinds = dict(rows.dtypes)
-    return folds.fold_sorted(rows, [doc], [order], dict, step, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", slug string")
+    return folds.fold_sorted(rows, [doc], [order], dict, step, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", slug string", ordered=ordered)
 
 
 def front_matter(text: Column) -> Column:
