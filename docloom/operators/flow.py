@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from docloom.operators import folds
 
 # Width of a sign without metrics, in font sizes; where the base line is; least height of a table row besides its padding.
 SIGN_WIDTH, ASCENT, LEAST_ROW = 0.5, 0.8, 12.0
+_PIECES = re.compile(r"[ \t]+|[^ \t]+")
 
 
 def words(runs: DataFrame, keys: list[str], order: str, style: list[str]) -> DataFrame:
@@ -17,28 +20,48 @@ def words(runs: DataFrame, keys: list[str], order: str, style: list[str]) -> Dat
 
     A word ends at a blank or tab, not at the end of a run; neighbouring runs of one style are one part. Signs are taken to be half a font size wide.
     """
-    pieces = runs.select(*keys, order, "size", *[c for c in style if c != "size"], F.posexplode(F.regexp_extract_all("text", F.lit(r"[ \t]+|[^ \t]+"), F.lit(0))).alias("_k", "_t"))
-    at = Window.partitionBy(*keys).orderBy(order, "_k")
-    gap = F.col("_t").rlike(r"^[ \t]")
-    pieces = pieces.withColumn("_gaps", F.sum(gap.cast("long")).over(at)).filter(~gap)
-    look = F.struct(*style)
-    inside = Window.partitionBy(*keys, "_gaps").orderBy(order, "_k")
-    pieces = pieces.withColumn("_look", look).withColumn("_new", (~F.col("_look").eqNullSafe(F.lag("_look").over(inside)) | F.lag("_k").over(inside).isNull()).cast("long"))
-    pieces = pieces.withColumn("_part", F.sum("_new").over(inside)).withColumn("_width", F.length("_t") * F.col("size") * SIGN_WIDTH)
-    order_of = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_k", "_t"))), lambda x: x["_t"]), "").alias(c)
-    parts = pieces.groupBy(*keys, "_gaps", "_part").agg(order_of("text"), F.first("_look").alias("look"), F.sum("_width").alias("_width"), F.max("size").alias("_size"), F.min_by("size", F.struct(order, "_k")).alias("_first"))
-    rows = parts.groupBy(*keys, "_gaps").agg(F.array_sort(F.collect_list(F.struct("_part", "text", "look"))).alias("p"), F.sum("_width").alias("width"), F.max("_size").alias("size"), F.min_by("_first", "_part").alias("_first"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_gaps"))
-    return rows.select(
-        *keys, number.alias("word"), F.transform("p", lambda x: F.struct(*[x["look"][c].alias(c) for c in style], x["text"].alias("text"))).alias("parts"),
-        F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), "width", (F.col("_first") * SIGN_WIDTH).alias("space"), "size",
-    )
-
-
-def wrap(rows: DataFrame, keys: list[str], width: float, indent: float = 0.0, most: int = 0) -> DataFrame:
+    columns = [*keys, order, "text", *style, *(["size"] if "size" not in style else [])]
+    n, at_text = len(keys), len(keys) + 1
+    size_at = columns.index("size")
+    kinds = dict(runs.dtypes)
+
+    def ended(state: dict, key: tuple) -> list[tuple]:
+        if not state["parts"]:
+            return []
+        state["word"] += 1
+        parts = [(*look, "".join(texts)) for look, texts in state["parts"]]
+        row = (*key, state["word"], [dict(zip((*style, "text"), p, strict=True)) for p in parts], "".join(p[-1] for p in parts), state["width"], state["first"] * SIGN_WIDTH, state["size"])
+        state.update(parts=[], width=0.0)
+        return [row]
+
+    def step(state: dict, *row) -> list[tuple]:
+        key, text, look, size = row[:n], row[at_text], row[at_text + 1 : at_text + 1 + len(style)], row[size_at]
+        out: list[tuple] = []
+        for piece in _PIECES.findall(text or ""):
+            if piece[0] in " \t":
+                out += ended(state, key)
+                continue
+            if not state["parts"]:
+                state["first"] = state["size"] = size
+            if not state["parts"] or state["parts"][-1][0] != look:
+                state["parts"].append((look, []))
+            state["parts"][-1][1].append(piece)
+            state["width"] += len(piece) * size * SIGN_WIDTH
+            state["size"] = max(state["size"], size)
+        return out + (ended(state, key) if row[-1] else [])
+
+    # The last run of a group ends its last word.
+    last = F.lead(F.lit(1)).over(Window.partitionBy(*keys).orderBy(order)).isNull().alias("_last")
+    runs = folds.in_order(runs.select(*columns), keys, [order]).select(*columns, last)
+    looks = "".join(f"`{c}`: {kinds[c]}, " for c in style)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", word int, parts array<struct<{looks}text: string>>, text string, width double, space double, size {kinds['size']}"
+    return folds.fold_sorted(runs, keys, [order], lambda: {"word": 0, "parts": [], "width": 0.0}, step, schema, ordered=True)
+
+
+def wrap(rows: DataFrame, keys: list[str], width: float, indent: float = 0.0, most: int = 0, ordered: bool = False) -> DataFrame:
     """Words (keys, word, width, space, ...) with line (from 1), and x, where they start in it. A word that is wider than a line has one of its own.
 
-    The first line is indented. With ``most`` lines, the words that are left over have neither line nor x.
+    The first line is indented. With ``most`` lines, the words that are left over have neither line nor x. ``ordered``: rows stand as ``words`` gave them.
     """
     columns = [*keys, "word", *[c for c in rows.columns if c not in (*keys, "word")]]
     w, s = columns.index("width"), columns.index("space")
@@ -56,7 +79,7 @@ def wrap(rows: DataFrame, keys: list[str], width: float, indent: float = 0.0, mo
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", line int, x double"
-    return folds.fold_sorted(rows, keys, ["word"], lambda: {"line": 1, "x": indent, "words": 0}, step, schema)
+    return folds.fold_sorted(rows, keys, ["word"], lambda: {"line": 1, "x": indent, "words": 0}, step, schema, ordered=ordered)
 
 
 def lines(wrapped: DataFrame, keys: list[str]) -> DataFrame:

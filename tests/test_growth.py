@@ -70,3 +70,48 @@ def test_only_the_sibling_columns_that_selectors_read(spark):
     plain = X.with_siblings(tree, ())
     assert plain.columns == tree.columns and "Window" not in plain._jdf.queryExecution().executedPlan().toString()
     assert [r["n_children"] for r in X.with_siblings(tree, ("n_children",)).orderBy("node_id").collect()] == [2, 0]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_and_lines_from_one_sort_of_runs(spark):
+    from docloom.operators import flow
+
+    runs = spark.createDataFrame([(1, 1, "ab c", "x", 2.0), (1, 2, "d  ", "y", 4.0), (1, 3, "", "x", 2.0), (1, 4, "e", "x", 2.0), (2, 1, "\t", "x", 2.0), (2, 2, None, "x", 2.0), (3, 1, "f", "x", 2.0)], "k int, at int, text string, look string, size double")
+    words = flow.words(runs, ["k"], "at", ["look", "size"])
+    got = [(r["k"], r["word"], r["text"], [(p["look"], p["text"]) for p in r["parts"]], r["width"], r["space"], r["size"]) for r in words.orderBy("k", "word").collect()]
+    assert got == [(1, 1, "ab", [("x", "ab")], 2.0, 1.0, 2.0), (1, 2, "cd", [("x", "c"), ("y", "d")], 3.0, 1.0, 4.0), (1, 3, "e", [("x", "e")], 1.0, 1.0, 2.0), (3, 1, "f", [("x", "f")], 1.0, 1.0, 2.0)]
+    plan = _plan(flow.wrap(words.drop("parts"), ["k"], 40.0, ordered=True))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("- Sort ") == 1
+
+
+def test_contents_from_one_sort_of_lines(spark, data):
+    from docloom.plans.registry import QUERIES
+
+    plan = _plan(QUERIES["toc_entries"](spark, data))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("- Sort ") == 1
+
+
+def test_sums_and_searches_are_not_repeated(spark):
+    from docloom.functions import scalars as S
+    from docloom.operators import markdown
+
+    columns = F.transform(F.sequence(F.lit(1), F.col("id")), lambda i: F.struct(i.cast("double").alias("least"), (i * 2.0).alias("wanted"), F.lit(1.0).alias("weight")))
+    widths = spark.range(3, 4).select(S.table_widths(columns, F.lit(9.0)).alias("w"))
+    assert [round(x, 6) for x in widths.first()["w"]] == [1.5, 3.0, 4.5] and _plan(widths).count("aggregate(") <= 4
+    refs = F.create_map(F.lit("r"), F.struct(F.lit("u").alias("url"), F.lit("").alias("title")))
+    html = spark.createDataFrame([("[a][R] [b[c][] [r][] <[d][[r]",), (None,)], "t string").select(markdown.inline_html(F.col("t"), refs).alias("h"))
+    assert [r["h"] for r in html.collect()] == ['<a href="u">a</a> [b[c][] <a href="u">r</a> &lt;[d][[r]', None]
+    assert _plan(html).count("regexp_extract_all(") == 1
+
+
+def test_outline_parents_are_not_broadcast(spark, data, monkeypatch):
+    from docloom.plans import export_queries
+
+    plans = []
+    monkeypatch.setattr(export_queries, "spread", lambda df, name: plans.append(_plan(df)) or df)
+    monkeypatch.setattr(export_queries.objects, "outlines", lambda items: items.select("file_id", "object_id", *[F.lit(0).alias(c) for c in ("depth", "place", "number", "descendants")]))
+    export_queries.outline_items(spark, data)
+    assert plans and "BroadcastHashJoin" not in plans[0]
