@@ -20,16 +20,20 @@ def _references(text: Column, refs: Column | None, known, unknown) -> Column:
     """Each [text][name] by ``known(text, ref)`` where ``refs`` (lower-case name to struct<url, title>) has the name, or the text if that is empty; else ``unknown(match, text)``."""
     if refs is None:
         return text
-    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
 
     def one(m: Column) -> Column:
-        label, name = F.regexp_extract(m, REFERENCE, 1), F.regexp_extract(m, REFERENCE, 2)
+        # Neither part holds a closing bracket, so a match is cut where the first ends.
+        label, name = F.substring_index(F.substring(m, F.lit(2), F.length(m)), "]", 1), F.substring_index(F.substring_index(m, "][", -1), "]", 1)
         ref = refs[F.lower(F.when(name == "", label).otherwise(name))]
         return F.when(ref.isNotNull(), known(label, ref)).otherwise(unknown(m, label))
 
-    pieces = F.split(text, REFERENCE, -1)
-    joined = F.transform(F.arrays_zip(pieces.alias("p"), F.transform(found, one).alias("m")), lambda z: F.concat(z["p"], F.coalesce(z["m"], F.lit(""))))
-    return F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text)
+    def joined(x: Column) -> Column:
+        pieces = F.split(x["text"], REFERENCE, -1)
+        return F.when(F.size(x["found"]) > 0, F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), F.transform(x["found"], one).alias("m")), lambda z: F.concat(z["p"], F.coalesce(z["m"], F.lit("")))), "")).otherwise(x["text"])
+
+    # In lists of one, so that neither the text, which is itself an expression, nor the search is repeated.
+    searched = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)).alias("found")))
+    return F.transform(searched, joined)[0]
 
 
 def inline_html(text: Column, refs: Column | None = None) -> Column:
