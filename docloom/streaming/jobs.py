@@ -85,50 +85,56 @@ def _by_user():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
-_STATE = "open array<long>, state string, pending array<struct<us:long,event_id:long,event_type:string>>"
+_OUT = "user string, created long, n_events long, n_errors long, state string"
+_STATE = "jobs array<struct<user:string,created:long,n_events:long,n_errors:long,state:string>>, pending array<struct<us:long,event_id:long,user:string,event_type:string>>"
 
+#: Fixed value: users of a stream are dealt into as many buckets; those of a bucket share a state, so that it is read and written once a batch and not once a user.
+BUCKETS = 256
 
-def job_stream(events: DataFrame, ttl_minutes: int = TTL_MINUTES, late_minutes: int = 10) -> DataFrame:
+
+def job_stream(events: DataFrame, ttl_minutes: int = TTL_MINUTES, late_minutes: int = 10, buckets: int = BUCKETS) -> DataFrame:
     """``jobs`` as a stream: a row for each job once the watermark says that it has expired.
 
-    A user's state holds the open job and the events that the watermark has not reached, which may come in any order; what comes more than
-    ``late_minutes`` behind the newest event is dropped. A timer on the event time wakes a user whose next event or expiry is due.
+    The state of a bucket of users holds their open jobs and the events that the watermark has not reached, which may come in any order; what comes more than
+    ``late_minutes`` behind the newest event is dropped. A timer on the event time wakes a bucket in which the next event or expiry is due.
     """
     ttl = ttl_minutes * 60_000_000
 
     def wake(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, name, pending = state.get if state.exists else ([], "", [])
-        job = [*opened, name] if opened else None
+        opened, pending = state.get if state.exists else ([], [])
+        jobs_ = {j[0]: list(j[1:]) for j in opened}
         waiting = [tuple(p) for p in pending]
         mark = max(state.getCurrentWatermarkMs(), 0) * 1000
         for b in batches:
-            waiting += [e for e in zip(b["us"].tolist(), b["event_id"].tolist(), b["event_type"].tolist(), strict=True) if e[0] > mark]
-        waiting.sort()
-        out, n = [], 0
-        for us, _, kind in waiting:
+            waiting += [e for e in zip(b["us"].tolist(), b["event_id"].tolist(), b["user"].tolist(), b["event_type"].tolist(), strict=True) if e[0] > mark]
+        waiting.sort(key=lambda e: e[:2])
+        out: list[tuple] = []
+        n = 0
+        for us, _, user, kind in waiting:
             if us > mark:
                 break
-            job, gone = _after(job, us, kind, ttl)
-            out += [gone] if gone else []
+            jobs_[user], gone = _after(jobs_.get(user), us, kind, ttl)
+            out += [(user, *gone)] if gone else []
             n += 1
         waiting = waiting[n:]
-        if job is not None and mark - job[0] > ttl:  # what waits is later than the watermark
-            out.append(job)
-            job = None
-        if job is None and not waiting:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((job[:3] if job else [], job[3] if job else "", waiting))
-            due = min([job[0] + ttl + 1_000] if job else [], [waiting[0][0]] if waiting else [], key=lambda x: x or [1 << 62])[0]
-            state.setTimeoutTimestamp(max(due // 1000 + 1, mark // 1000 + 1))
-        rows = [(key[0], pd.Timestamp(j[0], unit="us"), j[1], j[2], j[3], pd.Timestamp(j[0] + ttl, unit="us")) for j in out]
-        if rows:
-            yield pd.DataFrame(rows, columns=["user_id", "created", "n_events", "n_errors", "state", "expires"])
+        for user in [u for u, j in jobs_.items() if mark - j[0] > ttl]:  # what waits is later than the watermark
+            out.append((user, *jobs_.pop(user)))
+        if jobs_ or waiting:
+            state.update(([(u, *j) for u, j in jobs_.items()], waiting))
+            due = min([j[0] + ttl for j in jobs_.values()] + [e[0] - 1 for e in waiting[:1]])
+            state.setTimeoutTimestamp(max(due // 1000, mark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(dict(zip(("user", "created", "n_events", "n_errors", "state"), zip(*out, strict=True), strict=True)))
 
     at = F.col("ts").cast("timestamp")
     rows = events.filter("ts is not null").select("user_id", at.alias("ts"), F.unix_micros(at).alias("us"), "event_id", "event_type").withWatermark("ts", f"{late_minutes} minutes")
-    return rows.groupBy("user_id").applyInPandasWithState(wake, JOB, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # As text, users may be missing; a column of numbers with gaps would reach Python as doubles.
+    dealt = rows.select(F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), F.col("user_id").cast("string").alias("user"), "ts", "us", "event_id", "event_type")
+    found = dealt.groupBy("bucket").applyInPandasWithState(wake, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    created = F.col("created")
+    return found.select(F.col("user").cast("long").alias("user_id"), F.timestamp_micros(created).alias("created"), "n_events", "n_errors", "state", F.timestamp_micros(created + ttl).alias("expires"))
 
 
 def finished_jobs(spark: SparkSession, path: str, shared: str, ttl_minutes: int = TTL_MINUTES, late_minutes: int = 10, files_each: int | None = None) -> DataFrame:
@@ -138,7 +144,9 @@ def finished_jobs(spark: SparkSession, path: str, shared: str, ttl_minutes: int
     source = spark.readStream.schema(schema)
     if files_each:
         source = source.option("maxFilesPerTrigger", files_each)
-    stream = job_stream(source.parquet(path + "*"), ttl_minutes, late_minutes)
+    # About five thousand rows a bucket, however large the table is.
+    buckets = max(BUCKETS, spark.read.parquet(path).count() // 5_000)
+    stream = job_stream(source.parquet(path + "*"), ttl_minutes, late_minutes, buckets)
     query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").format("parquet").option("path", f"{out}/result").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(JOB).parquet(f"{out}/result")

@@ -115,3 +115,18 @@ def test_outline_parents_are_not_broadcast(spark, data, monkeypatch):
     monkeypatch.setattr(export_queries.objects, "outlines", lambda items: items.select("file_id", "object_id", *[F.lit(0).alias(c) for c in ("depth", "place", "number", "descendants")]))
     export_queries.outline_items(spark, data)
     assert plans and "BroadcastHashJoin" not in plans[0]
+
+
+def test_job_stream_keeps_a_state_for_a_bucket_of_users(spark, tmp_path):
+    from docloom.streaming import jobs
+
+    events = spark.createDataFrame([(u, 1_000_000 + 60 * m + u, k) for u in range(200) for m, k in ((0, "view"), (20, "purchase"), (45, "error"), (200, "view"))], "user_id long, s long, event_type string")
+    events = events.select("user_id", F.timestamp_seconds("s").alias("ts"), F.col("s").alias("event_id"), "event_type")
+    events = events.unionByName(events.filter("user_id = 7").withColumn("user_id", F.lit(None).cast("long")))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    shared = str(tmp_path / "shared")
+    got = jobs.finished_jobs(spark, str(tmp_path / "events.parquet"), shared)
+    want = jobs.jobs(events).filter(F.unix_micros("created") < 1_012_000_000_000)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 402
+    state = spark.read.format("statestore").load(next(p for p in (tmp_path / "shared").iterdir()).as_posix() + "/state")
+    assert state.count() < 200
