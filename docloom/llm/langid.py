@@ -31,6 +31,7 @@ from . import common as C
 PER_LANG = 250
 TRAIN_BYTES = 20_000
 TRAIN_CHAINS = 2500
+TRAIN_CELLS = 1 << 17
 CHAIN = 64
 HASHED = 1 << 16
 ROUNDS = 40
@@ -97,12 +98,13 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (code[at] << np.uint64(42)) | (code[at + 1] << np.uint64(21)) | code[at + 2], owner[at]
 
 
-def _common(texts: list[list[str]]) -> np.ndarray:
+def _common(texts: Iterator[set[str]]) -> np.ndarray:
     """Trigrams in two of the texts at least and in ``COMMON`` of them, so that a stray text does not make itself known."""
-    if not texts:
+    found = [np.unique(trigrams(list(t))[0]) for t in texts if t]
+    if not found:
         return np.zeros(0, np.uint64)
-    code, n = np.unique(np.concatenate([np.unique(trigrams(t)[0]) for t in texts]), return_counts=True)
-    return code[n >= max(min(2, len(texts)), COMMON * len(texts))]
+    code, n = np.unique(np.concatenate(found), return_counts=True)
+    return code[n >= max(min(2, len(found)), COMMON * len(found))]
 
 
 class Model:
@@ -167,53 +169,75 @@ def chains_of(text: str) -> list[list[str]]:
     return [c for c in out if c]
 
 
+def _blocks(lengths: np.ndarray, cells: int) -> list[int]:
+    """Where to cut chains sorted by falling length, so that each block, filled up to its longest, has at most ``cells`` words or one chain."""
+    cuts = [0]
+    while cuts[-1] < len(lengths):
+        cuts.append(min(len(lengths), cuts[-1] + max(1, cells // int(lengths[cuts[-1]]))))
+    return cuts
+
+
 def train(sample: pd.DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """A model from columns text and lang; None without labelled words."""
+    """A model from columns text and lang; None without labelled words.
+
+    The driver trains: chains are held as numbers, and posteriors are made for ``TRAIN_CELLS`` of words by languages at a time.
+    """
     langs = sorted(sample["lang"].unique())
-    own, grams = [], []
-    for y, lang in enumerate(langs):
-        texts = [chains_of(text) for text in sample.loc[sample["lang"] == lang, "text"].unique()]
-        grams.append(_common([list({w for c in t for w in c}) for t in texts if t]))
-        found = [c for text in sample.loc[sample["lang"] == lang, "text"] for c in chains_of(text)]
-        keep = np.unique(np.linspace(0, len(found) - 1, min(len(found), TRAIN_CHAINS)).astype(int)) if found else []
-        own.append([(found[i], [y] * len(found[i])) for i in keep])
+    vocab: dict[str, int] = {}
+    own: list[list[np.ndarray]] = []
+    grams = []
+    for lang in langs:
+        # Texts are taken apart once to count their chains and once to keep some, so that words of one text at a time are held.
+        texts = sample.loc[sample["lang"] == lang, "text"].tolist()
+        grams.append(_common({w for c in chains_of(t) for w in c} for t in dict.fromkeys(texts)))
+        n = sum(len(chains_of(t)) for t in texts)
+        keep = set(np.linspace(0, n - 1, min(n, TRAIN_CHAINS)).astype(int).tolist()) if n else set()
+        found = (c for t in texts for c in chains_of(t))
+        own.append([np.array([vocab.setdefault(x, len(vocab)) for x in c], np.int32) for i, c in enumerate(found) if i in keep])
     if not any(own):
         return None
-    data = [c for part in own for c in part]
-    full = [p for p in own if p]
+    data = [(c, np.full(len(c), y, np.int16)) for y, part in enumerate(own) for c in part]
+    full = [[(c, y) for c in part] for y, part in enumerate(own) if part]
     if len(full) > 1:
         # Splice halves of sentences of two languages.
         for i in range(len(data) // 3):
             (w1, y1), (w2, y2) = (full[(i + j) % len(full)][(i * 7 + j) % len(full[(i + j) % len(full)])] for j in (0, 1 + i % (len(full) - 1)))
-            data.append((w1[: CHAIN // 2] + w2[: CHAIN // 2], y1[: CHAIN // 2] + y2[: CHAIN // 2]))
+            w1, w2 = w1[: CHAIN // 2], w2[: CHAIN // 2]
+            data.append((np.concatenate([w1, w2]), np.repeat(np.array([y1, y2], np.int16), [len(w1), len(w2)])))
     data.sort(key=lambda c: -len(c[0]))
     lengths = np.array([len(w) for w, _ in data])
-    vocab: dict[str, int] = {}
-    ids = np.full((len(data), lengths[0]), -1)
-    gold = np.full(ids.shape, -1)
-    for k, (w, y) in enumerate(data):
-        ids[k, : len(w)] = [vocab.setdefault(x, len(vocab)) for x in w]
-        gold[k, : len(w)] = y
+    ids, gold = (np.concatenate([c[k] for c in data]) for k in (0, 1))
+    ends = np.cumsum(lengths)
+    del data, own, full
     flat, owner = features(list(vocab))
-    n_lang, on = len(langs), ids >= 0
-    total = on.sum()
-    observed = np.zeros((len(vocab), n_lang))
-    np.add.at(observed, (ids[on], gold[on]), 1.0)
-    both = on[:, 1:] & on[:, :-1]
-    seen_pairs = np.bincount((gold[:, :-1][both] * n_lang + gold[:, 1:][both]), minlength=n_lang**2).reshape(n_lang, n_lang)
-    seen_start = np.bincount(gold[:, 0], minlength=n_lang)
+    n_lang, n_words = len(langs), len(vocab)
+    total = len(ids)
+    first = np.zeros(total, bool)
+    first[ends - lengths] = True
+    observed = np.bincount(gold.astype(np.int64) * n_words + ids, minlength=n_lang * n_words).reshape(n_lang, n_words)
+    seen_pairs = np.bincount((gold[:-1].astype(np.int64) * n_lang + gold[1:])[~first[1:]], minlength=n_lang**2).reshape(n_lang, n_lang)
+    seen_start = np.bincount(gold[first], minlength=n_lang)
+    cuts = _blocks(lengths, TRAIN_CELLS // n_lang)
     params = [np.zeros((HASHED, n_lang)), np.zeros((n_lang, n_lang)), np.zeros(n_lang)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
         w, tr, st = params
-        word = np.stack([np.bincount(owner, w[flat, y], minlength=len(vocab)) for y in range(n_lang)], axis=1)
+        word = np.stack([np.bincount(owner, w[flat, y], minlength=n_words) for y in range(n_lang)], axis=1)
         word = np.exp(word - word.max(axis=1, keepdims=True))
-        e = np.where(on[..., None], word[ids], 1.0)
-        g, pairs, _ = posteriors(e, lengths, np.exp(tr), np.exp(st), True)
-        expected = np.stack([np.bincount(ids[on], g[..., y][on], minlength=len(vocab)) for y in range(n_lang)], axis=1)
+        expected, pairs, starts = np.zeros((n_lang, n_words)), np.zeros((n_lang, n_lang)), np.zeros(n_lang)
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            on = np.arange(lengths[a]) < lengths[a:z, None]
+            part = ids[ends[a] - lengths[a] : ends[z - 1]]
+            e = np.ones((*on.shape, n_lang))
+            e[on] = word[part]
+            g, more, _ = posteriors(e, lengths[a:z], np.exp(tr), np.exp(st), True)
+            pairs += more
+            starts += g[:, 0].sum(axis=0)
+            for y in range(n_lang):
+                np.add.at(expected[y], part, g[..., y][on])
         d_word = (expected - observed) / total
-        d_w = np.stack([np.bincount(flat, d_word[owner, y], minlength=HASHED) for y in range(n_lang)], axis=1)
-        grads = [d_w + RIDGE * w / HASHED, (pairs - seen_pairs) / total, (g[:, 0].sum(axis=0) - seen_start) / total]
+        d_w = np.stack([np.bincount(flat, d_word[y][owner], minlength=HASHED) for y in range(n_lang)], axis=1)
+        grads = [d_w + RIDGE * w / HASHED, (pairs - seen_pairs) / total, (starts - seen_start) / total]
         for i, d in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.99 * v[i] + 0.01 * d * d

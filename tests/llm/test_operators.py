@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -549,3 +550,20 @@ def test_numbering_is_gapless(spark):
     out = C.numbered(df, ["g"], [F.col("id")], F.floor(F.col("id") / 100), "k").collect()
     for g in range(3):
         assert [k for _, k in sorted((r["id"], r["k"]) for r in out if r["g"] == g)] == list(range(sum(r["g"] == g for r in out)))
+
+
+def test_training_holds_blocks_of_chains():
+    """The driver trains: what it holds at once must not grow with all chains filled up to the longest."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = lambda letters: ". ".join(" ".join("".join(rng.choice(list(letters), 3)) for _ in range(60)) for _ in range(20))
+    sample = pd.DataFrame([(lang, text(letters)) for lang, letters in (("a", "abcdef"), ("b", "uvwxyz")) for _ in range(100)], columns=["lang", "text"])
+    tracemalloc.start()
+    model = langid.train(sample, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [p[0] for p in langid.predict(["abc fed", "xyz uvw"], langid.Words(model))] == ["a", "b"]
+    assert peak < 24e6
+    lengths = np.array([64, 64, 10, 3, 3, 1])
+    assert langid._blocks(lengths, 64) == [0, 1, 2, 6] and langid._blocks(lengths, 1) == [0, 1, 2, 3, 4, 5, 6] and langid._blocks(lengths[:0], 9) == [0]
