@@ -130,3 +130,26 @@ def test_job_stream_keeps_a_state_for_a_bucket_of_users(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 402
     state = spark.read.format("statestore").load(next(p for p in (tmp_path / "shared").iterdir()).as_posix() + "/state")
     assert state.count() < 200
+
+
+def test_reachable_deals_rows(spark, monkeypatch):
+    """Tables that a walk writes come from tasks of about as many rows, however well the rows compress."""
+    from docloom import session
+
+    most, spread = [], trees.spread
+
+    def watch(df, name):
+        most.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] or 0)
+        return spread(df, name)
+
+    monkeypatch.setattr(trees, "spread", watch)
+    monkeypatch.setattr(session, "ROWS_EACH", 200, raising=False)
+    n = F.col("id")
+    edges = spark.range(2000).select(F.lit("f").alias("g"), n.alias("src"), ((n + 1000) % 2000).alias("dst"))
+    edges = edges.unionByName(edges).unionByName(spark.createDataFrame([("g", 1, 1), ("g", 1, 2), ("g", 2, 1), (None, 1, 2), ("g", None, 3)], "g string, src long, dst long"))
+    starts = spark.createDataFrame([("g", 1), ("g", 1), (None, 1)], "g string, node long").unionByName(spark.range(1000).select(F.lit("f").alias("g"), n.alias("node")))
+    got = {(r["g"], r["node"]): r["depth"] for r in trees.reachable(edges, starts, ["g"], 5).collect()}
+    assert got == {("f", k): int(k >= 1000) for k in range(2000)} | {("g", 1): 0, ("g", 2): 1, (None, 1): 0}
+    assert max(most) <= 400
+    keyed = spark.createDataFrame([("f", 1500, 1), ("f", 1400, 1), ("g", 2, 1), ("g", 1, 0)], "g string, node long, k int")
+    assert sorted(map(tuple, trees.with_key(keyed, edges, starts, ["g"], F.col("k") == 1, 5).collect())) == [("f", 1400, 1), ("g", 2, 1)]
