@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,59 @@ from docloom.operators import folds
 
 # Width of a sign without metrics, in font sizes; where the base line is; least height of a table row besides its padding.
 SIGN_WIDTH, ASCENT, LEAST_ROW = 0.5, 0.8, 12.0
-_PIECES = re.compile(r"[ \t]+|[^ \t]+")
+_WORD = re.compile(r"[^ \t]+")
+
+
+class _Open:
+    """A word that runs are being read into: its texts by style, its width, the size of its first run and its largest one."""
+
+    __slots__ = ("parts", "width", "first", "size")
+
+    def __init__(self):
+        self.parts, self.width, self.first, self.size = [], 0.0, None, None
+
+    def read(self, text: str | None, look: tuple, size: float) -> Iterator[tuple]:
+        """The words that end in a run, as (parts, text, width, space, size)."""
+        for m in _WORD.finditer(text or ""):
+            if m.start() and self.parts:
+                yield from self.ended()
+            piece, parts = m.group(), self.parts
+            if not parts and m.end() < len(text):
+                yield [(look, piece)], piece, len(piece) * size * SIGN_WIDTH, size * SIGN_WIDTH, size
+                continue
+            if not parts:
+                self.first = self.size = size
+            if not parts or parts[-1][0] != look:
+                parts.append((look, []))
+            parts[-1][1].append(piece)
+            self.width += len(piece) * size * SIGN_WIDTH
+            self.size = max(self.size, size)
+        if text and text[-1] in " \t":
+            yield from self.ended()
+
+    def ended(self) -> Iterator[tuple]:
+        if self.parts:
+            parts = [(look, "".join(texts)) for look, texts in self.parts]
+            word = (parts, "".join([text for _, text in parts]), self.width, self.first * SIGN_WIDTH, self.size)
+            self.parts, self.width = [], 0.0
+            yield word
+
+
+class _Line:
+    """Where a line that is being filled ends, and its number and number of words."""
+
+    __slots__ = ("line", "x", "words")
+
+    def __init__(self, indent: float):
+        self.line, self.x, self.words = 1, indent, 0
+
+    def place(self, word: float, space: float, width: float) -> float:
+        """Where a word starts, on this line or on the next one."""
+        x = self.x + (space if self.words else 0.0)
+        if self.words and x + word > width:
+            self.line, self.words, x = self.line + 1, 0, 0.0
+        self.x, self.words = x + word, self.words + 1
+        return x
 
 
 def words(runs: DataFrame, keys: list[str], order: str, style: list[str]) -> DataFrame:
@@ -25,37 +78,17 @@ def words(runs: DataFrame, keys: list[str], order: str, style: list[str]) -> Dat
     size_at = columns.index("size")
     kinds = dict(runs.dtypes)
 
-    def ended(state: dict, key: tuple) -> list[tuple]:
-        if not state["parts"]:
-            return []
-        state["word"] += 1
-        parts = [(*look, "".join(texts)) for look, texts in state["parts"]]
-        row = (*key, state["word"], [dict(zip((*style, "text"), p, strict=True)) for p in parts], "".join(p[-1] for p in parts), state["width"], state["first"] * SIGN_WIDTH, state["size"])
-        state.update(parts=[], width=0.0)
-        return [row]
+    def rows(state: dict, key: tuple, found: Iterator[tuple]) -> Iterator[tuple]:
+        for parts, *rest in found:
+            state["word"] += 1
+            yield (*key, state["word"], [dict(zip((*style, "text"), (*look, text), strict=True)) for look, text in parts], *rest)
+
+    def step(state: dict, *row) -> Iterator[tuple]:
+        return rows(state, row[:n], state["open"].read(row[at_text], row[at_text + 1 : at_text + 1 + len(style)], row[size_at]))
 
-    def step(state: dict, *row) -> list[tuple]:
-        key, text, look, size = row[:n], row[at_text], row[at_text + 1 : at_text + 1 + len(style)], row[size_at]
-        out: list[tuple] = []
-        for piece in _PIECES.findall(text or ""):
-            if piece[0] in " \t":
-                out += ended(state, key)
-                continue
-            if not state["parts"]:
-                state["first"] = state["size"] = size
-            if not state["parts"] or state["parts"][-1][0] != look:
-                state["parts"].append((look, []))
-            state["parts"][-1][1].append(piece)
-            state["width"] += len(piece) * size * SIGN_WIDTH
-            state["size"] = max(state["size"], size)
-        return out + (ended(state, key) if row[-1] else [])
-
-    # The last run of a group ends its last word.
-    last = F.lead(F.lit(1)).over(Window.partitionBy(*keys).orderBy(order)).isNull().alias("_last")
-    runs = folds.in_order(runs.select(*columns), keys, [order]).select(*columns, last)
     looks = "".join(f"`{c}`: {kinds[c]}, " for c in style)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", word int, parts array<struct<{looks}text: string>>, text string, width double, space double, size {kinds['size']}"
-    return folds.fold_sorted(runs, keys, [order], lambda: {"word": 0, "parts": [], "width": 0.0}, step, schema, ordered=True)
+    return folds.fold_sorted(runs.select(*columns), keys, [order], lambda: {"word": 0, "open": _Open()}, step, schema, end=lambda state, *key: rows(state, key, state["open"].ended()))
 
 
 def wrap(rows: DataFrame, keys: list[str], width: float, indent: float = 0.0, most: int = 0, ordered: bool = False) -> DataFrame:
@@ -66,20 +99,49 @@ def wrap(rows: DataFrame, keys: list[str], width: float, indent: float = 0.0, mo
     columns = [*keys, "word", *[c for c in rows.columns if c not in (*keys, "word")]]
     w, s = columns.index("width"), columns.index("space")
 
-    def step(state: dict, *row) -> list[tuple]:
-        if state["line"] > most > 0:
-            return [(*row, None, None)]
-        x = state["x"] + (row[s] if state["words"] else 0.0)
-        if state["words"] and x + row[w] > width:
-            state["line"], state["words"], x = state["line"] + 1, 0, 0.0
-            if state["line"] > most > 0:
-                return [(*row, None, None)]
-        state["x"], state["words"] = x + row[w], state["words"] + 1
-        return [(*row, state["line"], x)]
+    def step(state: _Line, *row) -> list[tuple]:
+        x = state.place(row[w], row[s], width) if not state.line > most > 0 else 0.0
+        return [(*row, None, None) if state.line > most > 0 else (*row, state.line, x)]
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", line int, x double"
-    return folds.fold_sorted(rows, keys, ["word"], lambda: {"line": 1, "x": indent, "words": 0}, step, schema, ordered=ordered)
+    return folds.fold_sorted(rows, keys, ["word"], lambda: _Line(indent), step, schema, ordered=ordered)
+
+
+def run_lines(runs: DataFrame, keys: list[str], order: str, width: float, indent: float = 0.0) -> DataFrame:
+    """What ``lines`` gives for the wrapped words of runs (keys, order, text, size), and words, their number: in one pass over the sorted runs, from which only lines come.
+
+    A task holds a word and a line; words are neither shuffled nor handed from step to step.
+    """
+    n = len(keys)
+    kinds = dict(runs.dtypes)
+
+    def ended(state: dict, key: tuple) -> tuple:
+        return (*key, state["line"], " ".join(state["texts"]), state["width"], state["height"], state["height"] * ASCENT, len(state["texts"]))
+
+    def rows(state: dict, key: tuple, found: Iterator[tuple]) -> Iterator[tuple]:
+        at, texts = state["at"], state["texts"]
+        for _, text, word, space, size in found:
+            at.place(word, space, width)
+            if texts and at.words == 1:
+                yield ended(state, key)
+                texts.clear()
+            if texts:
+                state["width"], state["height"] = max(state["width"], at.x), max(state["height"], size)
+            else:
+                state["line"], state["width"], state["height"] = at.line, at.x, size
+            texts.append(text)
+
+    def step(state: dict, *row) -> Iterator[tuple]:
+        return rows(state, row[:n], state["open"].read(row[n + 1], (), row[n + 2]))
+
+    def end(state: dict, *key) -> Iterator[tuple]:
+        yield from rows(state, key, state["open"].ended())
+        if state["texts"]:
+            yield ended(state, key)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", line int, text string, width double, height {kinds['size']}, ascent double, words int"
+    return folds.fold_sorted(runs.select(*keys, order, "text", "size"), keys, [order], lambda: {"open": _Open(), "at": _Line(indent), "texts": []}, step, schema, end=end)
 
 
 def lines(wrapped: DataFrame, keys: list[str]) -> DataFrame:

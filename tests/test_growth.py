@@ -87,6 +87,46 @@ def test_words_and_lines_from_one_sort_of_runs(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("- Sort ") == 1
 
 
+def test_lines_from_one_pass_over_runs(spark, data):
+    from docloom.operators import flow
+    from docloom.plans.registry import QUERIES
+
+    texts = ["ab c", "d  ", "", "e fgh", "\tij", None, " ", "klmnopqrstuvwxyz", "a b c d e f g h ", "i"]
+    runs = spark.createDataFrame([(k, at, text, 2.0 + (k + at) % 3) for k in range(4) for at, text in enumerate(texts * 3) if k < 3 or not (text or "").strip()], "k int, at int, text string, size double")
+    for width, indent in ((9.0, 0.0), (30.0, 5.0)):
+        want = flow.lines(flow.wrap(flow.words(runs, ["k"], "at", []), ["k"], width, indent), ["k"])
+        got = flow.run_lines(runs, ["k"], "at", width, indent)
+        assert sorted(got.drop("words").collect()) == sorted(want.select(*got.drop("words").columns).collect())
+        assert all(r["words"] == len(r["text"].split(" ")) for r in got.collect()) and {r["k"] for r in got.collect()} == {0, 1, 2}
+    plan = _plan(QUERIES["wrapped_lines"](spark, data))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_folds_hand_on_a_bounded_number_of_rows():
+    import pyarrow as pa
+
+    from docloom.operators import folds
+
+    class Rows:
+        columns = ["k", "at"]
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run
+
+    read = []
+
+    def step(state, k, at):
+        read.append(at)
+        return ((k, at * 10_000 + i) for i in range(10_000))
+
+    run = folds.fold_sorted(Rows(), ["k"], ["at"], lambda: None, step, "k long, i long", ordered=True)
+    out = run(iter([pa.record_batch({"k": [1] * 10, "at": list(range(10))})]))
+    first = next(out)
+    assert read == [0] and first.num_rows <= 4096
+    rest = list(out)
+    assert max(b.num_rows for b in rest) <= 4096
+    assert [i for b in (first, *rest) for i in b.column(1).to_pylist()] == list(range(100_000))
+
+
 def test_contents_from_one_sort_of_lines(spark, data):
     from docloom.plans.registry import QUERIES
 
