@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from docloom.functions import scalars as S
-from docloom.operators import folds
+from docloom.operators import dom, folds
 
 
 def _span(attrs: Column, name: str) -> Column:
@@ -46,27 +49,108 @@ def table_cells(nodes: DataFrame) -> DataFrame:
 CELL_COLUMNS, CELL_TAGS = ["page_id", "node_id", "depth", "tag", "text", "ancestors", "path", "attrs", "hidden"], ("tr", "td", "th", "")
 
 
+class _Grid:
+    """The columns of a table that cells of earlier rows reach into, and those that the row has taken."""
+
+    __slots__ = ("row", "flow", "until", "full")
+
+    def __init__(self):
+        self.row, self.flow, self.until, self.full = -1, 0, {}, 0
+
+    def place(self, row: int, colspan: int, rowspan: int) -> tuple[int, int]:
+        """col and flow_col of the next cell."""
+        if row != self.row:
+            # The first row in which a column is free again; columns before ``full`` are taken.
+            self.until = {c: r for c, r in self.until.items() if r > row}
+            self.row, self.flow, self.full = row, 0, 0
+        until, col, end = self.until, self.full, row + rowspan
+        if colspan == 1:
+            while col in until:
+                col += 1
+            until[col] = end
+            self.full = col + 1
+        else:
+            while taken := [c for c in range(col, col + colspan) if c in until]:
+                col = taken[-1] + 1
+            until.update(dict.fromkeys(range(col, col + colspan), end))
+            if col == self.full:
+                self.full += colspan
+        flow = self.flow
+        self.flow += colspan
+        return col, flow
+
+
+_PLACED = "page_id long, table_id int, row int, col int, flow_col int, colspan int, rowspan int, header boolean, text string"
+
+
 def place(cells: DataFrame, dealt: bool = False) -> DataFrame:
     """Cells (page_id, table_id, row, node_id, colspan, rowspan, header, text) in their grid; rows and, in them, node_id give the order. ``dealt``: each table is in one partition already."""
 
-    def start() -> dict:
-        return {"row": -1, "flow": 0, "until": {}}
-
-    def step(state: dict, page, table, row, node, colspan, rowspan, header, text) -> list[tuple]:
-        until = state["until"]  # the first row in which a column is free again
-        if row != state["row"]:
-            state["row"], state["flow"] = row, 0
-            for c in [c for c, r in until.items() if r <= row]:
-                del until[c]
-        col = 0
-        while taken := [c for c in range(col, col + colspan) if c in until]:
-            col = taken[-1] + 1
-        until.update(dict.fromkeys(range(col, col + colspan), row + rowspan))
-        flow, state["flow"] = state["flow"], state["flow"] + colspan
-        return [(page, table, row, col, flow, colspan, rowspan, header, text)]
-
-    schema = "page_id long, table_id int, row int, col int, flow_col int, colspan int, rowspan int, header boolean, text string"
-    return folds.fold_sorted(cells, ["page_id", "table_id"], ["row", "node_id"], start, step, schema, dealt)
+    def step(grid: _Grid, page, table, row, node, colspan, rowspan, header, text) -> list[tuple]:
+        return [(page, table, row, *grid.place(row, colspan, rowspan), colspan, rowspan, header, text)]
+
+    return folds.fold_sorted(cells, ["page_id", "table_id"], ["row", "node_id"], _Grid, step, _PLACED, dealt)
+
+
+_SPAN = re.compile(r"[ \t\n\x0b\f\r]*\+?([0-9]{1,9})")
+
+
+def _plain_span(value: str) -> int:
+    """``_span`` of a value."""
+    found = _SPAN.match(value)
+    return max(int(found[1]), 1) if found else 1
+
+
+class _Cells(dom.Tree):
+    """The cells of a page's tables, by the rules of ``table_cells``: rows by their table, and open cells, which a text belongs to."""
+
+    def start(self) -> None:
+        super().start()
+        self.tables: dict[int, tuple[list, list]] = {}  # rows of heads, and the others, as lists of cells
+        self.rows: dict[int, tuple[list, bool]] = {}  # cells of a row, and whether it is one of a head, by node
+        self.within: list[tuple[int, list[str]]] = []  # open cells: their depth and texts
+
+    def add(self, tag: str, attrs: dict) -> None:
+        if tag == "td" or tag == "th":
+            if self.path and self.path[-1] == "tr" and self.open[-1] in self.rows:
+                cells, head = self.rows[self.open[-1]]
+                pieces: list[str] = []
+                colspan, rowspan = (attrs.get("colspan"), attrs.get("rowspan")) if attrs else (None, None)
+                cells.append((_plain_span(colspan) if colspan else 1, _plain_span(rowspan) if rowspan else 1, head or tag == "th", pieces))
+                self.within.append((len(self.path), pieces))
+        elif tag == "tr" and self.path:
+            up = self.path[-1]
+            if up == "table" or up in ("thead", "tbody", "tfoot") and self.path[-2:-1] == ["table"]:
+                rows = self.tables.setdefault(self.open[-1 if up == "table" else -2], ([], []))
+                cells = []
+                rows[up != "thead"].append(cells)
+                self.rows[self.count] = cells, up == "thead"
+
+    def add_text(self, text: str) -> None:
+        if self.within and self.path[-1] not in ("script", "style"):
+            for _, pieces in self.within:
+                pieces.append(text)
+
+    def close_to(self, upto: int) -> None:
+        del self.open[upto:], self.path[upto:]
+        while self.within and self.within[-1][0] >= upto:
+            self.within.pop()
+
+    def found(self) -> list[tuple]:
+        out = []
+        for table, (heads, others) in self.tables.items():
+            place = _Grid().place
+            for row, cells in enumerate(heads + others):
+                for colspan, rowspan, header, pieces in cells:
+                    col, flow = place(row, colspan, rowspan)
+                    out.append((table, row, col, flow, colspan, rowspan, header, "".join(pieces)))
+        return out
+
+
+def page_cells(pages: DataFrame) -> DataFrame:
+    """What ``table_cells`` gives for the nodes of pages (page_id, html), found while a page is read: neither nodes nor cells are shuffled, as a table is in one page."""
+    found = dom.read_pages(pages, _Cells, StructType.fromDDL(_PLACED))
+    return found.withColumn("text", F.trim(S.collapse_whitespace(F.col("text"))))
 
 
 def column_needs(cells: DataFrame, keys: list[str], padding: float = 0.0) -> DataFrame:

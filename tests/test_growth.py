@@ -102,7 +102,7 @@ def test_lines_from_one_pass_over_runs(spark, data):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
 
 
-def test_folds_hand_on_a_bounded_number_of_rows():
+def test_folds_hand_on_a_bounded_number_of_rows(spark):
     import pyarrow as pa
 
     from docloom.operators import folds
@@ -127,6 +127,24 @@ def test_folds_hand_on_a_bounded_number_of_rows():
     assert [i for b in (first, *rest) for i in b.column(1).to_pylist()] == list(range(100_000))
 
 
+def test_cells_are_found_while_a_page_is_read(spark, data):
+    from docloom.operators import dom, grids
+    from docloom.plans.registry import QUERIES
+
+    inner = "<table><tr><td>x<td rowspan='2z'>y</table>"
+    pages = [
+        "<table><tr><td colspan=2>a<td>b<tr><th rowspan=3>c<td>d<tr><td colspan=' +2'>e<td>f</table>", f"<p>t<table><tbody><tr><td>o {inner} p<td>q</tbody><thead><tr><td>h<tr></thead><tfoot><tr><th>f</table>",
+        f"<table><tr><td>{inner}{inner}</td></table>", "<tr><td>no table</td></tr><table><td>no row</td><tr>", "<table><thead><tbody><tr><td>deep</table>", "<table><tr><td><script>s</script><style>t</style>u &amp; v<br>w \n\t x</td><td/><td>", "", None,
+        "<div><table><caption><tr><td>c</caption><tr><td rowspan=0 colspan='-1'>z<div><td>in a div</div><td>l</table></div>", "<table>" + "".join(f"<tr><td rowspan={k % 4} colspan={k % 3}>{k}</td><td> </td><td>{k}</td></tr>" for k in range(3000)) + "</table>",
+        "<TABLE><TR><TD ColSpan=3>A</TD></TR></TABLE>", "<table><tr><td title='" + "t" * 300 + "' colspan=2>long</td><td>m</td></tr></table>", "<svg><table><tr><td>v</table>", "<table><tr><p><td>in p</td></p></tr></table>", "x<td>", " ", "<table><tr><td>1</td></tr></table><table><tr><td>2</td><td>\u00a0</td></tr></table>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").unionByName(spark.read.parquet(f"{data}/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "html"))
+    want, got = grids.table_cells(dom.nodes(df)), grids.page_cells(df)
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect()) and got.count() > 9000
+    plan = _plan(QUERIES["html_tables"](spark, data))
+    assert plan.count("- Exchange ") == 1 and plan.count("MapInArrow") == 1 and "Window" not in plan
+
+
 def test_contents_from_one_sort_of_lines(spark, data):
     from docloom.plans.registry import QUERIES
 
