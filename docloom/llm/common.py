@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from docloom.session import materialise, shared_dir, table
 
-__all__ = ["WORD", "buckets", "by_group", "drawn", "identified", "materialise", "mix64", "numbered", "shared_dir", "small_batches", "table"]
+__all__ = ["WORD", "buckets", "by_group", "drawn", "identified", "marked", "materialise", "mix64", "numbered", "shared_dir", "small_batches", "table"]
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,6 +101,21 @@ def by_group(df: DataFrame, keys: list[str], f: Callable[[dict[str, np.ndarray]]
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+#: Words of 64 bits in the bitmap of ``marked``, whatever the size of the tables.
+BITMAP_WORDS = 1 << 18
+
+
+def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``ids`` (one column, named ``key``) does not hold the row's ``key``.
+
+    A bitmap of the hashed ids is broadcast, of constant size, so that rows without need of an exact join are not shuffled for it.
+    """
+    word, bit = F.expr(f"pmod(shiftrightunsigned(xxhash64(`{key}`), 6), {BITMAP_WORDS}L)"), f"cast(xxhash64(`{key}`) & 63L as int)"
+    bits = ids.select(word.alias("_word"), F.expr(f"shiftleft(1L, {bit})").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")  # at most BITMAP_WORDS rows
+    return found.withColumn("_maybe", F.expr(f"coalesce(shiftrightunsigned(_bits, {bit}) & 1L, 0L) = 1L")).drop("_word", "_bits")
+
+
 #: Rows of an Arrow batch where whole texts go to Python workers.
 BATCH_ROWS = 2_000
 

@@ -351,7 +351,8 @@ def _linked(keyed: DataFrame, n: int, percent: int, group_shingles: int) -> Data
         left = C.materialise(left, f"{name}-partners")
         # Texts are sent and not their sets: they are shorter, and compress.
         wanted = left.select(F.col("cls").alias("uid")).distinct()
-        texts = keyed.join(wanted, "uid", "left_semi").select(F.col("uid").alias("cls"), "text")
+        # Few texts are wanted, and only those and what the bitmap cannot tell from them are shuffled, at any size.
+        texts = C.marked(keyed, "uid", wanted).filter("_maybe").join(wanted.hint("merge"), "uid", "left_semi").select(F.col("uid").alias("cls"), "text")
         links = C.by_group(left.join(texts, "cls"), keys, link, "a long, b long", tasks)
         return C.materialise(links.distinct(), f"{name}-links")
 

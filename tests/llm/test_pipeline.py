@@ -99,3 +99,19 @@ def test_kept_rows_are_shuffled_at_any_size(spark, capsys):
     docs = spark.createDataFrame([(k, f"a b c d e f {k // 2}") for k in range(40)], "doc_id long, text string")
     triejoin.keep_one(docs, 4, 60).explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_texts_that_no_pair_needs_are_not_shuffled(spark, monkeypatch):
+    from docloom.llm import common
+
+    ids = spark.range(0, 3000, 30).withColumnRenamed("id", "uid")
+    got = common.marked(spark.range(3000).withColumnRenamed("id", "uid"), "uid", ids).filter("_maybe")
+    found = {r["uid"] for r in got.collect()}
+    assert got.columns == ["uid", "_maybe"] and set(range(0, 3000, 30)) <= found and len(found) < 110
+    assert common.marked(ids, "uid", ids.filter("uid < 0")).filter("_maybe").count() == 0
+
+    plans, written = {}, common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or written(df, name))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k // 2}x{i}" for i in range(9)) + f" {k % 2}") for k in range(40)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in triejoin.near_duplicates(docs, 4, 60).collect()) == [k // 2 * 2 for k in range(40)]
+    assert "_maybe" in plans["trie-inner-links"] or "_bits" in plans["trie-inner-links"]
